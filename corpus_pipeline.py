@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import langid, simhash, substring, toxicity
+from graphloom.llm import langid, packing, simhash, substring, toxicity
 from graphloom.llm.common import committed
+from graphloom.llm.queries import END_ID, WORD_BPE, tokenizer_path
 
 #: No SQL expresses learned models; the tests hold the stages against plain versions.
 ORACLE_SQL = None
@@ -34,7 +35,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substring.without_repeats(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("language", keep_languages), ("simhash", drop_near_copies), ("substring", cut_repeats)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and offset."""
+    return packing.pack_documents(docs, tokenizer_path(WORD_BPE), END_ID)
+
+
+STAGES = [("toxicity", drop_toxic), ("language", keep_languages), ("simhash", drop_near_copies), ("substring", cut_repeats), ("packing", pack_sequences)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

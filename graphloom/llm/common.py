@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zlib
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..workspace import committed, discard, release_shuffles, work_root
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "TwoGenerations", "bounded_batches", "committed", "discard", "mix64", "release_shuffles", "work_root"]
 
 #: Rows and bytes of one Arrow batch handed to Python: long texts stay bounded in a worker.
 BATCH_ROWS, BATCH_BYTES = 1024, "16m"
@@ -19,47 +19,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def work_root(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a folder of our own only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def committed(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{work_root(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._graphloom_path = path
-    return back
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by committed() that nothing reads any more."""
-    path = getattr(df, "_graphloom_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the driver notice unreachable shuffles now, so that executors delete their files."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def crc_fold(doc_id: int) -> int:
-    """crc32 of the id's decimal text, modulo 5: fold 0 is held out."""
-    return zlib.crc32(str(doc_id).encode()) % 5
-
-
 class TwoGenerations:
     """A bounded memo: when the young half is full it becomes the old half, whose entries survive only if used again."""
 

@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, matroska, simhash, substring, toxicity
+from . import egojoin, langid, lmscore, matroska, order, packing, piecebpe, simhash, substring, toxicity
+
+#: Vocabulary files of the public tokenizers, and the ids that end a text with them.
+PIECE_BPE, WORD_BPE, END_ID = "piece_bpe_32k.model", "word_bpe_49k.json", 2
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +35,15 @@ def op2_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return _held_out(langid.identify(docs, langid.learn(docs))).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lmscore.score(docs, lmscore.fit(docs, _table(spark, sf_dir, "benchmark")))
+
+
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.materialise(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), END_ID).records()
+
+
 def op5_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -36,10 +54,22 @@ def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(toxicity.score(docs, model)).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_piece_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecebpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_BPE), end_id=END_ID)
+
+
 def op8_cover_anchor_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), END_ID)
+
+
+def op10_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return egojoin.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -60,5 +90,16 @@ FROM words LEFT JOIN kept USING (doc_id)
 """
 
 
+#: All pairs of vectors by cosine in double precision, and the smallest id reachable from each.
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+good AS (SELECT vec_id, x FROM v WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_dot_product(x, x) > 0),
+link AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN least USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_cover_anchor_repeats": OP8_SQL}
+    return {"op10_epsilon_grid_join": OP10_SQL, "op8_cover_anchor_repeats": OP8_SQL}
