@@ -31,25 +31,33 @@ def fill(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         return sequence, place
     share = sizes / limits
     weights = share.mean(0)
-    left, opened = np.arange(n), 0
-    alone = (share == 1).all(1) | (sizes[:, 0] == limits[0])  # nothing else fits beside it
-    if (single := np.flatnonzero(alone)).size:
-        sequence[single] = np.arange(len(single))
-        left, opened = np.flatnonzero(~alone), len(single)
-    live = np.ones(len(left), bool)
-    now = share[left]
-    while live.any():
-        if live.sum() < len(left) // 2:
-            left, now = left[live], now[live]
-            live = np.ones(len(left), bool)
+    left, opened = np.argsort(-sizes[:, 0], kind="stable"), 0  # largest first: what can fit is then a tail
+    alone = sizes[left, 0] == limits[0]  # nothing fits beside these
+    if alone.any():
+        sequence[left[alone]] = np.arange(alone.sum())
+        left, opened = left[~alone], int(alone.sum())
+    columns = np.ascontiguousarray(share[left].T)
+    first, gone = -columns[0], np.zeros(len(left), bool)
+    live = len(left)
+    while live:
+        if live < len(left) // 2:
+            left, columns = left[~gone], np.ascontiguousarray(columns[:, ~gone])
+            first, gone = -columns[0], np.zeros(len(left), bool)
         room, taken = np.ones(sizes.shape[1]), 0
-        while True:
-            fits = live & (now <= room + 1e-12).all(1)
-            if not fits.any():
+        while live:
+            tail = int(np.searchsorted(first, -room[0] - 1e-12))
+            fits = ~gone[tail:]
+            score = columns[0, tail:] * (weights[0] * room[0])
+            for d in range(1, len(room)):
+                fits &= columns[d, tail:] <= room[d] + 1e-12
+                score += columns[d, tail:] * (weights[d] * room[d])
+            score[~fits] = -1.0
+            best = int(score.argmax()) if len(score) else 0
+            if not len(score) or score[best] < 0:
                 break
-            best = int(np.argmax(np.where(fits, now @ (weights * room), -1.0)))
+            best += tail
             sequence[left[best]], place[left[best]] = opened, taken
-            live[best], room, taken = False, room - now[best], taken + 1
+            gone[best], room, taken, live = True, room - columns[:, best], taken + 1, live - 1
         opened += 1
     return sequence, place
 

@@ -7,32 +7,48 @@ from __future__ import annotations
 
 import os
 import unicodedata
-
-import numpy as np
+from array import array
 
 #: Chunks that a Python worker remembers, in two generations of this size.
-MEMO = 300_000
+MEMO = 500_000
 #: Single marks that end a chunk and are a token of their own after a letter.
 MARKS = ".,;:!?"
+#: Words of letters below this code point, in lower case, are what the tokenizer's normaliser and splitter leave as they are.
+PLAIN_BELOW = "\u0300"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters that a byte-level tokenizer writes for bytes: printable ones stand for themselves, others follow from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
 
 
 class _Memo(dict):
-    """Ids by chunk. A chunk that is missing is looked for in the older generation, then encoded."""
+    """Ids by chunk. A missing chunk is looked for in the older generation, then taken apart or encoded."""
 
-    def __init__(self, encode, older: dict):
+    def __init__(self, tokenizer, older: dict):
         super().__init__()
-        self.encode, self.older = encode, older
+        self.tokenizer, self.tokens, self.older, self.letters = tokenizer, tokenizer.model.tokenize, older, _byte_letters()
 
     def __missing__(self, chunk: str) -> bytes:
         found = self.older.get(chunk)
         if found is None:
-            if len(chunk) > 1 and chunk[-1] in MARKS and chunk[:-1].isalpha():
-                found = self[chunk[:-1]] + self[chunk[-1]]
-            else:
-                found = np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            found = self.found(chunk)
         self[chunk] = found
         return found
 
+    def found(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            if chunk.isascii():
+                if chunk == chunk.lower():
+                    return array("I", [t.id for t in self.tokens(chunk)]).tobytes()
+            elif max(chunk) < PLAIN_BELOW and chunk == chunk.lower():
+                return array("I", [t.id for t in self.tokens(chunk.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        elif chunk and chunk[-1] in MARKS and chunk[:-1].isalpha() and max(chunk) < PLAIN_BELOW and chunk == chunk.lower():
+            return self[chunk[:-1]] + self[chunk[-1]]
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
 
 class ChunkEncoder:
     """Ids as little-endian unsigned 32-bit bytes. Strings of special tokens in a text are ordinary text."""
@@ -43,7 +59,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.half, self.memo = memo, _Memo(self.tokenizer.encode, {})
+        self.half, self.memo = memo, _Memo(self.tokenizer, {})
 
     def encode(self, text: str | None) -> bytes:
         text = (text or "").replace("\n", " ")
@@ -51,7 +67,7 @@ class ChunkEncoder:
             text = text.lower()  # as the tokenizer does; fewer chunks differ
         ids = b"".join(map(self.memo.__getitem__, text.split(" ")))
         if len(self.memo) >= self.half:
-            self.memo = _Memo(self.tokenizer.encode, dict(self.memo))
+            self.memo = _Memo(self.tokenizer, dict(self.memo))
         return ids
 
 
