@@ -161,6 +161,8 @@ def _found(df: DataFrame, window: int, broadcast_rows: int) -> tuple[DataFrame,
     rows = described.filter((F.col("doc_id").isNotNull()) & (F.size("anchors") > 0)).join(mark, ["doc_id", "d1", "d2"], "left_anti")
     anchors = rows.select("doc_id", F.posexplode("anchors").alias("at", "hash"))
     shared = anchors.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("hash")
+    shared = committed(shared, "repeated-anchors")  # both sides of the join are plain shuffles then, which can be split
+    release_shuffles(spark)
     at = anchors.join(shared, "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
     at = committed(at, "shared-anchors")
     release_shuffles(spark)
@@ -168,6 +170,8 @@ def _found(df: DataFrame, window: int, broadcast_rows: int) -> tuple[DataFrame,
     release_shuffles(spark)
     windows = near.select("doc_id", "d1", "d2", F.explode(F.arrays_zip("starts", "k1", "k2")).alias("w")).select("doc_id", "d1", "d2", "w.*")
     least = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("k1", "k2", "first")
+    least = committed(least, "repeated-windows")
+    release_shuffles(spark)
     repeated = windows.join(least, ["k1", "k2"]).filter("doc_id > first").groupBy("doc_id", "d1", "d2").agg(F.collect_set("starts").alias("starts"))
     cut = committed(_cut(near.select("doc_id", "d1", "d2", "words").dropDuplicates(["doc_id", "d1", "d2"]).join(repeated, ["doc_id", "d1", "d2"]).select("doc_id", "d1", "d2", "words", "starts"), window), "passages-cut")
     release_shuffles(spark)
