@@ -8,6 +8,7 @@ can resume anywhere. Shards are committed by Spark's writer: a lost task writes
 
 from __future__ import annotations
 
+import struct
 import zlib
 from dataclasses import dataclass
 
@@ -16,12 +17,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, committed, mix64, release_shuffles
+from .common import bounded_batches, committed, discard, mix64, release_shuffles
 from .tokens import encoder
 
 #: Ids of a sequence, sequences of a shard, rounds of the network. Records: document, piece, ids that count, then ids.
 LENGTH, SHARD_ROWS, ROUNDS = 256, 8192, 6
-HEAD = np.dtype([("doc_id", "<i8"), ("piece", "<u4"), ("n", "<u4")])
+HEAD, HEAD_BYTES = np.dtype([("doc_id", "<i8"), ("piece", "<u4"), ("n", "<u4")]), "<qII"
 #: A null doc_id in a record's head.
 NO_ID = -(1 << 63)
 
@@ -120,46 +121,44 @@ class Shards:
         return self.table.mapInArrow(run, "slot long, shard long, byte_offset long, doc_id long, piece long, n_ids long, ids_crc32 long")
 
 
-def materialise(df: DataFrame, tokenizer: str, end_id: int = 2, key: int = 20_240_229, length: int = LENGTH, width: int = 2, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Shards:
-    """Write every sequence of every text at its slot.
-
-    df must be a table scan (or a committed table): sequences are numbered by its partitions and rows, counted in a
-    first pass and checked in the second. A text's sequences are its ids and the end id, cut after `length`; null and
-    empty texts are the end id alone; repeated rows are sequences of their own; an empty table gives no shards."""
-    spark = df.sparkSession
-    bounded_batches(spark)
-    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def sequences(df: DataFrame, tokenizer: str, end_id: int, length: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every text's sequences as records, numbered within the task that made them: part, number, record."""
+    bounded_batches(df.sparkSession)
     tail = np.array([end_id], "<u4").tobytes()
 
-    def count(batches):
-        encode, n = encoder(tokenizer).encode, 0
+    def run(batches):
+        encode, part, n = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
-            for text in batch.column(0):
-                n += -(-(len(encode(text.as_py())) // 4 + 1) // length)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
+            records = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for i, x in enumerate(cut(encode(text.as_py()) + tail, length, width)):
+                    records.append(struct.pack(HEAD_BYTES, NO_ID if doc_id is None else doc_id, i, len(x) // width) + x)
+            if records:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(records), part, np.int32)), pa.array(np.arange(n, n + len(records))), pa.array(records, pa.binary())], ["part", "number", "record"])
+            n += len(records)
+
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "part int, number long, record binary")
 
-    # One row for each partition of the scan.
-    counts = dict(sorted((r.part, r.n) for r in source.select("text").mapInArrow(count, "part int, n long").collect()))
+
+def materialise(df: DataFrame, tokenizer: str, end_id: int = 2, key: int = 20_240_229, length: int = LENGTH, width: int = 2, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Shards:
+    """Write every sequence of every text at its slot.
+
+    Sequences are made once and committed; a sequence's number is its place in its task after all tasks before, so the
+    committed table fixes the order whatever is retried later. A text's sequences are its ids and the end id, cut after
+    `length`; null and empty texts are the end id alone; repeated rows are sequences of their own; an empty table gives no shards."""
+    spark = df.sparkSession
+    made = committed(sequences(df, tokenizer, end_id, length, width, id_col, text_col), "sequences")
+    # One row for each task that made some.
     base, total = {}, 0
-    for part, n in counts.items():
-        base[part], total = total, total + n
+    for r in sorted(made.groupBy("part").agg(F.count("*").alias("n")).collect(), key=lambda r: r.part):
+        base[r.part], total = total, total + r.n
     order = Permutation(total, key)
 
     def place(batches):
-        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
-        at, end = base.get(part, 0), base.get(part, 0) + counts.get(part, 0)
         for batch in batches:
-            records = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for i, ids in enumerate(cut(encode(text.as_py()) + tail, length, width)):
-                    records.append(np.array([(NO_ID if doc_id is None else doc_id, i, len(ids) // width)], HEAD).tobytes() + ids)
-            if at + len(records) > end:
-                raise ValueError("the scan gave other rows than when they were counted")
-            if records:
-                yield pa.RecordBatch.from_arrays([pa.array(order.slots(np.arange(at, at + len(records)))), pa.array(records, pa.binary())], ["slot", "record"])
-            at += len(records)
-        if at != end:
-            raise ValueError("the scan gave other rows than when they were counted")
+            if batch.num_rows:
+                first = np.array([base[p] for p in batch.column(0).to_pylist()], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(order.slots(first + np.asarray(batch.column(1)))), batch.column(2)], ["slot", "record"])
 
     stride = HEAD.itemsize + length * width
 
@@ -185,7 +184,8 @@ def materialise(df: DataFrame, tokenizer: str, end_id: int = 2, key: int = 20_24
     shards = -(-total // shard_rows)
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), shards))
     to = (F.floor(F.col("slot") / shard_rows) * parts / max(shards, 1)).cast("int")
-    ranged = source.mapInArrow(place, "slot long, record binary").repartitionById(parts, to).sortWithinPartitions("slot")
+    ranged = made.mapInArrow(place, "slot long, record binary").repartitionById(parts, to).sortWithinPartitions("slot")
     table = committed(ranged.mapInArrow(write, "shard long, first_slot long, n_slots long, data binary"), "shards")
+    discard(made)
     release_shuffles(spark)
     return Shards(table, order, length, width, shard_rows)
