@@ -27,7 +27,7 @@ SELECT 'rel:' || type || ':' || sourceId || '->' || targetId || CASE WHEN step I
 SELECT 'Function:c' || CAST(o_custkey AS VARCHAR(20)) AS sourceId, 'Method:o' || CAST(o_orderkey AS VARCHAR(20)) AS targetId, 'CALLS' AS type, CAST(1.0 AS DOUBLE) AS confidence, CAST(NULL AS INT) AS step FROM orders
 UNION ALL SELECT 'Method:o' || CAST(l_orderkey AS VARCHAR(20)), 'Function:p' || CAST(l_partkey AS VARCHAR(20)), 'CALLS', max(round(1.0 - l_discount, 2)), NULL FROM lineitem GROUP BY l_orderkey, l_partkey
 UNION ALL SELECT DISTINCT 'Method:o' || CAST(l_orderkey AS VARCHAR(20)), 'Class:s' || CAST(l_suppkey AS VARCHAR(20)), 'USES', CAST(1.0 AS DOUBLE), CAST(NULL AS INT) FROM lineitem
-UNION ALL SELECT 'Function:p' || CAST(p_partkey AS VARCHAR(20)), 'Interface:' || p_brand, 'IMPLEMENTS', 0.85, NULL FROM part
+UNION ALL SELECT 'Function:p' || CAST(p_partkey AS VARCHAR(20)), 'Interface:' || p_brand, 'IMPLEMENTS', 0.95, NULL FROM part
 UNION ALL SELECT 'Class:s' || CAST(l_suppkey AS VARCHAR(20)), 'Method:o' || CAST(l_orderkey AS VARCHAR(20)), 'HAS_METHOD', 1.0, NULL FROM lineitem WHERE l_linenumber = 1 GROUP BY l_suppkey, l_orderkey
 UNION ALL SELECT 'Class:s' || CAST(s_suppkey AS VARCHAR(20)), 'Class:s' || CAST((s_suppkey - s_suppkey % 2) / 2 AS BIGINT), 'EXTENDS', 1.0, NULL FROM (SELECT s_suppkey FROM supplier WHERE s_suppkey > 1) x
 UNION ALL SELECT 'Folder:' || r_name, 'Folder:' || r_name || '/' || n_name, 'CONTAINS', 1.0, NULL FROM nation JOIN region ON n_regionkey = r_regionkey

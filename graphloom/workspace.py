@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Where a session without spark.checkpoint.dir (a test, one machine) keeps its committed tables.
+OWN_DIR = "spark.graphloom.dir"
+
+
 def work_root(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it; a folder of our own only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None)
     if root is None:
         root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.conf.set(OWN_DIR, root)
+        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
     return root.rstrip("/")
 
 
