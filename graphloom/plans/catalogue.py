@@ -135,9 +135,9 @@ def upsert_last_wins(spark, sf_dir):
     return store.upsert(e).select("id", "event_type", F.round("value", 6).alias("value"), "seq")
 
 
-@query("SELECT l_orderkey AS sourceId, l_partkey AS targetId, 'CALLS' AS type, max(round(1.0 - l_discount, 2)) AS confidence, arg_min('e' || l_linenumber, l_linenumber) AS id, arg_max(l_returnflag, {'c': round(1.0 - l_discount, 2), 's': l_linenumber}) AS reason FROM lineitem GROUP BY l_orderkey, l_partkey", False)
+@query("SELECT l_orderkey AS sourceId, l_partkey AS targetId, 'CALLS' AS type, max(round(1.0 - l_discount, 2)) AS confidence, arg_min('e' || l_linenumber, l_linenumber * 10000000 + l_suppkey) AS id, arg_max(l_returnflag, {'c': round(1.0 - l_discount, 2), 's': l_linenumber * 10000000 + l_suppkey}) AS reason FROM lineitem GROUP BY l_orderkey, l_partkey", False)
 def semantic_edge_merge(spark, sf_dir):
-    line = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("e"), F.col("l_linenumber").cast("string")).alias("id"), F.col("l_orderkey").alias("sourceId"), F.col("l_partkey").alias("targetId"), F.lit("CALLS").alias("type"), F.round(1.0 - F.col("l_discount"), 2).alias("confidence"), F.col("l_returnflag").alias("reason"), F.col("l_linenumber").alias("seq"))
+    line = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("e"), F.col("l_linenumber").cast("string")).alias("id"), F.col("l_orderkey").alias("sourceId"), F.col("l_partkey").alias("targetId"), F.lit("CALLS").alias("type"), F.round(1.0 - F.col("l_discount"), 2).alias("confidence"), F.col("l_returnflag").alias("reason"), (F.col("l_linenumber") * 10_000_000 + F.col("l_suppkey")).alias("seq"))
     return store.merged_edges(line)
 
 
