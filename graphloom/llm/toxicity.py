@@ -19,11 +19,13 @@ from .langid import in_training
 #: Buckets and width of the embedding table, lengths of n-grams in bytes, texts that an n-gram must occur in.
 BUCKETS, WIDTH, SHORTEST, LONGEST, LEAST_TEXTS = 1 << 18, 2, 3, 6, 8
 #: The most labelled rows that training reads (in expectation; chosen by a hash of doc_id), and its steps.
-TRAIN_ROWS, STEPS, SEED = 8000, 60, 7
+TRAIN_ROWS, STEPS, SEED = 3000, 60, 7
 #: Of a step's gradients, those below this share of the largest are left out: faint ones are mostly chance.
 FAINT = 0.4
 #: Words remembered by a Python worker, half of them recent.
 MEMO = 200_000
+#: Words of the training sample whose n-grams are listed at once.
+PART = 50_000
 EDGES = "\t\n !\"#$%&'()*+,-./:;<=>?[\\]^_`{|}~«»“”„’‘–—…¿¡"
 
 
@@ -96,18 +98,28 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
     pairs, counts = np.unique(doc * len(index) + kind, return_counts=True) if len(doc) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     doc, kind = (pairs // max(len(index), 1)), (pairs % max(len(index), 1))
     length = np.maximum(np.bincount(doc, counts, len(y)), 1)
-    whose, bucket = subwords(list(index))
-    size = np.maximum(np.bincount(whose, minlength=len(index)), 1)
-    # Texts of each bucket, bounded from below by the texts of its commonest word and by its number of words.
-    texts_of_word = np.bincount(kind, minlength=len(index))
-    spread = np.bincount(bucket, texts_of_word[whose], BUCKETS)
+    # N-grams are listed twice, a part of the words at a time: first to see in how many texts each bucket may occur,
+    # then to keep the pairs of known buckets only.
+    texts_of_word, kinds = np.bincount(kind, minlength=len(index)), len(index)
+    vocabulary = list(index)
+    del index
+    spread = np.zeros(BUCKETS)
+    size = np.zeros(kinds, np.int32)
+    for lo in range(0, kinds, PART):
+        whose, bucket = subwords(vocabulary[lo : lo + PART])
+        spread += np.bincount(bucket, texts_of_word[lo + whose], BUCKETS)
+        size[lo : lo + PART] = np.bincount(whose, minlength=len(vocabulary[lo : lo + PART]))
     known = spread >= min(LEAST_TEXTS, max(2, y.sum() // 10))
-    used = known[bucket]
-    weight = (1.0 / size)[whose][used]
-    column = np.cumsum(known) - 1
-    n, kinds = int(known.sum()), len(index)
-    column = column[bucket[used]]
-    to_word, from_word = _Grouped(whose[used], column, weight, kinds), _Grouped(column, whose[used], weight, n)
+    place, n, pairs_of = (np.cumsum(known) - 1).astype(np.int32), int(known.sum()), []
+    for lo in range(0, kinds, PART):
+        whose, bucket = subwords(vocabulary[lo : lo + PART])
+        used = known[bucket]
+        pairs_of.append(((lo + whose[used]).astype(np.int32), place[bucket[used]]))
+    del vocabulary
+    whose, column = (np.concatenate([p[i] for p in pairs_of]) for i in range(2))
+    del pairs_of
+    weight = (1.0 / np.maximum(size, 1))[whose].astype(np.float32)
+    to_word, from_word = _Grouped(whose, column, weight, kinds), _Grouped(column, whose, weight, n)
     to_text, from_text = _Grouped(doc, kind, counts / length[doc], len(y)), _Grouped(kind, doc, counts / length[doc], kinds)
     rng = np.random.default_rng(SEED)
     table, soft, shift = np.zeros((n, WIDTH)), rng.normal(0, 1, (WIDTH, 2)), np.zeros(2)
@@ -116,7 +128,7 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
     balance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())[:, None]
     # How much each bucket weighs over all texts: steps are relative to its root, so that frequent words don't lead.
     presence = _Grouped(kind, doc, (counts / length[doc]) ** 2, kinds)(np.ones((len(y), 1)))
-    root = np.sqrt(_Grouped(column, whose[used], weight**2, n)(presence)) + 1e-9
+    root = np.sqrt(_Grouped(column, whose, weight**2, n)(presence)) + 1e-9
     for step in range(steps):
         means = to_text(to_word(table))
         z = means @ soft + shift
