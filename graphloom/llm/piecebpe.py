@@ -90,6 +90,10 @@ class PieceModel:
         for p in self.ids:
             for c in p:
                 self.symbols.setdefault(c, len(self.pieces) + len(self.symbols))
+        self.of_point = np.full(0x110000, -1, np.int32)
+        for c, i in self.symbols.items():
+            if len(c) == 1:
+                self.of_point[ord(c)] = i
         order = {s: r for r, s in enumerate(sorted({scores[i] for i in self.ids.values()}, reverse=True))}
         merges = {}
         for p, i in self.ids.items():
@@ -132,8 +136,7 @@ class PieceModel:
         if not short:
             return out
         flat = "".join(words[i] for i in short)
-        get = self.symbols.get
-        sym = np.fromiter((get(c, -1) for c in flat), np.int64, len(flat))
+        sym = self.of_point[np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.int64)
         count = np.fromiter((len(words[i]) for i in short), np.int64, len(short))
         name, first, done = np.arange(len(short)), np.arange(len(flat)), [None] * len(short)
         # Of each symbol: its id, where in flat it begins, and the pair it makes with the next one of its word.
