@@ -25,6 +25,8 @@ def fill(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """(sequence, place in it) for each example; sizes: examples by resources, none above its limit.
 
     Weights are each resource's mean demand, so the scarcest counts most. Ties go to the example that comes first."""
+    if len(sizes) and not ((sizes >= 0) & (sizes <= limits)).all():
+        raise ValueError(f"a size is negative or above its limit {limits.tolist()}")
     n = len(sizes)
     sequence, place = np.full(n, -1, np.int64), np.zeros(n, np.int64)
     if not n:
@@ -79,8 +81,6 @@ def pack(df: DataFrame, limits: dict[str, int], order: list[str], group_rows: in
         table = table.select(names)
         table = table.sort_by([(sizes[0], "descending"), *[(c, "ascending") for c in order]])
         amounts = np.stack([np.nan_to_num(table.column(c).to_numpy().astype(float)) for c in sizes], 1)
-        if (amounts > caps).any() or (amounts < 0).any():
-            raise ValueError(f"a size is negative or above its limit {dict(limits)}")
         sequence, place = fill(amounts, caps)
         by = np.lexsort((place, sequence))
         ends = np.cumsum(amounts[by, 0])
