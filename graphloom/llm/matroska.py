@@ -209,7 +209,7 @@ def _block(data, a: int, b: int, base: int, media: Media, cluster: int, keyframe
 
 def parse(data) -> Media:
     """Tracks, packets (time, byte range, lacing) and cues of Matroska bytes; ValueError if they are malformed."""
-    data, media = memoryview(data).toreadonly(), Media()
+    data, media = memoryview(data).cast("B"), Media()
     for name, a, b in elements(data, 0, len(data)):
         if name == EBML:
             for inner, c, d in elements(data, a, b):
