@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 #: Lines that a bucket of the position join spans.
-BUCKET_LINES = 64
+BUCKET_LINES = 16
 
 
 def folder_tree(files: DataFrame) -> tuple[DataFrame, DataFrame]:
