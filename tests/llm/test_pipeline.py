@@ -1,5 +1,7 @@
 """The pipeline's stages on a small folder of tables, each against a plain version of its decision."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -10,8 +12,11 @@ from graphloom.llm import langid, simhash, substring, toxicity
 def folder(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("sf")
     base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id < 300")
-    passage = " ".join(f"shared{i}" for i in range(70))
-    extra = [(1000, "!!! 123 ???", "en", "s", 11), (1001, "an idiot and a moron, pathetic scum " * 8, "en", "s", 1), (1002, None, None, None, None), (1003, "the the of and to in on at with her " + passage, "en", "s", 2), (1004, "of and to in on at with her was is the " + passage, "en", "s", 2)]
+    words = sorted({w for r in base.filter("lang = 'en' and doc_id < 60").collect() for w in r.text.split() if w.isalpha() and w.islower()})
+    deal = random.Random(1)
+    passage = " ".join(deal.sample(words, 70)) + " marker " + " ".join(deal.sample(words, 70))
+    own = [" ".join(deal.sample(words, 250)) for _ in range(2)]
+    extra = [(1000, "!!! 123 ???", "en", "s", 11), (1001, "an idiot and a moron, pathetic scum " * 8, "en", "s", 1), (1002, None, None, None, None), (1003, own[0] + " " + passage, "en", "s", 2), (1004, own[1] + " " + passage, "en", "s", 2)]
     base.union(spark.createDataFrame(extra, base.schema)).write.parquet(f"{at}/documents.parquet")
     spark.read.parquet("/root/testdata/sf0.01/labels.parquet").write.parquet(f"{at}/labels.parquet")
     return str(at)
@@ -39,7 +44,7 @@ def test_stages(spark, folder):
     for r in cut.collect():
         assert len(r.text.split()) <= len(before[r.doc_id].split()) and (removed[r.doc_id] > 0) == (r.text != before[r.doc_id])
     texts = {r.doc_id: r.text for r in cut.collect()}
-    assert "shared5" in texts[1003] and "shared5" not in texts[1004]
+    assert "marker" in texts[1003] and "marker" not in texts[1004]
     packed = corpus_pipeline.pack_sequences(spark, cut, folder)
     assert {r.doc_id for r in packed.collect()} == set(ids(cut))
     whole = corpus_pipeline.run(spark, folder).toPandas()
