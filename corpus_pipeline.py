@@ -26,8 +26,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies the document with the smallest id."""
-    return simhash.keep_one(docs)
+    """Of each group of near-copies (shingles of five words, Jaccard similarity 0.8 or more) the document with the smallest id."""
+    return simhash.keep_one(docs, shingle=simhash.COPY_SHINGLE, similarity=simhash.COPY_SIMILARITY)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

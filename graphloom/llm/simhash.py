@@ -5,16 +5,22 @@ by which third of its bits it shares: two that differ in at most two bits share
 fingerprints by Gray rank, factors the bits that neighbours share into the nodes of a tree (mask and pattern, without
 what the parent has already), and searches with pruning by accumulated differences. Found links leave a group as one
 star for each of its sets, never as all pairs; links become components outside.
+
+near_copies is the same method at another distance: shingles of five words and a Jaccard similarity of 0.8. Pairs at
+that bound differ in a seventh of their bits, where thirds of 64 bits find nothing, so fingerprints are wider, groups
+share chosen bits, and every pair within the radius is verified by its shingles themselves.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, committed, release_shuffles
+from .common import bounded_batches, committed, mix64, release_shuffles
 from .components import components
 
 #: Words of a shingle and seed of its hash, differing bits that still link, fingerprints of an index node, nodes of an upper node.
@@ -22,6 +28,11 @@ SHINGLE, XX_SEED, MOST_BITS, LEAF, FAN = 3, 42, 2, 16, 16
 #: The bits of each third; a group with more distinct fingerprints than this is divided again by thirds of its other bits.
 THIRDS, MOST_GROUP = ((0, 21), (21, 42), (42, 64)), 1 << 17
 U1 = np.uint64(1)
+#: Of near_copies: words of a shingle, the least Jaccard similarity that links, 64-bit words of a fingerprint, and how many
+#: of them a group compares. Seeds and bounds: see bands_for.
+COPY_SHINGLE, COPY_SIMILARITY, WIDE, COMPARED = 5, 0.8, 4, 2
+#: The share of pairs at the bound that groups may miss, and the fingerprints that a group has on average (2 to this).
+MISSED, GROUP_BITS = 0.01, 4
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -224,10 +235,158 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return made.join(of_fp, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+def shingles(text: str | None, shingle: int = COPY_SHINGLE) -> set[bytes]:
+    """The distinct shingles of a text, the whole text if it has fewer words, none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(words[i : i + shingle]) for i in range(max(len(words) - shingle + 1, 1))} if words else set()
+
+
+def wide_fingerprint(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """WIDE words of 64 bits over the distinct shingles, each shingle counted once as Jaccard similarity does."""
+    found = shingles(text, shingle)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(x, XX_SEED) for x in found), np.uint64, len(found))
+    ones = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), 8192):
+        part = hashes[at : at + 8192]
+        mixed = np.stack([mix64(part + np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for i in range(WIDE)], 1)
+        ones += np.unpackbits(mixed.astype("<u8").view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def differing(similarity: float) -> float:
+    """The expected share of differing bits at a Jaccard similarity: the angle of two sets of equal size."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def radius_for(similarity: float, bits: int = 64 * COMPARED) -> int:
+    """Differing bits that pairs at the bound exceed about once in 700: three standard deviations above their mean."""
+    p = differing(similarity)
+    return math.ceil(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
+
+
+def bands_for(rows: int, similarity: float) -> np.ndarray:
+    """The bit places of each band. A band has more bits the more fingerprints there are, so that groups stay small,
+    and there are as many bands as a pair one standard deviation beyond the mean needs to share one with 1 - MISSED."""
+    p, k = differing(similarity), min(max(round(math.log2(max(rows, 2))) - GROUP_BITS, 8), 24)
+    share = (1 - p - math.sqrt(p * (1 - p) / (64 * WIDE))) ** k
+    bands = math.ceil(math.log(MISSED) / math.log1p(-share)) if share < 1 else 1
+    rng = np.random.default_rng(XX_SEED)
+    return np.stack([rng.permutation(64 * WIDE)[:k] for _ in range(bands)])
+
+
+def _close_pairs(fps: np.ndarray, reps: np.ndarray, radius: int, block: int = 512):
+    """(a, b), a < b, of one group's pairs within the radius, a block of rows at a time."""
+    for at in range(0, len(fps), block):
+        one = fps[at : at + block]
+        for to in range(at, len(fps), 8 * block):
+            other = fps[to : to + 8 * block]
+            near = sum(np.bitwise_count(one[:, None, i] ^ other[None, :, i]).astype(np.uint16) for i in range(COMPARED)) <= radius
+            i, j = np.nonzero(near)
+            a, b = reps[at + i], reps[to + j]
+            apart = (to + j > at + i) & (a != b)
+            if apart.any():
+                yield np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+
+
+def candidates(distinct: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of representatives (rep) whose wide fingerprints (f0 ...) share a band and lie within the radius."""
+    spark, radius = distinct.sparkSession, radius_for(similarity)
+    places = bands_for(distinct.count(), similarity)
+    few, weights = [f"f{i}" for i in range(COMPARED)], 1 << np.arange(places.shape[1], dtype=np.int64)
+    dealt = pa.schema([("band", pa.int64()), ("rep", pa.int64()), *[(f, pa.int64()) for f in few]])
+
+    def deal(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rep = part.column(0).to_numpy()
+                fps = np.stack([part.column(1 + i).to_numpy() for i in range(WIDE)], 1)
+                bits = np.unpackbits(np.ascontiguousarray(fps).astype("<i8").view(np.uint8).reshape(len(rep), -1), axis=1, bitorder="little")
+                key = (bits[:, places] @ weights) + (np.arange(len(places), dtype=np.int64) << places.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *[pa.array(np.repeat(x, len(places))) for x in (rep, *fps.T[:COMPARED])]], schema=dealt)
+
+    types = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def search(batches):
+        key, held = None, []
+
+        def close():
+            reps, fps = np.concatenate([r for r, _ in held]), np.concatenate([f for _, f in held])
+            return list(_close_pairs(fps, reps, radius)) if len(reps) > 1 else []
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            band, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            fps = np.stack([batch.column(2 + i).to_numpy() for i in range(COMPARED)], 1).view(np.uint64)
+            cut = np.flatnonzero(band[1:] != band[:-1]) + 1
+            found = []
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(band)]):
+                if band[i] != key:
+                    found += close() if held else []
+                    key, held = band[i], []
+                held.append((rep[i:j], fps[i:j]))
+            for a, b in found:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=types)
+        for a, b in close() if held else []:
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=types)
+
+    schema = "band long, rep long, " + ", ".join(f"{f} long" for f in few)
+    banded = distinct.select("rep", *[f"f{i}" for i in range(WIDE)]).mapInArrow(deal, schema)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return banded.repartition(n, "band").sortWithinPartitions("band").mapInArrow(search, "a long, b long").distinct()
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id reachable over links) of every row with an id. Links join texts of
+    the same words and pairs whose sets of shingles have at least this Jaccard similarity; each pair that fingerprints
+    propose is verified by its texts, so no link is wrong. Null and wordless texts link with each other; rows of one
+    doc_id share a component."""
+    spark = df.sparkSession
+    bounded_batches(spark)
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
+    types = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), *[(f"f{i}", pa.int64()) for i in range(WIDE)]])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                texts = batch.column(1).to_pylist()
+                same = [xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in texts]
+                fps = np.stack([wide_fingerprint(t, shingle) for t in texts]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), *[pa.array(np.ascontiguousarray(c)) for c in fps.T]], schema=types)
+
+    words = [f"f{i}" for i in range(WIDE)]
+    made = committed(docs.mapInArrow(run, "doc_id long, same binary, " + ", ".join(f"{f} long" for f in words)), "wide-fingerprints")
+    distinct = committed(made.groupBy("same", *words).agg(F.min("doc_id").alias("rep")), "distinct-texts")
+    pairs = committed(candidates(distinct, similarity), "copy-candidates")
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = committed(docs.join(ends, "doc_id", "left_semi"), "copy-texts")
+
+    def verify(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = shingles(x.as_py(), shingle), shingles(y.as_py(), shingle)
+                both = len(x & y)
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    named = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    verified = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    equal = made.join(distinct.select("same", "rep"), "same").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a != b")
+    joined = components(verified.union(equal))
+    release_shuffles(spark)
+    return made.select("doc_id").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, broadcast_rows: int = 200_000, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of docs, all columns unchanged, without those whose doc_id isn't the smallest of its component; of rows
-    with one doc_id all stay. Up to `broadcast_rows` dropped ids are broadcast (their number is counted first); more are joined by shuffle."""
-    found = near_duplicates(docs)
+    with one doc_id all stay. With a similarity components are those of near_copies at that bound, otherwise those of
+    near_duplicates, whose distance is fixed. Up to `broadcast_rows` dropped ids are broadcast (their number is counted
+    first); more are joined by shuffle."""
+    if similarity is None and shingle != SHINGLE:
+        raise ValueError("near_duplicates has its own shingles; give a similarity with others")
+    found = near_duplicates(docs) if similarity is None else near_copies(docs, shingle=shingle, similarity=similarity)
     gone = committed(found.filter("doc_id != component_id").select("doc_id").distinct(), "near-copies")
     small = gone.count() <= broadcast_rows
     return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == gone["doc_id"], "left_anti")

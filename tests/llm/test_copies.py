@@ -90,6 +90,49 @@ def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(df.filter("false")).count() == 0
 
 
+def jaccard_pairs(texts, least=0.8):
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets_of = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for w in words]
+    return {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets_of[i] & sets_of[j]) >= least * len(sets_of[i] | sets_of[j])}
+
+
+def edited_texts(n=60):
+    """Random texts, each with a copy of one word replaced in every fifty or so."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for i in range(n):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(60, 400)))]
+        copy = list(words)
+        for at in rng.choice(len(copy), max(len(copy) // 60, 1), replace=False):
+            copy[at] = "changed"
+        texts += [" ".join(words), " ".join(copy)]
+    return texts
+
+
+def test_near_copies_find_jaccard_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for rows in (sorted((r.doc_id, r.text) for r in docs.collect()), list(enumerate(edited_texts()))):
+        ids, texts = [d for d, _ in rows], [t for _, t in rows]
+        near = jaccard_pairs(texts)
+        df = spark.createDataFrame([(d, t, 1, "s", 2) for d, t in rows], TEXT)
+        found = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+        root = sets(len(rows), near)
+        joined = sum(found[ids[i]] == found[ids[j]] for i, j in near)
+        assert near and joined >= 0.97 * len(near)
+        assert all(ids[root[i]] == ids[root[ids.index(c)]] for i, c in enumerate(found[d] for d in ids))  # no wrong link
+    old = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert sum(old[i] == old[j] for i, j in near) < 0.5 * len(near)  # the digest's radius misses most
+
+
+def test_near_copies_odd_rows(spark):
+    rows = [(5, None), (3, ""), (7, "A b C"), (6, "a B c"), (None, "a b c"), (8, "a b d"), (9, "one two three four five six"), (9, "other")]
+    df = spark.createDataFrame([(d, t, 1, "s", 2) for d, t in rows], TEXT)
+    assert {(r.doc_id, r.component_id) for r in simhash.near_copies(df).collect()} == {(3, 3), (5, 3), (6, 6), (7, 6), (8, 8), (9, 9)}
+    kept = simhash.keep_one(df, shingle=5, similarity=0.8)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [3, 6, 8, 9, 9]
+    assert simhash.near_copies(df.filter("false")).count() == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(i, i + 1) for i in range(500, 700)] + [(900, i) for i in range(901, 1000)]
