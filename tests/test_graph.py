@@ -99,6 +99,18 @@ def test_communities(spark):
     assert clusters.detect(links.filter("false")).count() == 0
 
 
+def test_communities_of_large_graphs_keep_their_resolution(spark):
+    """A symbol has 8 links into a small group and 12 into a large one: 2.0, of both paths, leaves it in the small one; 1.0 doesn't."""
+    clique = lambda g, n: [(f"{g}{i:02d}", f"{g}{j:02d}") for i in range(n) for j in range(i + 1, n)]
+    made = clique("a", 10) + clique("b", 60) + [(f"a{i:02d}", "v") for i in range(8)] + [(f"b{i:02d}", "v") for i in range(12)]
+    made += [(f"t{i:04d}{x}", f"t{i:04d}{y}") for i in range(3400) for x, y in ("pq", "qr", "pr")]
+    links = spark.createDataFrame(made, "a string, b string")
+    for sequential in (50_000, 0):
+        members = clusters.detect(links, sequential)
+        found = {r.id: r.community for r in members.collect()}
+        assert found["v"] == found["a09"] != found["b59"]
+
+
 def test_flows(spark):
     n = spark.createDataFrame([("handle", "Function", "handleRequest", "src/a.ts", None), ("validate", "Function", "validateInput", "src/a.ts", None), ("save", "Function", "saveRecord", "src/db.ts", None), ("th", "Function", "testHandle", "src/a.test.ts", None)], "id string, label string, name string, filePath string, astFrameworkMultiplier double")
     e = edges(spark, ("handle", "CALLS", "validate", 1.0), ("validate", "CALLS", "save", 1.0), ("th", "CALLS", "handle", 1.0), ("save", "CALLS", "handle", 0.3))
