@@ -131,3 +131,11 @@ def test_shards_hold_every_sequence_once_and_resume(spark, tmp_path):
 
 def test_every_operator_has_a_query():
     assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+
+
+def test_long_words_merge_alike_by_queue_and_in_rounds(monkeypatch):
+    deal = random.Random(3)
+    words = ["".join(deal.choice("abcdefghijklmnopqrstuvwxyz0123456789é日") for _ in range(n)) for n in (95, 96, 97, 500)]
+    made = piecebpe.model(PIECE).merge(words)
+    monkeypatch.setattr(piecebpe, "LONG_WORD", 1 << 30)
+    assert piecebpe.model(PIECE).merge(words) == made
