@@ -125,6 +125,10 @@ def bundle(texts: list[str], group: int = 64):
     return out, letters
 
 
+#: Rows that a language teaches with at any size of the table, if it has as many.
+LEAST_ROWS = 64
+
+
 @dataclass
 class Profiles:
     """Languages with the unit vectors of their prototypes; languages are sorted, so a tie goes to the first."""
@@ -153,13 +157,18 @@ def in_training(id_col: str = "doc_id"):
 
 
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Profiles:
-    """Prototypes from at most about `rows` labelled rows outside the held-out fold, chosen by a hash of the id.
-    Rows with a null id, text or language teach nothing; with no labelled row there is no language."""
+    """Prototypes from at most about `rows` labelled rows outside the held-out fold, chosen by a hash of the id, each
+    language by its own bound: rare ones teach with all their rows, common ones share what is left, and none has
+    fewer than about LEAST_ROWS where it has as many. Rows with a null id, text or language teach nothing; with no labelled row there is no language."""
     bounded_batches(df.sparkSession)
-    labelled = df.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & in_training(id_col))
-    there = labelled.count()
-    share = 1.0 if there <= rows else rows / there
-    chosen = labelled.filter(F.col(text_col).isNotNull()).filter(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    labelled = df.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & in_training(id_col)).withColumn("__lang", F.col(lang_col).cast("string"))
+    there = {r["__lang"]: r["n"] for r in labelled.groupBy("__lang").agg(F.count("*").alias("n")).collect()}
+    left, bound = rows, {}
+    for i, (lang, n) in enumerate(sorted(there.items(), key=lambda x: (x[1], x[0]))):
+        bound[lang] = min(n, max(left // (len(there) - i), LEAST_ROWS))
+        left = max(left - bound[lang], 0)
+    cuts = df.sparkSession.createDataFrame([(lang, (1 << 30) * bound[lang] // n + 1) for lang, n in there.items()], "__lang string, __cut long")
+    chosen = labelled.join(F.broadcast(cuts), "__lang").filter(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 30)) < F.col("__cut"))
     schema = pa.schema([("lang", pa.string()), ("total", pa.list_(pa.float64()))])
 
     def run(batches):

@@ -50,6 +50,13 @@ def test_language_odd_rows(spark):
     assert langid.keep_identified(df, langid.learn(df)).count() == 4
 
 
+def test_language_learns_rare_languages(spark):
+    rows = [(i, "the cat and the dog", "en") for i in range(4000)] + [(i, "日本語の文章です", "ja") for i in range(4000, 4004)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert df.filter(langid.in_training()).filter("lang = 'ja'").count() > 0
+    assert langid.learn(df, rows=100).langs == ["en", "ja"]
+
+
 def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.learn(docs, labels)
