@@ -6,6 +6,7 @@ The tokenizer drops white space and never joins text across it, so the ids of a
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from array import array
 
@@ -51,18 +52,32 @@ class _Memo(dict):
 
 
 class ChunkEncoder:
-    """Ids as little-endian unsigned 32-bit bytes. Strings of special tokens in a text are ordinary text."""
+    """Ids as little-endian unsigned 32-bit bytes, those of the library with its file as it is and add_special_tokens=False:
+    the exact strings of special tokens in a text are their ids, whatever stands beside them."""
 
     def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word or not t.special for t in added.values()):
+            raise ValueError("only special tokens that match their exact strings are covered")
+        self.special = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
+        # Special strings are cut out of the raw text first; what lower-casing makes of the rest is never one of them.
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
         self.tokenizer.encode_special_tokens = True
         self.half, self.memo = memo, _Memo(self.tokenizer, {})
 
     def encode(self, text: str | None) -> bytes:
-        text = (text or "").replace("\n", " ")
+        text = text or ""
+        if self.parts is None:
+            return self._plain(text)
+        found = self.parts.split(text)
+        return self._plain(text) if len(found) == 1 else b"".join(self.special[x] if i % 2 else self._plain(x) for i, x in enumerate(found))
+
+    def _plain(self, text: str) -> bytes:
+        text = text.replace("\n", " ")
         if "Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text):
             text = text.lower()  # as the tokenizer does; fewer chunks differ
         ids = b"".join(map(self.memo.__getitem__, text.split(" ")))

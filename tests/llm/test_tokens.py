@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from graphloom.llm import order, packing, piecebpe, queries, tokens
 
 PIECE, WORD = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
-PARTS = ["a", "e", "th", " ", "  ", "\n", "é", "ß", "漢", "😀", "▁", "\t", "<0x41>", "<s>", "</s>", "ing", "́", "\x00", "aaaa", ".", "zz", "'s", "ﬁ", "Σ", "İ", "\x1c", " ", "<|endoftext|>", "!", "it's,", "1234"]
+PARTS = ["a", "e", "th", " ", "  ", "\n", "é", "ß", "漢", "😀", "▁", "\t", "<0x41>", "<s>", "</s>", "ing", "́", "\x00", "aaaa", ".", "zz", "'s", "ﬁ", "Σ", "İ", "\x1c", " ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "!", "it's,", "1234"]
 
 
 def strings(n=1500, seed=4):
@@ -45,7 +45,6 @@ def test_piece_tables(spark):
 
 def test_chunk_ids_equal_the_library():
     lib = Tokenizer.from_file(WORD)
-    lib.encode_special_tokens = True
     e = tokens.ChunkEncoder(WORD, memo=50)
     texts = [*strings(), "naïve CAFÉ straße ǅ ǆ ʹ ͅ ſ ª º ĳ ŉ ͻ ԥ", " ".join(chr(i) for i in range(33, 0x600)), "".join(chr(i) for i in range(33, 0x600))]
     for s in [*texts, *(s.lower() for s in texts)]:
@@ -80,9 +79,8 @@ def test_pack_general(spark):
 
 
 def test_packed_documents_cover_every_id(spark):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + [(1000, None), (1001, ""), (1002, "word " * 9000)]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + [(1000, None), (1001, ""), (1002, "word " * 9000), (1003, "a<|endoftext|> hi <|startoftext|><|EndOfText|>")]
     lib = Tokenizer.from_file(WORD)
-    lib.encode_special_tokens = True
     ids = {i: [*lib.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}
     out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), WORD).toPandas()
     seen = {i: [] for i in ids}
