@@ -2,11 +2,12 @@
 
 A word is the mean of the vectors of its character n-grams and of itself; a text is the mean of its words; a linear
 softmax reads that mean. Misspellings and inflections share n-grams with words seen in training, so they share
-their vectors. Vectors start at zero and n-grams of too few texts stay there: what was never learned adds nothing.
+their vectors. Vectors start at zero, every n-gram learns, and a penalty shortens vectors: what chance moves adds nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,12 +17,14 @@ from pyspark.sql import DataFrame, functions as F
 from .common import TwoGenerations, bounded_batches, mix64
 from .langid import in_training
 
-#: Buckets and width of the embedding table, lengths of n-grams in bytes, texts that an n-gram must occur in.
-BUCKETS, WIDTH, SHORTEST, LONGEST, LEAST_TEXTS = 1 << 18, 2, 3, 6, 8
+#: Buckets and width of the embedding table, lengths of n-grams in bytes.
+BUCKETS, WIDTH, SHORTEST, LONGEST = 1 << 18, 16, 3, 6
 #: The most labelled rows that training reads (in expectation; chosen by a hash of doc_id), and its steps.
-TRAIN_ROWS, STEPS, SEED = 8000, 60, 7
-#: Of a step's gradients, those below this share of the largest are left out: faint ones are mostly chance.
-FAINT = 0.4
+TRAIN_ROWS, STEPS, SEED = 8000, 120, 7
+#: The first step's length, and what is taken off a vector's length by a step of rate 1.
+RATE, SHRINK = 2.0, 3.0
+#: Log odds of a text without any evidence, before labels speak.
+NO_EVIDENCE = -4.0
 #: Words remembered by a Python worker, half of them recent.
 MEMO = 200_000
 #: Words of the training sample whose n-grams are listed at once.
@@ -59,16 +62,6 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(whose), (np.concatenate(code) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-class _Grouped:
-    """Weighted sums over pairs (group, item), one embedding dimension at a time: out[g] = sum of w * x[i]."""
-
-    def __init__(self, group: np.ndarray, item: np.ndarray, weight: np.ndarray, groups: int):
-        self.group, self.item, self.weight, self.groups = group, item, weight, groups
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(self.group, column[self.item] * self.weight, self.groups) for column in np.ascontiguousarray(x.T)], 1)
-
-
 @dataclass
 class Model:
     """What scoring needs: each bucket's part of the softmax's log odds, and the constant part."""
@@ -82,85 +75,111 @@ class Model:
         return (total / np.maximum(np.bincount(whose, minlength=len(words)), 1)).tolist()
 
 
-def train(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
-    """Fit embeddings and softmax together by full-batch descent with momentum, each array's step scaled by its
-    largest gradient and falling to nothing at the last step. Without examples of both classes the constant alone answers."""
-    y = np.array(labels, np.float64)
+class Sample:
+    """Labelled texts as counts of distinct words; the texts themselves are not held."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.labels: list[int] = []
+        self.kinds: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+
+    def add(self, text: str | None, label: int) -> None:
+        own = np.fromiter((self.index.setdefault(w, len(self.index)) for w in words_of(text)), np.int32)
+        kinds, counts = np.unique(own, return_counts=True)
+        self.labels.append(label)
+        self.kinds.append(kinds)
+        self.counts.append(counts.astype(np.int32))
+
+
+class _Means:
+    """Word means of bucket values and text means of word means, and both transposed. The pairs of words and buckets are
+    kept in parts of PART words, so that no pass holds more than a part's values."""
+
+    def __init__(self, sample: Sample):
+        self.texts, self.words = len(sample.labels), len(sample.index)
+        self.text = np.repeat(np.arange(self.texts), [len(k) for k in sample.kinds])
+        self.kind = np.concatenate(sample.kinds) if self.texts else np.zeros(0, np.int32)
+        counts = np.concatenate(sample.counts).astype(np.float64) if self.texts else np.zeros(0)
+        self.share = counts / np.maximum(np.bincount(self.text, counts, self.texts), 1)[self.text]
+        vocabulary, self.parts = list(sample.index), []
+        for lo in range(0, self.words, PART):
+            whose, bucket = subwords(vocabulary[lo : lo + PART])
+            n = len(vocabulary[lo : lo + PART])
+            self.parts.append((lo, n, whose.astype(np.int32), bucket.astype(np.int32), 1.0 / np.maximum(np.bincount(whose, minlength=n), 1)))
+
+    def of_texts(self, values: np.ndarray) -> np.ndarray:
+        word = np.zeros(self.words)
+        for lo, n, whose, bucket, weight in self.parts:
+            word[lo : lo + n] = np.bincount(whose, values[bucket], n) * weight
+        return np.bincount(self.text, word[self.kind] * self.share, self.texts)
+
+    def back(self, errors: np.ndarray, power: int = 1) -> np.ndarray:
+        """What each text's error gives each bucket; with power 2, how much each bucket weighs over all texts."""
+        word, out = np.bincount(self.kind, errors[self.text] * self.share**power, self.words), np.zeros(BUCKETS)
+        for lo, n, whose, bucket, weight in self.parts:
+            out += np.bincount(bucket, (word[lo : lo + n] * weight**power)[whose], BUCKETS)
+        return out
+
+
+def fit(sample: Sample, steps: int = STEPS) -> Model:
+    """Fit embeddings, softmax and constant together by full-batch descent with momentum and falling steps.
+
+    The softmax has two classes, so its rows act through their difference: a text's log odds are the mean of the values
+    table @ direction, and every gradient of the table is a number for each bucket times that direction. Steps are relative
+    to the root of a bucket's weight over all texts, so that frequent words don't lead. Each step a bucket's vector is shortened
+    by SHRINK (a penalty on the vectors' lengths): evidence of chance does not add up, and lasting evidence of any n-gram does.
+    Without examples of both classes the constant alone answers."""
+    y = np.array(sample.labels, np.float64)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(BUCKETS, np.float32), 4.0 if len(y) and y[0] else -4.0)
-    index: dict[str, int] = {}
-    doc, kind = [], []
-    for i, text in enumerate(texts):
-        own = [index.setdefault(w, len(index)) for w in words_of(text)]
-        doc.append(np.full(len(own), i))
-        kind.append(np.array(own, np.int64))
-    doc, kind = np.concatenate(doc), np.concatenate(kind)
-    pairs, counts = np.unique(doc * len(index) + kind, return_counts=True) if len(doc) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    doc, kind = (pairs // max(len(index), 1)), (pairs % max(len(index), 1))
-    length = np.maximum(np.bincount(doc, counts, len(y)), 1)
-    # N-grams are listed twice, a part of the words at a time: first to see in how many texts each bucket may occur,
-    # then to keep the pairs of known buckets only.
-    texts_of_word, kinds = np.bincount(kind, minlength=len(index)), len(index)
-    vocabulary = list(index)
-    del index
-    spread = np.zeros(BUCKETS)
-    size = np.zeros(kinds, np.int32)
-    for lo in range(0, kinds, PART):
-        whose, bucket = subwords(vocabulary[lo : lo + PART])
-        spread += np.bincount(bucket, texts_of_word[lo + whose], BUCKETS)
-        size[lo : lo + PART] = np.bincount(whose, minlength=len(vocabulary[lo : lo + PART]))
-    known = spread >= min(LEAST_TEXTS, max(2, y.sum() // 10))
-    place, n, pairs_of = (np.cumsum(known) - 1).astype(np.int32), int(known.sum()), []
-    for lo in range(0, kinds, PART):
-        whose, bucket = subwords(vocabulary[lo : lo + PART])
-        used = known[bucket]
-        pairs_of.append(((lo + whose[used]).astype(np.int32), place[bucket[used]]))
-    del vocabulary
-    whose, column = (np.concatenate([p[i] for p in pairs_of]) for i in range(2))
-    del pairs_of
-    weight = (1.0 / np.maximum(size, 1))[whose].astype(np.float32)
-    to_word, from_word = _Grouped(whose, column, weight, kinds), _Grouped(column, whose, weight, n)
-    to_text, from_text = _Grouped(doc, kind, counts / length[doc], len(y)), _Grouped(kind, doc, counts / length[doc], kinds)
-    rng = np.random.default_rng(SEED)
-    table, soft, shift = np.zeros((n, WIDTH)), rng.normal(0, 1, (WIDTH, 2)), np.zeros(2)
-    moved = np.zeros_like(table), np.zeros_like(soft), np.zeros_like(shift)
-    one_hot = np.stack([1 - y, y], 1)
-    balance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())[:, None]
-    # How much each bucket weighs over all texts: steps are relative to its root, so that frequent words don't lead.
-    presence = _Grouped(kind, doc, (counts / length[doc]) ** 2, kinds)(np.ones((len(y), 1)))
-    root = np.sqrt(_Grouped(column, whose, weight**2, n)(presence)) + 1e-9
+        return Model(np.zeros(BUCKETS, np.float32), -NO_EVIDENCE if len(y) and y[0] else NO_EVIDENCE)
+    means, rng = _Means(sample), np.random.default_rng(SEED)
+    direction = rng.normal(0, 1, WIDTH)
+    direction /= np.linalg.norm(direction)
+    table, constant = np.zeros((BUCKETS, WIDTH), np.float32), 0.0
+    moved, turned, shifted = np.zeros_like(table), np.zeros(WIDTH), 0.0
+    balance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    root = np.sqrt(means.back(np.ones(len(y)), power=2)) + 1e-9
     for step in range(steps):
-        means = to_text(to_word(table))
-        z = means @ soft + shift
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        error = (p - one_hot) * balance
-        back = from_word(from_text(error @ soft.T)) / root
         rate = 1.0 - step / steps
-        for array, last, grad, scale in zip((table, soft, shift), moved, (back, means.T @ error, error.sum(0)), (1.0, 0.1, 0.2)):
-            if array is table:
-                grad = np.where(np.abs(grad) >= FAINT * np.abs(grad).max(), grad, 0)
-            last *= 0.8
-            last += grad * (scale * rate / max(float(np.abs(grad).max()), 1e-12))
-            array -= last
-    return _finished(table @ (soft[:, 1] - soft[:, 0]), shift[1] - shift[0], known, to_word, to_text, y)
-
-
-def _finished(bucket_odds: np.ndarray, constant: float, known: np.ndarray, to_word: _Grouped, to_text: _Grouped, y: np.ndarray) -> Model:
-    """The model with the last layer's scale and constant fitted once more, without class balance (Newton steps on two numbers)."""
-    x = to_text(to_word(bucket_odds[:, None]))[:, 0]
+        odds = means.of_texts(table @ direction) + constant
+        error = (1 / (1 + np.exp(-np.clip(odds, -40, 40))) - y) * balance
+        raw = means.back(error)
+        steep = raw / root
+        moved = 0.8 * moved + ((steep / max(float(np.abs(steep).max()), 1e-12))[:, None] * direction).astype(np.float32)
+        turn = table.T @ raw
+        turned = 0.8 * turned + turn / max(float(np.abs(turn).max()), 1e-12)
+        shifted = 0.8 * shifted + float(error.sum()) / max(float(np.abs(error).sum()), 1e-12)
+        table -= RATE * rate * moved
+        direction = direction - 0.01 * rate * turned
+        constant -= 0.2 * rate * shifted
+        table *= np.maximum(1 - SHRINK * rate / np.maximum(np.linalg.norm(table, axis=1), 1e-12), 0)[:, None].astype(np.float32)
+    values = table @ direction
+    scale, constant = _rescaled(means.of_texts(values), constant, y)
+    return Model((values * scale).astype(np.float32), constant)
+
+
+def _rescaled(x: np.ndarray, constant: float, y: np.ndarray) -> tuple[float, float]:
+    """The last layer's scale and constant fitted once more, without class balance (Newton steps on two numbers). A weak
+    prior holds the scale to 1 and the constant to NO_EVIDENCE: a text of which nothing is known counts as clean."""
     a, b = 1.0, float(constant)
     for _ in range(60):
         q = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = np.array([((q - y) * x).sum() + 0.05 * (a - 1), (q - y).sum() + 0.01 * b])
+        g = np.array([((q - y) * x).sum() + 0.05 * (a - 1), (q - y).sum() + 0.01 * (b - NO_EVIDENCE)])
         v = q * (1 - q)
         h = np.array([[(v * x * x).sum() + 0.05, (v * x).sum()], [(v * x).sum(), v.sum() + 0.01]])
         d = np.linalg.solve(h, g)
         d *= min(1.0, 1.0 / max(float(np.abs(d).max()), 1e-9))
         a, b = max(a - d[0], 0.05), b - d[1]
-    odds = np.zeros(BUCKETS, np.float32)
-    odds[known] = bucket_odds * a
-    return Model(odds, float(b))
+    return a, float(b)
+
+
+def train(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
+    """fit() on a list of texts."""
+    sample = Sample()
+    for text, label in zip(texts, labels):
+        sample.add(text, label)
+    return fit(sample, steps)
 
 
 _memo: dict = {}
@@ -192,10 +211,24 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     there = known.count()
     cut = int(min(1.0, rows / max(there, 1)) * (1 << 30)) + 1
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < cut).groupBy("doc_id").agg(F.max("label").alias("label"))
-    # At most about `rows` ids: small whatever the size of the tables.
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(chosen), "doc_id").collect()
-    found = sorted({(r.doc_id, r.text, min(max(r.label, 0), 1)) for r in found})
-    return train([r[1] for r in found], [r[2] for r in found])
+    # At most about `rows` ids: small whatever the size of the tables. One task trains on them; it holds distinct words and counts,
+    # and the driver receives one row.
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(chosen), "doc_id")
+    types = pa.schema([("odds", pa.binary()), ("constant", pa.float64())])
+
+    def run(batches):
+        sample, last = Sample(), None
+        for batch in batches:
+            for key, text, label in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                now = (key, hashlib.sha256(text.as_buffer()).digest())
+                if now != last:  # rows that repeat teach once
+                    sample.add(text.as_py(), min(max(label, 0), 1))
+                last = now
+        model = fit(sample)
+        yield pa.RecordBatch.from_arrays([pa.array([model.bucket_odds.tobytes()], pa.binary()), pa.array([model.constant])], schema=types)
+
+    row = found.select("doc_id", "text", "label").repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(run, "odds binary, constant double").first()
+    return Model(np.frombuffer(bytes(row.odds), np.float32), row.constant) if row else train([], [])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
