@@ -24,7 +24,7 @@ TRAIN_ROWS, STEPS, SEED = 8000, 120, 7
 #: The first step's length, and what is taken off a vector's length by a step of rate 1.
 RATE, SHRINK = 2.0, 3.0
 #: Log odds of a text without any evidence, before labels speak.
-NO_EVIDENCE = -4.0
+NO_EVIDENCE = -0.5
 #: Words remembered by a Python worker, half of them recent.
 MEMO = 200_000
 #: Words of the training sample whose n-grams are listed at once.
@@ -132,7 +132,7 @@ def fit(sample: Sample, steps: int = STEPS) -> Model:
     Without examples of both classes the constant alone answers."""
     y = np.array(sample.labels, np.float64)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(BUCKETS, np.float32), -NO_EVIDENCE if len(y) and y[0] else NO_EVIDENCE)
+        return Model(np.zeros(BUCKETS, np.float32), 4.0 if len(y) and y[0] else -4.0)
     means, rng = _Means(sample), np.random.default_rng(SEED)
     direction = rng.normal(0, 1, WIDTH)
     direction /= np.linalg.norm(direction)
