@@ -8,7 +8,7 @@ star for each of its sets, never as all pairs; links become components outside.
 
 near_copies is the same method at another distance: shingles of five words and a Jaccard similarity of 0.8. Pairs at
 that bound differ in a seventh of their bits, where thirds of 64 bits find nothing, so fingerprints are wider, groups
-share chosen bits, and every pair within the radius is verified by its shingles themselves.
+share chosen bits and are searched with the same index, and proposed pairs are verified by their shingles themselves.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, committed, mix64, release_shuffles
+from .common import bounded_batches, committed, discard, mix64, release_shuffles
 from .components import components
 
 #: Words of a shingle and seed of its hash, differing bits that still link, fingerprints of an index node, nodes of an upper node.
@@ -28,11 +28,11 @@ SHINGLE, XX_SEED, MOST_BITS, LEAF, FAN = 3, 42, 2, 16, 16
 #: The bits of each third; a group with more distinct fingerprints than this is divided again by thirds of its other bits.
 THIRDS, MOST_GROUP = ((0, 21), (21, 42), (42, 64)), 1 << 17
 U1 = np.uint64(1)
-#: Of near_copies: words of a shingle, the least Jaccard similarity that links, 64-bit words of a fingerprint, and how many
-#: of them a group compares. Seeds and bounds: see bands_for.
-COPY_SHINGLE, COPY_SIMILARITY, WIDE, COMPARED = 5, 0.8, 4, 2
+#: Of near_copies: words of a shingle, the least Jaccard similarity that links, 64-bit words of a fingerprint, the members from
+#: which a group is searched in tiles, and the leaders that all members of such a group are compared with first.
+COPY_SHINGLE, COPY_SIMILARITY, WIDE, COPY_GROUP, LEADERS = 5, 0.8, 4, 4096, 4
 #: The share of pairs at the bound that groups may miss, and the fingerprints that a group has on average (2 to this).
-MISSED, GROUP_BITS = 0.01, 4
+MISSED, GROUP_BITS = 0.01, 8
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -77,45 +77,64 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def gray_order(fps: np.ndarray) -> np.ndarray:
+    """Rows of 64-bit words sorted as one long Gray code: the parity of the words before turns a word's order around."""
+    ranks, odd = [], np.zeros(len(fps), bool)
+    for word in fps.T:
+        ranks.append(np.where(odd, ~gray_rank(word), gray_rank(word)))
+        odd = odd ^ (np.bitwise_count(word) & 1).astype(bool)
+    return np.lexsort(ranks[::-1])
+
+
 class GrayIndex:
-    """A tree over fingerprints sorted by Gray rank. levels[0] are the roots; a node has the bits that all below it
-    share (mask, pattern) and that no node above it has, and the span of its children in the next level."""
+    """A tree over fingerprints (one row of 64-bit words each) sorted by Gray rank. levels[0] are the roots; a node has
+    the bits that all below it share (mask, pattern) and that no node above it has, and the span of its children in the next level."""
 
     def __init__(self, fps: np.ndarray):
-        self.order = np.argsort(gray_rank(fps), kind="stable")
+        self.order = gray_order(fps.reshape(len(fps), -1))
         self.fps = fps[self.order]
-        ones, zeros = self.fps, ~self.fps
+        ones = self.fps.reshape(len(fps), -1)
+        zeros = ~ones
         level, width = [(ones, zeros)], LEAF
         while len(level[-1][0]) > FAN or len(level) == 1:
             cuts = np.arange(0, len(level[-1][0]), width)
-            level.append((np.bitwise_and.reduceat(level[-1][0], cuts), np.bitwise_and.reduceat(level[-1][1], cuts)))
+            level.append((np.bitwise_and.reduceat(level[-1][0], cuts, axis=0), np.bitwise_and.reduceat(level[-1][1], cuts, axis=0)))
             width = FAN
         self.levels, above = [], None
         for i in range(len(level) - 1, -1, -1):
             ones, zeros = level[i]
             mask = ones | zeros
             if above is not None:
-                mask = mask & ~np.repeat(above, LEAF if i == 0 else FAN)[: len(mask)]
+                mask = mask & ~np.repeat(above, LEAF if i == 0 else FAN, axis=0)[: len(mask)]
             self.levels.append((mask, ones))
             above = ones | zeros
 
-    def within(self, queries: np.ndarray, bits: int):
+    def within(self, queries: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(query's place, fingerprint's place in self.fps) of all pairs that differ in at most `bits` bits."""
+        return self.near(queries, bits)[:2]
+
+    def near(self, queries: np.ndarray, bits: int, first: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, fingerprint's place in self.fps, differing bits) of all pairs that differ in at most `bits` bits.
+        first: the queries are self.fps from there on, and only pairs with a later fingerprint are wanted."""
+        queries = queries.reshape(len(queries), -1)
         q = np.repeat(np.arange(len(queries)), len(self.levels[0][0]))
         node = np.tile(np.arange(len(self.levels[0][0])), len(queries))
         past = np.zeros(len(q), np.int64)
         for depth, (mask, pattern) in enumerate(self.levels):
-            past = past + np.bitwise_count((queries[q] ^ pattern[node]) & mask[node])
+            past = past + sum(np.bitwise_count((queries[q, w] ^ pattern[node, w]) & mask[node, w]) for w in range(mask.shape[1]))
             keep = past <= bits
+            if first is not None:
+                reach = 1 if depth + 1 == len(self.levels) else LEAF * FAN ** (len(self.levels) - depth - 2)  # fingerprints below a node
+                keep &= (node + 1) * reach > q + first + 1
             q, node, past = q[keep], node[keep], past[keep]
             if depth + 1 < len(self.levels):
                 fan = LEAF if depth + 2 == len(self.levels) else FAN
                 below = len(self.levels[depth + 1][0])
-                first = node * fan
-                n = np.minimum(first + fan, below) - first
+                start = node * fan
+                n = np.minimum(start + fan, below) - start
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                q, past, node = np.repeat(q, n), np.repeat(past, n), np.repeat(first, n) + step
-        return q, node
+                q, past, node = np.repeat(q, n), np.repeat(past, n), np.repeat(start, n) + step
+        return q, node, past
 
 
 def stars(fps: np.ndarray, ids: np.ndarray, bits: int = MOST_BITS, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +277,7 @@ def differing(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
-def radius_for(similarity: float, bits: int = 64 * COMPARED) -> int:
+def radius_for(similarity: float, bits: int = 64 * WIDE) -> int:
     """Differing bits that pairs at the bound exceed about once in 700: three standard deviations above their mean."""
     p = differing(similarity)
     return math.ceil(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
@@ -274,26 +293,42 @@ def bands_for(rows: int, similarity: float) -> np.ndarray:
     return np.stack([rng.permutation(64 * WIDE)[:k] for _ in range(bands)])
 
 
-def _close_pairs(fps: np.ndarray, reps: np.ndarray, radius: int, block: int = 512):
-    """(a, b), a < b, of one group's pairs within the radius, a block of rows at a time."""
-    for at in range(0, len(fps), block):
-        one = fps[at : at + block]
-        for to in range(at, len(fps), 8 * block):
-            other = fps[to : to + 8 * block]
-            near = sum(np.bitwise_count(one[:, None, i] ^ other[None, :, i]).astype(np.uint16) for i in range(COMPARED)) <= radius
-            i, j = np.nonzero(near)
-            a, b = reps[at + i], reps[to + j]
-            apart = (to + j > at + i) & (a != b)
-            if apart.any():
-                yield np.minimum(a, b)[apart], np.maximum(a, b)[apart]
-
-
-def candidates(distinct: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of representatives (rep) whose wide fingerprints (f0 ...) share a band and lie within the radius."""
-    spark, radius = distinct.sparkSession, radius_for(similarity)
-    places = bands_for(distinct.count(), similarity)
-    few, weights = [f"f{i}" for i in range(COMPARED)], 1 << np.arange(places.shape[1], dtype=np.int64)
-    dealt = pa.schema([("band", pa.int64()), ("rep", pa.int64()), *[(f, pa.int64()) for f in few]])
+def spanning(a: np.ndarray, b: np.ndarray, apart: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """Of the pairs (a, b) of members, those of a minimum spanning forest over the members' sets; the order is by differing
+    bits, then by the members' places, so the same pairs are chosen wherever the same members meet."""
+    chosen, order = [], np.lexsort((b, a, apart))
+    a, b = a[order], b[order]
+    _, root = np.unique(sets, return_inverse=True)
+    place = np.arange(len(a))
+    while len(place):
+        x, y = root[a[place]], root[b[place]]
+        place, x, y = place[x != y], x[x != y], y[x != y]
+        if not len(place):
+            break
+        least = np.full(int(root.max()) + 1, len(a))
+        np.minimum.at(least, x, place)
+        np.minimum.at(least, y, place)
+        taken = np.unique(least[least < len(a)])
+        chosen.append(taken)
+        up = np.arange(len(least))
+        p, q = root[a[taken]], root[b[taken]]
+        while len(p):
+            p, q = up[p], up[q]
+            differ = p != q
+            p, q = p[differ], q[differ]
+            np.minimum.at(up, np.maximum(p, q), np.minimum(p, q))
+            while (up[up] != up).any():
+                up = up[up]
+        root = up[root]
+    return order[np.concatenate(chosen)] if chosen else np.zeros(0, np.int64)
+
+
+WORDS = [f"f{i}" for i in range(WIDE)]
+
+
+def _dealt(distinct: DataFrame, places: np.ndarray) -> DataFrame:
+    """(band, rep, f0 ...): each wide fingerprint once for each band, by the bits that it has there."""
+    weights, types = 1 << np.arange(places.shape[1], dtype=np.int64), pa.schema([("band", pa.int64()), ("rep", pa.int64()), *[(w, pa.int64()) for w in WORDS]])
 
     def deal(batches):
         for batch in batches:
@@ -303,49 +338,106 @@ def candidates(distinct: DataFrame, similarity: float) -> DataFrame:
                 fps = np.stack([part.column(1 + i).to_numpy() for i in range(WIDE)], 1)
                 bits = np.unpackbits(np.ascontiguousarray(fps).astype("<i8").view(np.uint8).reshape(len(rep), -1), axis=1, bitorder="little")
                 key = (bits[:, places] @ weights) + (np.arange(len(places), dtype=np.int64) << places.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *[pa.array(np.repeat(x, len(places))) for x in (rep, *fps.T[:COMPARED])]], schema=dealt)
-
-    types = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *[pa.array(np.repeat(x, len(places))) for x in (rep, *fps.T)]], schema=types)
+
+    return distinct.select("rep", *WORDS).mapInArrow(deal, "band long, rep long, " + ", ".join(f"{w} long" for w in WORDS))
+
+
+def _searched(tiles: DataFrame, radius: int, everything: bool, members: bool = False) -> DataFrame:
+    """Tiles (key, rep, part, near, f0 ...) -> proposals (a, b): pairs within the radius of one tile, different parts and at least
+    one near end; a spanning forest of them over the parts, or all with `everything`. With `members` also, as rows
+    without b, who has such a pair. A tile is searched with a Gray index, a block of queries at a time."""
+    types = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), *[(w, pa.int64()) for w in WORDS]])
+
+    def tile(key, reps, part, near, fps):
+        by = np.argsort(reps, kind="stable")  # places follow ids, so ties fall alike in all tiles
+        reps, part, near, fps = reps[by], part[by], near[by], fps[by]
+        index, found = GrayIndex(fps), []
+        for at in range(0, len(reps), 512):
+            q, node, bits = index.near(index.fps[at : at + 512], radius, at)
+            i, j = index.order[q + at], index.order[node]
+            good = (node > q + at) & (part[i] != part[j]) & (near[i] | near[j])
+            i, j, bits = np.minimum(i, j)[good], np.maximum(i, j)[good], bits[good]
+            if everything:
+                found.append((i, j, bits))
+            else:  # what is not in the forest of some of the pairs isn't in that of all
+                if found:
+                    i, j, bits = (np.concatenate(x) for x in zip(found.pop(), (i, j, bits)))
+                chosen = spanning(i, j, bits, part)
+                found.append((i[chosen], j[chosen], bits[chosen]))
+        i, j, _ = (np.concatenate(x) for x in zip(*found))
+        if not len(i):
+            return
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), key)), pa.array(reps[i]), pa.array(reps[j]), *[pa.nulls(len(i), pa.int64())] * WIDE], schema=types)
+        if members:
+            own = np.unique(np.concatenate([i, j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key)), pa.array(reps[own]), pa.nulls(len(own), pa.int64()), *[pa.array(x) for x in fps[own].view(np.int64).T.copy()]], schema=types)
 
-    def search(batches):
+    def run(batches):
         key, held = None, []
 
         def close():
-            reps, fps = np.concatenate([r for r, _ in held]), np.concatenate([f for _, f in held])
-            return list(_close_pairs(fps, reps, radius)) if len(reps) > 1 else []
+            if sum(len(x[0]) for x in held) > 1:
+                yield from tile(key, *(np.concatenate(x) for x in zip(*held)))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            band, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            fps = np.stack([batch.column(2 + i).to_numpy() for i in range(COMPARED)], 1).view(np.uint64)
-            cut = np.flatnonzero(band[1:] != band[:-1]) + 1
-            found = []
-            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(band)]):
-                if band[i] != key:
-                    found += close() if held else []
-                    key, held = band[i], []
-                held.append((rep[i:j], fps[i:j]))
-            for a, b in found:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=types)
-        for a, b in close() if held else []:
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=types)
-
-    schema = "band long, rep long, " + ", ".join(f"{f} long" for f in few)
-    banded = distinct.select("rep", *[f"f{i}" for i in range(WIDE)]).mapInArrow(deal, schema)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return banded.repartition(n, "band").sortWithinPartitions("band").mapInArrow(search, "a long, b long").distinct()
+            keys = batch.column(0).to_numpy()
+            rep, part, near = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            fps = np.stack([batch.column(4 + i).to_numpy() for i in range(WIDE)], 1).view(np.uint64)
+            cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)]):
+                if keys[i] != key:
+                    yield from close()
+                    key, held = keys[i], []
+                held.append((rep[i:j], part[i:j], near[i:j], fps[i:j]))
+        yield from close()
+
+    n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiles.select("key", "rep", "part", "near", *WORDS).repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long, " + ", ".join(f"{w} long" for w in WORDS))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose texts have the similarity."""
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = committed(docs.join(ends, "doc_id", "left_semi"), "copy-texts")
+
+    def verify(batches):
+        held: dict[int, set[bytes]] = {}  # one end of many pairs is taken apart once
+        for batch in batches:
+            keep = []
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                text = x.as_py()
+                if (a, text) not in held:
+                    held.clear()
+                    held[a, text] = shingles(text, shingle)
+                x, y = held[a, text], shingles(y.as_py(), shingle)
+                both = len(x & y)
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    named = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    made = committed(pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "copy-links")
+    discard(texts)
+    return made
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY) -> DataFrame:
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, most_group: int = COPY_GROUP) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable over links) of every row with an id. Links join texts of
     the same words and pairs whose sets of shingles have at least this Jaccard similarity; each pair that fingerprints
     propose is verified by its texts, so no link is wrong. Null and wordless texts link with each other; rows of one
-    doc_id share a component."""
+    doc_id share a component.
+
+    Proposals come in three turns: in each group a nearest-first spanning forest over its members (in groups above
+    most_group: every member with each of a few leaders), then one over the sets that verified links have joined so far, then
+    every pair within the radius that still lies between two sets. So a group of copies costs about one verification a member, and no pair that
+    could join two sets is left out. Large groups are cut into tiles: members of their first leader's set are compared
+    with the members outside it only."""
     spark = df.sparkSession
     bounded_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    types = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), *[(f"f{i}", pa.int64()) for i in range(WIDE)]])
+    types = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), *[(w, pa.int64()) for w in WORDS]])
 
     def run(batches):
         for batch in batches:
@@ -355,28 +447,69 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                 fps = np.stack([wide_fingerprint(t, shingle) for t in texts]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), *[pa.array(np.ascontiguousarray(c)) for c in fps.T]], schema=types)
 
-    words = [f"f{i}" for i in range(WIDE)]
-    made = committed(docs.mapInArrow(run, "doc_id long, same binary, " + ", ".join(f"{f} long" for f in words)), "wide-fingerprints")
-    distinct = committed(made.groupBy("same", *words).agg(F.min("doc_id").alias("rep")), "distinct-texts")
-    pairs = committed(candidates(distinct, similarity), "copy-candidates")
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = committed(docs.join(ends, "doc_id", "left_semi"), "copy-texts")
-
-    def verify(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = shingles(x.as_py(), shingle), shingles(y.as_py(), shingle)
-                both = len(x & y)
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    named = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    verified = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
-    equal = made.join(distinct.select("same", "rep"), "same").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a != b")
-    joined = components(verified.union(equal))
+    made = committed(docs.mapInArrow(run, "doc_id long, same binary, " + ", ".join(f"{w} long" for w in WORDS)), "wide-fingerprints")
+    distinct = committed(made.groupBy("same", *WORDS).agg(F.min("doc_id").alias("rep")), "distinct-texts")
+    radius, dealt = radius_for(similarity), _dealt(distinct, bands_for(distinct.count(), similarity))
+    # One doc_id with several texts: its texts belong together.
+    repeated = made.groupBy("doc_id").agg(F.min("same").alias("p"), F.max("same").alias("q")).filter("p != q").select("doc_id")
+    edges = made.join(repeated, "doc_id", "left_semi").join(distinct.select("same", "rep"), "same").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+    large = committed(dealt.groupBy("band").agg(F.count("*").alias("size")).filter(F.col("size") > most_group), "large-groups")
+    hot = large.count()
+    mark = F.broadcast(large.select("band")) if hot <= 10_000 else large.select("band")
+    alone = [F.col("band").alias("key"), "rep", F.col("rep").alias("part"), F.lit(True).alias("near"), *WORDS]
+    cold = dealt if not hot else dealt.join(mark, "band", "left_anti")
+    first = committed(_searched(cold.select(*alone), radius, False, members=True), "copy-groups")
+    pairs = first.filter("b is not null").select("a", "b")
+    members = first.filter("b is null").select("key", F.col("a").alias("rep"), *WORDS)
+    rows = None
+    if hot:
+        rows = committed(dealt.join(mark, "band", "left_semi"), "large-group-rows")
+        leads = [F.min(F.struct(F.xxhash64("rep", F.lit(i)), "rep", *WORDS)).alias(f"l{i}") for i in range(LEADERS)]
+        leaders = rows.groupBy("band").agg(*leads).select("band", F.explode(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("l")).select("band", F.col("l.rep").alias("lead"), *[F.col(f"l.{w}").alias(f"l_{w}") for w in WORDS]).distinct()
+        apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"l_{w}"))) for w in WORDS), F.lit(0))
+        # Four rows for each large group, of which there are at most rows x bands / most_group.
+        led = rows.join(F.broadcast(leaders) if hot <= 10_000 else leaders, "band").filter((F.col("rep") != F.col("lead")) & (apart <= radius))
+        pairs = pairs.union(led.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")))
+    tested = None
+    for turn in range(3):
+        if turn:
+            joined = committed(components(edges), "copy-sets")
+            part = F.coalesce("component", "rep")
+            tiles = members.join(joined, F.col("rep") == F.col("id"), "left").select("key", "rep", part.alias("part"), F.lit(True).alias("near"), *WORDS)
+            split = tiles.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("key")
+            tiles = tiles.join(split, "key", "left_semi")
+            if hot:
+                tiles = tiles.union(_large_tiles(rows.join(joined, F.col("rep") == F.col("id"), "left").select("band", "rep", part.alias("part"), *WORDS), most_group))
+            pairs = _searched(tiles, radius, turn == 2).filter("b is not null").select("a", "b")
+        pairs = pairs.filter("a != b").distinct()
+        pairs = committed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "copy-candidates")
+        if turn and not pairs.head(1):
+            continue
+        tested = pairs if tested is None else tested.union(pairs)
+        edges = edges.union(_verified(pairs, docs, shingle, similarity))
+        release_shuffles(spark)
+    of_rep = components(edges).withColumnRenamed("id", "rep")
+    of_same = distinct.select("same", "rep").join(of_rep, "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     release_shuffles(spark)
-    return made.select("doc_id").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    return made.select("doc_id", "same").join(of_same, "same").select("doc_id", "component_id")
+
+
+def _large_tiles(rows: DataFrame, most_group: int) -> DataFrame:
+    """Tiles of large groups (band, rep, part, f0 ...), of at most about two most_group rows each, that together hold every
+    pair of different parts: the members outside the part of the group's first leader are near ends, cut into slices,
+    and each slice meets every row of the group, which are dealt to shares."""
+    parts = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep", F.lit(0)), "part")).getField("part").alias("main"), F.count("*").alias("size"))
+    outside = rows.join(parts, "band").filter("part != main").groupBy("band").agg(F.count("*").alias("out"))
+    known = parts.join(outside, "band").select("band", "main", F.ceil(F.col("out") / most_group).cast("int").alias("slices"), F.ceil(F.col("size") / most_group).cast("int").alias("shares"))
+    placed = rows.join(known, "band").withColumns({"near": F.col("part") != F.col("main"), "slice": F.pmod(F.xxhash64("rep", F.lit("slice")), "slices"), "share": F.pmod(F.xxhash64("rep", F.lit("share")), "shares")})
+    # Two tiles may fall on one key: their rows then meet too, which proposes nothing wrong.
+    name = lambda s, t: F.xxhash64("band", F.col(s).cast("long"), F.col(t).cast("long")).alias("key")
+    every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    outer = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
+    met = placed.withColumn("to", every).select(name("to", "share"), "rep", "part", F.lit(False).alias("near"), *WORDS)
+    near = placed.filter("near").withColumn("to", outer).select(name("slice", "to"), "rep", "part", "near", *WORDS)
+    return met.union(near)
 
 
 def keep_one(docs: DataFrame, broadcast_rows: int = 200_000, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:

@@ -124,6 +124,44 @@ def test_near_copies_find_jaccard_pairs(spark):
     assert sum(old[i] == old[j] for i, j in near) < 0.5 * len(near)  # the digest's radius misses most
 
 
+def chained_texts():
+    """A family whose copies each change other words, so that many pairs are near without linking, and two more families."""
+    rng = np.random.default_rng(13)
+    texts = []
+    for n in (60, 25, 4):
+        base = [f"w{x}" for x in rng.integers(0, 9000, 120)]
+        texts.append(" ".join(base))
+        for i in range(n):
+            copy = list(base)
+            for at in rng.choice(len(copy), int(rng.integers(1, 3)), replace=False):
+                copy[at] = f"c{i}"
+            texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("most_group", [simhash.COPY_GROUP, 5])
+def test_near_copies_in_large_groups(spark, most_group):
+    texts = chained_texts()
+    root = sets(len(texts), jaccard_pairs(texts))
+    df = spark.createDataFrame([(d, t, 1, "s", 2) for d, t in enumerate(texts)], TEXT)
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(df, most_group=most_group).collect()}
+    assert [found[i] for i in range(len(texts))] == root
+
+
+def test_spanning_forest_is_least():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 40, (2, 300))
+    a, b, apart = a[a < b], b[a < b], rng.integers(0, 9, 300)[a < b]
+    chosen = simhash.spanning(a, b, apart, np.arange(40))
+    parent, want = list(range(40)), 0
+    root = lambda x: x if parent[x] == x else root(parent[x])
+    for i in np.lexsort((b, a, apart)):
+        if root(a[i]) != root(b[i]):
+            parent[root(a[i])] = root(b[i])
+            want += apart[i]
+    assert apart[chosen].sum() == want and sets(40, zip(a[chosen], b[chosen])) == sets(40, zip(a, b))
+
+
 def test_near_copies_odd_rows(spark):
     rows = [(5, None), (3, ""), (7, "A b C"), (6, "a B c"), (None, "a b c"), (8, "a b d"), (9, "one two three four five six"), (9, "other")]
     df = spark.createDataFrame([(d, t, 1, "s", 2) for d, t in rows], TEXT)
