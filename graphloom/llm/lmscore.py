@@ -1,28 +1,35 @@
 """Cross-entropy difference: how much better a target model predicts a text than a background model, for each token.
 
-Both are interpolated bigram models with absolute discounting, of one form and over one vocabulary, counted from a
-target table and from all of a background table. The vocabulary and the bigrams that models hold are those above a
-relative frequency, so their number has a fixed bound however large the tables are; all counts cover every row.
+Both are bigram models of one form (Dirichlet smoothing with the model's own words) over one vocabulary, the words of both tables, counted
+from all rows of a target table and of a background table. Nothing is cut: the counts of every word and every pair stay in
+a distributed table, cut into buckets by hash. Texts are scored a chunk at a time. A chunk asks each bucket for its distinct
+words and pairs, as one sorted list, and receives their counts in the same order; so what is shuffled are
+compact lists, pre-aggregated in their chunk, and no word or pair is hot.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, committed, release_shuffles
+from .common import bounded_batches, committed, discard, mix64, release_shuffles
 
-#: Least shares of all tokens: at most 1 / share words (or bigrams) of each table pass.
-WORD_SHARE, TARGET_WORD_SHARE, PAIR_SHARE, TARGET_PAIR_SHARE = 5e-6, 1e-4, 1e-6, 1e-5
-DISCOUNT, ADDED = 0.75, 0.5
-#: Ids with a meaning of their own: unknown word, end of text (also what stands before a text).
-UNK, EDGE = 0, 1
-#: Distinct entries that a task holds before it hands its partial counts on.
-HELD = 400_000
+#: Counts that a context lends to the words alone, and what every word of the vocabulary has besides its count.
+LENT, ADDED = 8.0, 0.5
+#: Tokens of a chunk (the last text may go beyond), and characters of both tables for each bucket, of which there are at most MOST_BUCKETS.
+CHUNK_TOKENS, BUCKET_CHARS, MOST_BUCKETS = 1 << 21, 8 << 20, 1 << 16
+#: The hash of what stands before and after a text: of no word, for no word is empty.
+EDGE = xxhash.xxh3_64_intdigest(b"")
+BACKGROUND, TARGET, ASKED = 0, 1, 2
+ROWS = "kind int, chunk long, bucket int, tokens long, keys binary, counts binary, ids array<long>, lengths array<int>"
+TYPES = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("tokens", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -30,158 +37,204 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _word_counts(df: DataFrame, text_col: str) -> DataFrame:
-    types = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+def packed(x: np.ndarray) -> bytes:
+    """Integers by byte planes, compressed; small ones leave empty planes."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
 
-    def give(counts: Counter):
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=types)
 
-    def run(batches):
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(words_of(text.as_py()))
-                counts[b""] += 1  # the end of a text; no word is empty
-                if len(counts) >= HELD:
-                    yield give(counts)
-                    counts.clear()
-        if counts:
-            yield give(counts)
+def unpacked(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
-    return df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
 
-@dataclass
-class Vocabulary:
-    """Words from id 2 on, in byte order."""
 
-    words: list[bytes]
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw, np.uint64), dtype=np.uint64)
+
+
+class Chunk:
+    """Tokens of some texts as places in a list of distinct words; every text ends with the edge, which is place 0."""
+
+    def __init__(self, hashes: np.ndarray, tokens: np.ndarray):
+        self.hashes, self.tokens = hashes, tokens
+        before = np.concatenate([np.zeros(1, np.int64), tokens[:-1]])
+        pairs, self.pair_of, self.pair_counts = np.unique(before << 32 | tokens, return_inverse=True, return_counts=True)
+        self.first, self.second = pairs >> 32, pairs & 0xFFFFFFFF
+        # Keys of words are odd, keys of pairs are even.
+        mixed = mix64(hashes)
+        word_keys, pair_keys = mixed | np.uint64(1), mix64(mixed[self.first] * np.uint64(0x9E3779B97F4A7C15) + mixed[self.second]) & ~np.uint64(1)
+        keys = np.concatenate([word_keys, pair_keys])
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    def counts(self) -> np.ndarray:
+        return np.concatenate([np.bincount(self.tokens, minlength=len(self.hashes)), self.pair_counts]).astype(np.uint32)[self.order]
 
-    def ids(self, words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
-        out = np.full(len(words) + 2, EDGE, np.int64)
-        out[1:-1] = np.fromiter((index.get(w, UNK) for w in words), np.int64, len(words))
-        return out
+    def token_losses(self, counts: np.ndarray, total: int, words: int) -> np.ndarray:
+        """The loss of each token in nats, by counts of all keys in their order."""
+        own = np.empty(len(counts))
+        own[self.order] = counts
+        word, pair = own[: len(self.hashes)], own[len(self.hashes) :]
+        alone = (word + ADDED) / (total + ADDED * (words + 1))  # one more for all words of neither table
+        return -np.log((pair + LENT * alone[self.second]) / (word[self.first] + LENT))[self.pair_of]
 
-    def index(self) -> dict[bytes, int]:
-        return {w: i + 2 for i, w in enumerate(self.words)}
 
-    def __len__(self) -> int:
-        return len(self.words) + 2
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _pair_counts(df: DataFrame, text_col: str, vocabulary: Vocabulary) -> DataFrame:
-    types, blob = pa.schema([("pair", pa.int64()), ("n", pa.int64())]), b" ".join(vocabulary.words)
+def _chunks(df: DataFrame, id_col: str | None, text_col: str, kind: int, buckets: int, plans: bool) -> DataFrame:
+    """Rows of ROWS: for each chunk and bucket its keys and their counts there; with plans also one row of bucket -1 with
+    what scoring needs (word hashes as keys, tokens as counts, ids and numbers of tokens of the texts)."""
 
     def run(batches):
-        own = Vocabulary(blob.split())
-        index, size = own.index(), len(own)
-        pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        part, n, index, hashes, tokens, ids, lengths = TaskContext.get().partitionId(), 0, {}, [EDGE], [], [], []
+        held = 0
+
+        def close():
+            own = Chunk(np.array(hashes, np.uint64), np.concatenate(tokens).astype(np.int64))
+            name, size, counts = (part << 32) + n, len(own.tokens), own.counts()
+            cuts = np.searchsorted(bucket_of(own.keys, buckets), np.arange(buckets + 1))
+            rows = [(kind, name, b, size if first else 0, packed_keys(own.keys[i:j]), packed(counts[i:j]), None, None) for b, (i, j, first) in enumerate(zip(cuts, cuts[1:], np.arange(buckets) == 0)) if j > i or first]
+            if plans:
+                rows.append((kind, name, -1, 0, packed(own.hashes), packed(own.tokens.astype(np.uint32)), ids, lengths))
+            for at in range(0, len(rows), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256]), TYPES.types)], schema=TYPES)
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            found = [pairs]
-            for text in batch.column(0):
-                ids = own.ids(words_of(text.as_py()), index)
-                found.append(ids[:-1] * size + ids[1:])
-            new, at = np.unique(np.concatenate(found), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, np.ones(len(at) - len(counts), np.int64)]), len(new)).astype(np.int64)
-            pairs = new
-            if len(pairs) >= 4 * HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], schema=types)
-                pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], schema=types)
-
-    return df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = []
+                for w in words_of(text.as_py()):
+                    i = index.get(w)
+                    if i is None:
+                        i = index[w] = len(hashes)
+                        hashes.append(xxhash.xxh3_64_intdigest(w))
+                    found.append(i)
+                found.append(0)
+                tokens.append(np.array(found, np.int32))
+                ids.append(key)
+                lengths.append(len(found))
+                held += len(found)
+                if held >= CHUNK_TOKENS:
+                    yield from close()
+                    n, index, hashes, tokens, ids, lengths, held = n + 1, {}, [EDGE], [], [], [], 0
+        if held:
+            yield from close()
+
+    own = F.lit(None).cast("long") if id_col is None else F.col(id_col).cast("long")
+    return df.select(own.alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ROWS)
+
+
+def _by_bucket(rows: DataFrame, handle, schema: str) -> DataFrame:
+    """handle(bucket, list of that bucket's rows as tuples) -> record batches, for each bucket."""
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
+    def run(batches):
+        bucket, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                if row[0] != bucket:
+                    if held:
+                        yield from handle(bucket, held)
+                    bucket, held = row[0], []
+                held.append(row[1:])
+        if held:
+            yield from handle(bucket, held)
 
-@dataclass
-class Bigrams:
-    """Log probabilities of one model: of each held pair, of a word alone, and of what a word leaves to words alone."""
+    return rows.repartition(n, rows.columns[0]).sortWithinPartitions(*rows.columns[:2]).mapInArrow(run, schema)
 
-    alone: np.ndarray
-    left: np.ndarray
-    pairs: np.ndarray
 
-    @classmethod
-    def fit(cls, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray) -> "Bigrams":
-        """counts: of each id; pairs: codes of all pairs in either model; pair_counts: 0 where this model has none."""
-        size = len(counts)
-        p = (counts + ADDED) / (counts.sum() + ADDED * size)
-        before, word = pairs // size, pairs % size
-        held = np.maximum(pair_counts - DISCOUNT, 0) / np.maximum(counts[before], 1)
-        left = np.clip(1 - np.bincount(before, held, size), 1e-12, 1)
-        return cls(np.log(p), np.log(left), np.log(held + left[before] * p[word]))
+def _merged(requests: DataFrame) -> DataFrame:
+    """(bucket, words, keys, b, t): the counts of every word and pair of a bucket, summed over chunks."""
+    types = pa.schema([("bucket", pa.int32()), ("words", pa.int64()), ("keys", pa.binary()), ("b", pa.binary()), ("t", pa.binary())])
+
+    def handle(bucket, rows):
+        parts = [(kind, unpacked_keys(keys), unpacked(counts, np.uint32)) for kind, keys, counts in rows]
+        keys, at = np.unique(np.concatenate([k for _, k, _ in parts]), return_inverse=True)
+        counts = np.concatenate([c for _, _, c in parts])
+        target = np.repeat([kind == TARGET for kind, _, _ in parts], [len(k) for _, k, _ in parts])
+        sums = [np.bincount(at[own], counts[own], len(keys)).astype(np.uint64) for own in (~target, target)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((bucket, int((keys & np.uint64(1)).sum()), packed_keys(keys), packed(sums[0]), packed(sums[1])), types.types)], schema=types)
+
+    return _by_bucket(requests.select("bucket", "kind", "keys", "counts"), handle, "bucket int, words long, keys binary, b binary, t binary")
 
 
 @dataclass
-class Pair:
-    """Target and background over one vocabulary, with the codes of the pairs that either holds."""
-
-    vocabulary: Vocabulary
-    codes: np.ndarray
-    target: Bigrams
-    background: Bigrams
-
-    def losses(self, words: list[bytes], index: dict[bytes, int]) -> tuple[int, float, float]:
-        """(tokens with the end, mean target loss, mean background loss) in nats."""
-        ids = self.vocabulary.ids(words, index)
-        a, b = ids[:-1], ids[1:]
-        code = a * len(self.vocabulary) + b
-        at = np.minimum(np.searchsorted(self.codes, code), max(len(self.codes) - 1, 0))
-        held = self.codes[at] == code if len(self.codes) else np.zeros(len(code), bool)
-        out = []
-        for m in (self.target, self.background):
-            loss = -(m.left[a] + m.alone[b])
-            loss[held] = -m.pairs[at[held]]
-            out.append(float(loss.mean()))
-        return len(code), *out
-
-
-def fit(background: DataFrame, target: DataFrame, text_col: str = "text", target_col: str = "text", word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE, target_word_share: float = TARGET_WORD_SHARE, target_pair_share: float = TARGET_PAIR_SHARE) -> Pair:
-    """Count all rows of both tables and fit both models. Null texts count as empty ones; a table without rows gives a
-    uniform model."""
+class Models:
+    """The table of counts with both totals and the size of the vocabulary; the background's chunks, if they are to be scored."""
+
+    table: DataFrame
+    buckets: int
+    background_tokens: int
+    target_tokens: int
+    words: int
+    source: tuple | None = None
+    chunks: DataFrame | None = None
+
+
+def fit(background: DataFrame, target: DataFrame, text_col: str = "text", target_col: str = "text", id_col: str = "doc_id") -> Models:
+    """Count all words and pairs of all rows of both tables. Null texts count as empty ones; a table without rows gives a
+    uniform model. The background's chunks are kept, so that scoring the same table does not read it again."""
     spark = background.sparkSession
     bounded_batches(spark)
-    counts = _word_counts(background, text_col).withColumnRenamed("n", "b").join(_word_counts(target, target_col).withColumnRenamed("n", "t"), "word", "full")
-    counts = committed(counts.select("word", F.coalesce("b", F.lit(0)).alias("b"), F.coalesce("t", F.lit(0)).alias("t")), "word-counts")
-    total = counts.agg(F.sum("b").alias("b"), F.sum("t").alias("t")).first()
-    all_b, all_t = total.b or 0, total.t or 0
-    # At most 1 / share rows of each kind.
-    held = counts.filter((F.length("word") == 0) | (F.col("b") >= max(word_share * all_b, 1)) & (F.col("b") > 0) | (F.col("t") >= max(target_word_share * all_t, 1))).toPandas().sort_values("word")
-    edge, held = held[held.word.map(len) == 0], held[held.word.map(len) > 0]
-    vocabulary = Vocabulary([bytes(w) for w in held.word])
+    size = sum(df.agg(F.sum(F.length(F.col(c).cast("string")))).first()[0] or 0 for df, c in ((background, text_col), (target, target_col)))
+    buckets = min(max(math.ceil(size / BUCKET_CHARS), 1), MOST_BUCKETS)
+    known = id_col if id_col in background.columns else None
+    own = committed(_chunks(background, known, text_col, BACKGROUND, buckets, True), "lm-chunks")
+    other = committed(_chunks(target, None, target_col, TARGET, buckets, False), "lm-target")
+    requests = own.filter("bucket >= 0").union(other)
+    table = committed(_merged(requests), "lm-counts")
+    total = requests.groupBy("kind").agg(F.sum("tokens").alias("n")).collect()
+    totals = {r.kind: r.n for r in total}
+    words = table.agg(F.sum("words")).first()[0] or 0
+    discard(other)
     release_shuffles(spark)
+    return Models(table, buckets, totals.get(BACKGROUND, 0), totals.get(TARGET, 0), words, (background, known, text_col), own)
 
-    def of(column: str, everything: int) -> np.ndarray:
-        ends = int(edge[column].sum())
-        own = held[column].to_numpy(np.int64)
-        return np.concatenate([[everything - ends - own.sum(), ends], own]).astype(np.float64)
 
-    pairs = _pair_counts(background, text_col, vocabulary).withColumnRenamed("n", "b").join(_pair_counts(target, target_col, vocabulary).withColumnRenamed("n", "t"), "pair", "full")
-    kept = pairs.filter((F.col("b") >= max(pair_share * all_b, 2)) | (F.col("t") >= max(target_pair_share * all_t, 1))).toPandas().fillna(0).sort_values("pair")
-    codes = kept.pair.to_numpy(np.int64)
+def score(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens (words and the end), target_loss, background_loss (nats for each token) and score (their difference;
+    lower is more like the target) of every row. A null or wordless text is the end alone; extra columns are ignored;
+    repeated rows repeat."""
+    spark = df.sparkSession
+    bounded_batches(spark)
+    mine = models.source is not None and models.source[0] is df and models.source[1:] == (id_col, text_col)
+    chunks = models.chunks if mine else committed(_chunks(df, id_col, text_col, ASKED, models.buckets, True), "lm-chunks")
+    kinds = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("b", pa.binary()), ("t", pa.binary())])
+
+    def answer(bucket, rows):
+        keys, b, t = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        for chunk, asked, more_b, more_t in rows:
+            if chunk == -1:  # the bucket's own row comes first
+                keys, b, t = unpacked_keys(asked), unpacked(more_b, np.uint64), unpacked(more_t, np.uint64)
+                continue
+            own = unpacked_keys(asked)
+            at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+            held = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+            found = [np.where(held, x[at], 0).astype(np.uint64) if len(keys) else np.zeros(len(own), np.uint64) for x in (b, t)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((chunk, bucket, packed(found[0]), packed(found[1])), kinds.types)], schema=kinds)
+
+    none = F.lit(None).cast("binary")
+    asked = chunks.filter("bucket >= 0").select("bucket", "chunk", "keys", none.alias("b"), none.alias("t"))
+    answers = committed(_by_bucket(models.table.select("bucket", F.lit(-1).cast("long"), "keys", "b", "t").union(asked), answer, "chunk long, bucket int, b binary, t binary"), "lm-answers")
     release_shuffles(spark)
-    return Pair(vocabulary, codes, Bigrams.fit(of("t", all_t), codes, kept.t.to_numpy(np.float64)), Bigrams.fit(of("b", all_b), codes, kept.b.to_numpy(np.float64)))
-
-
-def score(df: DataFrame, models: Pair, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens (words and the end), target_loss, background_loss and score (their difference; lower is more
-    like the target) of every row. A null or wordless text is the end alone; extra columns are ignored."""
-    bounded_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast((b" ".join(models.vocabulary.words), models.codes, models.target, models.background))
+    totals, words = (models.target_tokens, models.background_tokens), models.words
     types = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
 
-    def run(batches):
-        blob, codes, target, background = shared.value
-        own = Pair(Vocabulary(blob.split()), codes, target, background)
-        index = own.vocabulary.index()
-        for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                n, t, b = own.losses(words_of(text.as_py()), index)
-                rows.append((key, n, t, b, t - b))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), types.types)], schema=types)
-
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    def finish(_, rows):
+        _, hashes, tokens, ids, lengths = rows[0]  # bucket -1
+        own = Chunk(unpacked(hashes, np.uint64), unpacked(tokens, np.uint32).astype(np.int64))
+        counts = [np.concatenate([unpacked(r[k], np.uint64) for r in rows[1:]]).astype(np.float64) for k in (2, 1)]
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+        n = np.array(lengths, np.int64)
+        target, background = (np.add.reduceat(own.token_losses(c, total, words), starts) / n for c, total in zip(counts, totals))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(target), pa.array(background), pa.array(target - background)], schema=types)
+
+    lists = [F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("lengths")]
+    plans = chunks.filter("bucket = -1").select("chunk", "bucket", "keys", "counts", "ids", "lengths")
+    together = plans.union(answers.select("chunk", "bucket", "b", "t", *lists))
+    return _by_bucket(together, finish, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

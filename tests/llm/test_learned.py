@@ -78,67 +78,59 @@ def test_toxicity_odd_rows(spark):
     assert kept.columns == df.columns and kept.filter("doc_id = 8").count() == 0 and kept.count() == len(ODD)
 
 
-def plain_losses(background, target, texts, shares):
-    """Bigram models by dictionaries."""
-    word_share, target_word_share, pair_share, target_pair_share = shares
+def plain_losses(background, target, texts):
+    """Bigram models by dictionaries: every word and every pair counts."""
 
     def words(t):
         return ["<e>", *[w.decode() for w in (t or "").encode().lower().split()], "<e>"]
 
-    def counts(docs):
-        c = {}
+    def counted(docs):
+        one, two = {}, {}
         for d in docs:
-            for w in words(d)[1:]:
-                c[w] = c.get(w, 0) + 1
-        return c
-
-    cb, ct = counts(background), counts(target)
-    nb, nt = sum(cb.values()), sum(ct.values())
-    vocabulary = {w for w in {*cb, *ct} if w != "<e>" and (cb.get(w, 0) >= max(word_share * nb, 1) or ct.get(w, 0) >= max(target_word_share * nt, 1))}
-
-    def ids(t):
-        return [w if w in vocabulary or w == "<e>" else "<u>" for w in words(t)]
-
-    def pairs(docs):
-        c = {}
-        for d in docs:
-            x = ids(d)
-            for p in zip(x, x[1:]):
-                c[p] = c.get(p, 0) + 1
-        return c
-
-    pb, pt = pairs(background), pairs(target)
-    held = {p for p in {*pb, *pt} if pb.get(p, 0) >= max(pair_share * nb, 2) or pt.get(p, 0) >= max(target_pair_share * nt, 1)}
-    size, out = len(vocabulary) + 2, []
-    models = []
-    for docs, p in ((target, pt), (background, pb)):
-        one = {}
-        for d in docs:
-            for w in ids(d)[1:]:
-                one[w] = one.get(w, 0) + 1
-        n = sum(one.values())
-        alone = lambda w, one=one, n=n: (one.get(w, 0) + 0.5) / (n + 0.5 * size)
-        kept = {k: max(p.get(k, 0) - 0.75, 0) / max(one.get(k[0], 0), 1) for k in held}
-        left = {}
-        for (a, _), v in kept.items():
-            left[a] = left.get(a, 1) - v
-        models.append(lambda a, b, alone=alone, kept=kept, left=left: kept.get((a, b), 0) + left.get(a, 1) * alone(b))
+            x = words(d)
+            for a, b in zip(x, x[1:]):
+                one[b] = one.get(b, 0) + 1
+                two[a, b] = two.get((a, b), 0) + 1
+        return one, two
+
+    tables = [counted(target), counted(background)]
+    size = len(set(tables[0][0]) | set(tables[1][0])) + 1
+    out = []
     for t in texts:
-        x = ids(t)
-        out.append([float(np.mean([-np.log(m(a, b)) for a, b in zip(x, x[1:])])) for m in models])
+        x, means = words(t), []
+        for one, two in tables:
+            n = sum(one.values())
+            alone = lambda w, one=one, n=n: (one.get(w, 0) + 0.5) / (n + 0.5 * size)
+            means.append(float(np.mean([-np.log((two.get((a, b), 0) + 8 * alone(b)) / (one.get(a, 0) + 8)) for a, b in zip(x, x[1:])])))
+        out.append(means)
     return out
 
 
-def test_cross_entropy_difference_matches_a_plain_version(spark):
+def test_cross_entropy_difference_matches_a_plain_version(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     rows, target = docs.select("doc_id", "text").collect(), [r.text for r in bench.collect()]
-    shares = (1e-4, 1e-3, 1e-4, 1e-3)
-    models = lmscore.fit(docs, bench, word_share=shares[0], target_word_share=shares[1], pair_share=shares[2], target_pair_share=shares[3])
-    found = {r.doc_id: r for r in lmscore.score(docs, models).collect()}
-    for r, (t, b) in zip(rows, plain_losses([r.text for r in rows], target, [r.text for r in rows], shares)):
-        f = found[r.doc_id]
-        assert abs(f.target_loss - t) < 1e-9 and abs(f.background_loss - b) < 1e-9 and abs(f.score - (t - b)) < 1e-9
+    other = spark.createDataFrame([(1, "words that no table has"), (2, rows[0].text), (2, None)], "doc_id long, text string")
+    want = plain_losses([r.text for r in rows], target, [r.text for r in rows])
+    for chunk, chars in ((lmscore.CHUNK_TOKENS, lmscore.BUCKET_CHARS), (500, 10_000)):  # one chunk and bucket, and many
+        monkeypatch.setattr(lmscore, "CHUNK_TOKENS", chunk)
+        monkeypatch.setattr(lmscore, "BUCKET_CHARS", chars)
+        models = lmscore.fit(docs, bench)
+        for df, texts, losses in ((docs, rows, want), (other, other.collect(), plain_losses([r.text for r in rows], target, [r.text for r in other.collect()]))):
+            found = sorted((r.doc_id, r.n_tokens, r.target_loss, r.background_loss, r.score) for r in lmscore.score(df, models).collect())
+            plain = sorted((r.doc_id, len((r.text or "").encode().split()) + 1, t, b, t - b) for r, (t, b) in zip(texts, losses))
+            assert len(found) == len(plain) and all(f[:2] == p[:2] and np.allclose(f[2:], p[2:], rtol=0, atol=1e-9) for f, p in zip(found, plain))
+
+
+def test_rare_words_and_pairs_count_at_any_size(spark):
+    """A pair that one text of very many has is held: the same words turned around are less likely."""
+    rows = [(i, "the same old line of words") for i in range(20_000)] + [(20_000, "quaint zephyr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models = lmscore.fit(docs, docs.filter("doc_id < 3"))
+    asked = spark.createDataFrame([(1, "quaint zephyr"), (2, "zephyr quaint"), (3, "never seen")], "doc_id long, text string")
+    found = {r.doc_id: r for r in lmscore.score(asked, models).collect()}
+    assert found[1].background_loss + 0.05 < found[2].background_loss < found[3].background_loss
+    assert abs(found[1].target_loss - found[2].target_loss) < 1e-9
 
 
 def test_cross_entropy_odd_rows(spark):
