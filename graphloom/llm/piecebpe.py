@@ -1,14 +1,13 @@
 """SentencePiece BPE encoding and decoding in vectorised merge rounds.
 
 Words (text between the marks for spaces) that are new to a worker become flat arrays of symbols. Each round finds
-the smallest rank of all neighbouring pairs of each word (a segmented minimum), merges its leftmost occurrence in all
-words at once, and compacts the arrays; words without a pair leave. Results are remembered by word.
+the smallest rank of all neighbouring pairs of each segment of a word (a segmented minimum), merges its occurrences from the
+left in all segments at once, and compacts the arrays; segments without a pair leave. Results are remembered by word.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 import struct
 from functools import lru_cache
@@ -20,8 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import TwoGenerations, bounded_batches
 
-#: Symbols from which a word is merged by a queue instead, in time n log n; words that a Python worker remembers.
-LONG_WORD, MEMO = 96, 120_000
+#: Words that a Python worker remembers; characters that are merged at once (a segment is never divided).
+MEMO, AT_ONCE = 120_000, 1 << 20
 #: Characters of texts whose new words are merged together.
 TOGETHER = 1 << 21
 SPACE = "▁"
@@ -103,7 +102,7 @@ class PieceModel:
         self.pair_keys = np.array(sorted(merges), np.int64)
         self.pair_rank = np.array([merges[k][0] for k in self.pair_keys.tolist()], np.int64)
         self.pair_to = np.array([merges[k][1] for k in self.pair_keys.tolist()], np.int64)
-        self.merges = merges
+        self.beside = np.array(sorted({ord(a) << 21 | ord(b) for p in self.ids for a, b in zip(p, p[1:])} or {-1}), np.int64)
         # Words may be cut before a space mark where no piece has one after another character, and around what no piece has.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         loose = "\n" if not any("\n" in p for p in self.ids) else ""
@@ -125,21 +124,38 @@ class PieceModel:
         return [symbol] if 0 <= symbol < len(self.pieces) else [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
 
     def merge(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word."""
-        out: list = [None] * len(words)
-        short = []
-        for i, w in enumerate(words):
-            if len(w) >= LONG_WORD:
-                out[i] = self._merge_long(w)
-            else:
-                short.append(i)
-        if not short:
+        """Ids of each word. Two neighbouring characters that no piece has side by side never come together, so words are
+        cut there first; the segments are merged together, a bounded number of characters at a time."""
+        out: list[list[int]] = [[] for _ in words]
+        flat = "".join(words)
+        if not flat:
             return out
-        flat = "".join(words[i] for i in short)
-        sym = self.of_point[np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.int64)
-        count = np.fromiter((len(words[i]) for i in short), np.int64, len(short))
-        name, first, done = np.arange(len(short)), np.arange(len(flat)), [None] * len(short)
-        # Of each symbol: its id, where in flat it begins, and the pair it makes with the next one of its word.
+        points = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), "<u4")
+        starts = np.zeros(len(points), bool)
+        for lo in range(0, len(points) - 1, AT_ONCE):
+            code = points[lo : lo + AT_ONCE + 1].astype(np.int64)
+            code = code[:-1] << 21 | code[1:]
+            at = np.minimum(np.searchsorted(self.beside, code), len(self.beside) - 1)
+            starts[lo + 1 : lo + 1 + len(code)] = self.beside[at] != code
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths)
+        starts[(ends - lengths)[lengths > 0]] = True
+        begins = np.flatnonzero(starts)
+        owner = np.searchsorted(ends, begins, "right").tolist()
+        sizes = np.diff(np.append(begins, len(points)))
+        group = (np.cumsum(sizes) - 1) // AT_ONCE
+        for i in np.split(np.arange(len(begins)), np.flatnonzero(np.diff(group)) + 1):
+            lo, hi = int(begins[i[0]]), int(begins[i[-1]] + sizes[i[-1]])
+            for w, ids in zip(owner[i[0] : i[-1] + 1], self._merged(points[lo:hi], sizes[i])):
+                out[w] += ids
+        return out
+
+    def _merged(self, points: np.ndarray, count: np.ndarray) -> list[list[int]]:
+        """Ids of each segment. A round merges, in every segment, all occurrences of its least rank from the left; where one of
+        them would make a pair of the same or a lesser rank, which comes before the others, the leftmost alone."""
+        sym = self.of_point[points].astype(np.int64)
+        name, first, done = np.arange(len(count)), np.arange(len(points)), [None] * len(count)
+        # Of each symbol: its id, where it begins, and the pair it makes with the next one of its segment.
         order, to = self._looked_up(sym, np.append(sym[1:], -1), first)
         order[np.cumsum(count) - 1] = NEVER
         while len(sym):
@@ -155,62 +171,46 @@ class PieceModel:
                 for w, n in zip(name[over].tolist(), count[over].tolist()):
                     part = ids[at : at + n]
                     if not plain:
-                        part = [x for y, f in zip(part, where[at : at + n]) for x in self._out(y, flat[f])]
+                        part = [x for y, f in zip(part, where[at : at + n]) for x in self._out(y, chr(points[f]))]
                     done[w], at = part, at + n
                 keep = ~mine
                 sym, first, order, to = sym[keep], first[keep], order[keep], to[keep]
                 name, count, least = name[live], count[live], least[live]
                 if not len(sym):
                     break
-            hit = np.searchsorted(first, least & 0xFFFFFFFF)  # the leftmost pair of least rank of each word
+                ends = np.cumsum(count)
+            rank = least >> 32
+            hit = np.flatnonzero((order >> 32) == np.repeat(rank, count))
+            of = np.searchsorted(ends, hit, "right")
+            if len(hit) > len(count):
+                # Of occurrences that overlap, every second one from the left.
+                run = np.maximum.accumulate(np.where(np.diff(hit, prepend=-2) != 1, np.arange(len(hit)), 0))
+                free = (np.arange(len(hit)) - run) % 2 == 0
+                hit, of = hit[free], of[free]
+                made, rank_of = to[hit], rank[of]
+                left = np.where(np.diff(hit, prepend=-3) == 2, np.append(0, made[:-1]), sym[np.maximum(hit - 1, 0)])
+                right = sym[np.minimum(hit + 2, len(sym) - 1)]
+                before = (hit > (ends - count)[of]) & (self._looked_up(left, made, 0)[0] >> 32 <= rank_of)
+                after = (hit + 2 < ends[of]) & (self._looked_up(made, right, 0)[0] >> 32 <= rank_of)
+                if (before | after).any():
+                    apart = np.zeros(len(count), bool)
+                    apart[of[before | after]] = True
+                    one = ~apart[of] | (np.diff(of, prepend=-1) > 0)
+                    hit, of = hit[one], of[one]
             sym[hit] = to[hit]
             keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
             sym, first, order, to = sym[keep], first[keep], order[keep], to[keep]
-            count = count - 1
+            count = count - np.bincount(of, minlength=len(count))
             hit = hit - np.arange(len(hit))
-            begins = np.cumsum(count) - count
-            last = begins + count - 1
+            begins = (np.cumsum(count) - count)[of]
+            last = begins + count[of] - 1
             order[hit] = NEVER
             inside = hit[hit < last]
             order[inside], to[inside] = self._looked_up(sym[inside], sym[inside + 1], first[inside])
             before = hit[hit > begins] - 1
             order[before], to[before] = self._looked_up(sym[before], sym[before + 1], first[before])
-        for i, ids in zip(short, done):
-            out[i] = ids
-        return out
-
-    def _merge_long(self, word: str) -> list[int]:
-        """The same order of merges over one long word: by rank, then from the left, from a queue."""
-        sym = [self.symbols.get(c, -1) for c in word]
-        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-        queue: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int, j: int) -> None:
-            if 0 <= i and j < len(sym) and sym[i] >= 0 and sym[j] >= 0:
-                found = self.merges.get(sym[i] << 20 | sym[j])
-                if found:
-                    heapq.heappush(queue, (found[0], i, sym[i], sym[j]))
-
-        for i in range(len(sym) - 1):
-            offer(i, i + 1)
-        gone = bytearray(len(sym))
-        while queue:
-            _, i, a, b = heapq.heappop(queue)
-            j = after[i]
-            if gone[i] or j >= len(sym) or sym[i] != a or sym[j] != b:
-                continue
-            sym[i] = self.merges[a << 20 | b][1]
-            gone[j], after[i] = 1, after[j]
-            if after[j] < len(sym):
-                before[after[j]] = i
-            offer(before[i], i)
-            offer(i, after[i])
-        out: list[int] = []
-        for i, x in enumerate(sym):
-            if not gone[i]:
-                out += self._out(x, word[i])
-        return out
+        return done
 
     def raw(self, ids) -> bytes:
         """UTF-8 bytes of ids, with spaces for their marks; control and unknown pieces give what the library gives."""

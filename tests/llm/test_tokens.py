@@ -33,6 +33,20 @@ def test_pieces_equal_the_library():
         assert piecebpe.decode_ids(PIECE, ids) == lib.decode(ids)
 
 
+def test_long_words_equal_the_library(monkeypatch):
+    """Words of any length take the same rounds, in slices too: random letters, ties, text without spaces."""
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    rnd = random.Random(21)
+    signs = [lib.id_to_piece(i) for i in range(3, 32_000, 7)]
+    texts = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), "a" * 9_999, "ab" * 5_000, "".join(rnd.choice("aeinst") for _ in range(3_000))]
+    texts += ["".join(rnd.choice(signs).replace("▁", "") for _ in range(2_000)) for _ in range(4)] + ["日本語の文章です。" * 300, "".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(3_000))]
+    for at_once in (1 << 20, 100):
+        monkeypatch.setattr(piecebpe, "AT_ONCE", at_once)
+        m = piecebpe.PieceModel(PIECE)
+        for t in texts:
+            assert [x for ids in m.merge(m.words(t)) for x in ids] == lib.encode(t), t[:50]
+
+
 def test_piece_tables(spark):
     rows = [(1, None, 1), (2, "", 1), (3, "hello  world\n", 1), (3, "hello  world\n", 1), (None, "x", 1), (4, "long " * 200_000, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
