@@ -68,10 +68,11 @@ def pack(df: DataFrame, limits: dict[str, int], order: list[str], group_rows: in
     """df with sequence_id (long, unique over all groups) and offset (of the first size within its sequence).
 
     limits maps size columns to what a sequence may hold; the first is the one that offsets count. Null sizes count as
-    0. A size above its limit is an error. order: columns that settle ties and the dealing into groups; rows equal in all
-    of them may change places. An empty table gives an empty one. Columns named as the new ones are replaced."""
+    0. A size above its limit is an error. order: columns that settle ties; rows equal in all of them may change places. The
+    table is committed first; rows are dealt to groups by these columns and their place in it, so rows that repeat don't
+    meet in one group. An empty table gives an empty one. Columns named as the new ones are replaced."""
     sizes, caps = list(limits), np.array(list(limits.values()), float)
-    df = df.drop("sequence_id", "offset", "__group")
+    df = committed(df.drop("sequence_id", "offset", "__group"), "pack-sizes")
     groups = max(1, -(-df.count() // group_rows))
     names = df.columns
     schema = StructType([*df.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
@@ -90,7 +91,7 @@ def pack(df: DataFrame, limits: dict[str, int], order: list[str], group_rows: in
         offset[by] = (ends - amounts[by, 0] - base).astype(np.int64)
         return table.append_column("sequence_id", pa.array((group << 32) + sequence)).append_column("offset", pa.array(offset))
 
-    dealt = df.withColumn("__group", F.pmod(F.xxhash64(*order), F.lit(groups)))
+    dealt = df.withColumn("__group", F.pmod(F.xxhash64(*order, F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("__group").applyInArrow(run, schema)
 
 
@@ -119,7 +120,34 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
 def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 2, tokens: int = TOKENS, segments: int = SEGMENTS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row for each piece of each document with its sequence and offset. Every token of a document bears loss, so
     tokens and loss have one limit. Null and empty texts are the end id alone; repeated rows are packed each."""
-    cut = committed(pieces(df, tokenizer, end_id, most=tokens), "pieces")
-    sized = cut.withColumns({"segments": F.lit(1), "loss_tokens": F.col("length")})
+    sized = pieces(df, tokenizer, end_id, most=tokens).withColumns({"segments": F.lit(1), "loss_tokens": F.col("length")})
     packed = pack(sized, {"length": tokens, "segments": segments, "loss_tokens": tokens}, ["doc_id", "start", "ids_crc32"], group_rows)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def turn_pieces(df: DataFrame, tokenizer: str, end_id: int = 2, most: int = TOKENS, loss_role: str = "assistant") -> DataFrame:
+    """Every turn's ids and the end id, cut after every `most` ids: conv_id, turn, start, length, loss_tokens (the ids of
+    turns of `loss_role`; 0 of others). Null texts are the end id alone; null keys and roles stay null and bear no loss."""
+    bounded_batches(df.sparkSession)
+    types = pa.schema([(c, pa.int64()) for c in ("conv_id", "turn", "start", "length", "loss_tokens")])
+
+    def run(batches):
+        encode = encoder(tokenizer).encode
+        for batch in batches:
+            rows = []
+            for conv, turn, role, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                n = len(encode(text)) // 4 + 1
+                rows += [(conv, turn, at, min(most, n - at), min(most, n - at) if role == loss_role else 0) for at in range(0, n, most)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.types)], schema=types)
+
+    own = df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    return own.mapInArrow(run, "conv_id long, turn long, start long, length long, loss_tokens long")
+
+
+def pack_turns(df: DataFrame, tokenizer: str, end_id: int = 2, tokens: int = TOKENS, segments: int = 64, loss_tokens: int = 2048, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """One row for each piece of each turn of conversations (conv_id, turn, role, text) with its sequence and offset. A
+    sequence is limited in tokens, segments and loss-bearing tokens at once: prompts fill what answers may not. Turns are cut after
+    the lesser of the limits on tokens and loss."""
+    cut = turn_pieces(df, tokenizer, end_id, min(tokens, loss_tokens)).withColumn("segments", F.lit(1))
+    return pack(cut, {"length": tokens, "segments": segments, "loss_tokens": loss_tokens}, ["conv_id", "turn", "start"], group_rows)

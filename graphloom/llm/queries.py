@@ -70,11 +70,32 @@ def op10_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return egojoin.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 on instruction data: turns under simultaneous limits on tokens, segments and loss-bearing tokens."""
+    return packing.pack_turns(_table(spark, sf_dir, "conversations"), tokenizer_path(WORD_BPE), END_ID)
+
+
+def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What operator 1 read back of every document, as far as SQL can say it."""
+    return matroska.store_as_media(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def media_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packet table that operator 1 parses from the stored media of every document."""
+    stored = matroska.store_as_media(_table(spark, sf_dir, "documents"), with_media=True)
+    return matroska.packet_table(stored, "doc_id").select(F.col("media_id").alias("doc_id"), "packet", "track", "codec", "timestamp_ms", "size", "keyframe")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+def further_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Other results of the same operators: the packet table, and packing of instruction data."""
+    return {f.__name__: f for f in (media_payload, media_packets, conversation_packing)}
+
+
 #: Repeated windows of 50 words, decided for every start of every document.
 OP8_SQL = """
 WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -101,5 +122,20 @@ SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id) AS n_links,
 """
 
 
+#: Texts with zeros up to a positive multiple of 64 bytes, and packets of 512 samples at 8000 a second.
+PAYLOAD_SQL = """
+SELECT doc_id, CAST(octet_length(raw) AS BIGINT) AS n_bytes, CAST(octet_length(raw) + pad AS BIGINT) AS payload_bytes,
+  sha256(raw || unhex(repeat('00', pad))) AS payload_sha256
+FROM (SELECT doc_id, raw, CAST(greatest(64, (octet_length(raw) + 63) // 64 * 64) - octet_length(raw) AS INTEGER) AS pad
+      FROM (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents))
+"""
+PACKETS_SQL = """
+WITH p AS (SELECT doc_id, greatest(64, (octet_length(encode(coalesce(text, ''))) + 63) // 64 * 64) AS n FROM documents),
+e AS (SELECT doc_id, n, unnest(range((n + 511) // 512)) AS i FROM p)
+SELECT doc_id, CAST(i AS INTEGER) AS packet, 1 AS track, 'A_PCM/INT/LIT' AS codec, CAST(i * 64 AS DOUBLE) AS timestamp_ms,
+  CAST(least(512, n - 512 * i) AS BIGINT) AS size, true AS keyframe FROM e
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_epsilon_grid_join": OP10_SQL, "op8_cover_anchor_repeats": OP8_SQL}
+    return {"op10_epsilon_grid_join": OP10_SQL, "op8_cover_anchor_repeats": OP8_SQL, "media_payload": PAYLOAD_SQL, "media_packets": PACKETS_SQL}

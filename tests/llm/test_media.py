@@ -1,8 +1,14 @@
+import hashlib
+import re
 import struct
+import zlib
 
+import numpy as np
 import pytest
+from compare import duck, of_spark, of_sql
 
 from graphloom.llm import matroska as m
+from graphloom.llm import queries
 
 
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 511, 512, 4096, 4160, 131_072, 300_001])
@@ -57,3 +63,28 @@ def test_store_edge_rows(spark):
     assert (by[1][0].n_bytes, by[1][0].payload_bytes) == (0, 64) and by[1][0][2:] == by[2][0][2:]
     assert by[3][0].payload_bytes == 1_000_000 and by[4][0] == by[4][1] and by[4][0].n_bytes == 2 and None in by
     assert m.store_as_media(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_query_columns_against_a_plain_version(spark):
+    """Each column computed apart from the text; the stored form's digest from a muxed copy read with plain offsets."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    found = {r.doc_id: r for r in queries.op1_matroska_media(spark, "/root/testdata/sf0.001").collect()}
+    assert len(found) == len(docs)
+    for d in docs:
+        raw = (d.text or "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        r, stored = found[d.doc_id], m.mux(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        x = np.frombuffer(payload, np.uint8).astype(float)
+        got = dict(p.split("=") for p in r.feature.split(";"))
+        assert int(got["packets"]) == -(-len(payload) // 512) == r.n_packets and float(got["mean"]) == pytest.approx(x.mean(), abs=1e-3)
+        assert float(got["rms"]) == pytest.approx(np.sqrt(((x - 128) ** 2).mean()), abs=1e-3)
+        assert int(got["zc"]) == sum((a >= 128) != (b >= 128) for a, b in zip(payload, payload[1:]))
+        assert stored[:4] == bytes.fromhex("1a45dfa3") and len(re.findall(rb"A_PCM/INT/LIT", stored[:400])) == 1
+
+
+@pytest.mark.parametrize("name", ["media_payload", "media_packets"])
+def test_media_queries_equal_their_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    assert of_spark(queries.further_queries()[name](spark, sf)) == of_sql(duck(sf), queries.oracle_sql()[name])

@@ -1,5 +1,6 @@
 """SentencePiece rounds, token memo, packing and training order against their libraries and plain versions."""
 
+import hashlib
 import random
 import zlib
 
@@ -145,9 +146,39 @@ def test_every_operator_has_a_query():
     assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
 
 
-def test_long_words_merge_alike_by_queue_and_in_rounds(monkeypatch):
-    deal = random.Random(3)
-    words = ["".join(deal.choice("abcdefghijklmnopqrstuvwxyz0123456789é日") for _ in range(n)) for n in (95, 96, 97, 500)]
-    made = piecebpe.model(PIECE).merge(words)
-    monkeypatch.setattr(piecebpe, "LONG_WORD", 1 << 30)
-    assert piecebpe.model(PIECE).merge(words) == made
+def test_round_trip_digests_equal_the_library(spark):
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    found = {r.doc_id: r for r in queries.op7_piece_bpe_rounds(spark, "/root/testdata/sf0.001").collect()}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        ids = lib.encode(r.text or "", add_eos=True)
+        want = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest())
+        assert tuple(found[r.doc_id])[1:4] == want
+
+
+def test_equal_pieces_are_dealt_apart(spark):
+    rows = [(7, 10, "x")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, length long, text string").repartition(6)
+    out = packing.pack(df, {"length": 100}, ["doc_id"], group_rows=100).toPandas()
+    groups = (out.sequence_id.to_numpy() >> 32)
+    assert len(out) == 3000 and np.bincount(groups).max() < 200 and out.groupby("sequence_id").length.sum().max() <= 100
+
+
+def test_turns_keep_all_limits(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"word {t} " * (1 + (c * 7 + t) % 90)) for c in range(80) for t in range(6)] + [(1, 1, "assistant", None), (1, 1, "assistant", None), (None, None, None, ""), (2, 9, "assistant", "many " * 9000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as length", "2 as sequence_id")
+    lib = Tokenizer.from_file(WORD)
+    out = packing.pack_turns(df, WORD, tokens=1024, segments=9, loss_tokens=400).toPandas()
+    want = sum(len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for *_, t in rows)
+    loss = sum(len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for *_, r, t in rows if r == "assistant")
+    assert out.length.sum() == want and out.loss_tokens.sum() == loss
+    limits = np.array([1024, 9, 400])
+    sums = np.array([(g.length.sum(), len(g), g.loss_tokens.sum()) for _, g in out.groupby("sequence_id")])
+    assert (sums <= limits).all() and len(sums) <= 1.2 * max(np.ceil(sums.sum(0) / limits))
+    assert packing.pack_turns(df.filter("false"), WORD).count() == 0
+
+
+def test_packing_odd_rows(spark):
+    df = spark.createDataFrame([(1, "a b", 3)] * 40 + [(None, "x", 1), (None, None, 1)], "doc_id long, text string, offset int").selectExpr("*", "'q' as sequence_id", "5 as length")
+    out = packing.pack_documents(df, WORD).collect()
+    assert len(out) == 42 and sum(r.doc_id is None for r in out) == 2 and sorted({r.length for r in out}) == [1, 2, 3]
+    assert packing.pack_documents(df.filter("false"), WORD).count() == 0
