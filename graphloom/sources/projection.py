@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..workspace import committed
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages")
 
 NODES = """
@@ -45,10 +47,36 @@ def tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
+#: The stored graph of each folder of tables, as long as its tables stay as they were read.
+_stored: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+#: What NODES and EDGES read.
+READ = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Sizes and times of the files that the graph is made of."""
+    jvm, conf, out = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), []
+    for name in READ:
+        at = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = at.getFileSystem(conf)
+        head = fs.getFileStatus(at)
+        files = fs.listStatus(at) if head.isDirectory() else [head]
+        out.append(tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)))
+    return tuple(out)
+
+
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the test tables."""
+    """(nodes, edges) of the test tables. As an analysed folder is, the graph is stored once, edges by type and nodes by
+    label, and read by all queries of the application; changed tables are projected anew."""
     tables(spark, sf_dir)
-    return spark.sql(NODES.replace("VARCHAR(20)", "STRING")), spark.sql(EDGES.replace("VARCHAR(20)", "STRING"))
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
+    if key not in _stored:
+        nodes = committed(spark.sql(NODES.replace("VARCHAR(20)", "STRING")).repartition("label", "id"), "graph-nodes", partition_by=("label",))
+        edges = committed(spark.sql(EDGES.replace("VARCHAR(20)", "STRING")).repartition("type", "sourceId"), "graph-edges", partition_by=("type",))
+        for old in [k for k in _stored if k[0] != key[0] or k[1] == sf_dir]:
+            _stored.pop(old)
+        _stored[key] = nodes, edges
+    return _stored[key]
 
 
 def with_graph(sql: str) -> str:

@@ -4,33 +4,43 @@ from __future__ import annotations
 
 import atexit
 import gc
-import shutil
-import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-
-#: Where a session without spark.checkpoint.dir (a test, one machine) keeps its committed tables.
-OWN_DIR = "spark.graphloom.dir"
+_applications: dict[str, str] = {}
 
 
 def work_root(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a folder of our own only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None)
-    if root is None:
-        root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set(OWN_DIR, root)
-        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
-    return root.rstrip("/")
-
-
-def committed(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """This application's folder in what all executors share: the folder that the cluster names in spark.checkpoint.dir, or
+    the warehouse where none is named. The folder goes when the program ends."""
+    app = spark.sparkContext.applicationId
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    root = f"{shared}/graphloom/{app}"
+    if _applications.get(app) != root:
+        _applications[app] = root
+        atexit.register(_clear, root)
+    return root
+
+
+def _clear(root: str) -> None:
+    try:  # the JVM may have gone before
+        jvm = SparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(root)
+        at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    except Exception:
+        pass
+
+
+def committed(df: DataFrame, name: str, compression: str = "zstd", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
-    path = f"{work_root(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    path = f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+    writer = df.write.option("compression", compression)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
+    back = back.select(*df.columns) if partition_by else back
     back._graphloom_path = path
     return back
 
