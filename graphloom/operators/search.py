@@ -46,15 +46,20 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(vectors: DataFrame, query: list[float], limit: int, most: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, distance) by cosine, exact, closest first; vectors without a length are left out."""
+def nearest(vectors: DataFrame, query: list[float], limit: int | None, most: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, distance) by cosine, exact, closest first (all, in no order, without a limit); vectors without a length are left out."""
     q = F.array(*[F.lit(float(x)) for x in query])
     norm = sum(float(x) ** 2 for x in query) ** 0.5
     d = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).withColumn("n", F.sqrt(_dot(F.col("v"), F.col("v")))).filter("n > 0")
     d = d.select("id", (1 - _dot(F.col("v"), q) / (F.col("n") * norm)).alias("distance"))
     if most is not None:
         d = d.filter(F.col("distance") < most)
-    return d.orderBy("distance", "id").limit(limit)
+    return d if limit is None else d.orderBy("distance", "id").limit(limit)
+
+
+def ranked(found: DataFrame, limit: int, *order: Column) -> DataFrame:
+    """The first `limit` rows with their rank: limited first, so that only those are numbered in one place."""
+    return found.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def best_chunks(found: DataFrame, limit: int | None = None) -> DataFrame:
@@ -64,8 +69,8 @@ def best_chunks(found: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def fused(keyword: DataFrame, semantic: DataFrame, limit: int = 10) -> DataFrame:
-    """(filePath, score, bm25, semantic, sources, rank): reciprocal ranks summed by file. A file's best keyword rank
-    counts, all of its semantic ranks do."""
+    """(filePath, score, bm25, semantic, sources, rank): reciprocal ranks summed by file. Of a file's keyword ranks
+    the last counts, as each overwrites the one before; all of its semantic ranks do."""
     k = keyword.groupBy("filePath").agg(F.max(F.struct("rank", "score")).alias("k"))
     s = semantic.groupBy("filePath").agg(F.sum(1 / (FUSION + F.col("rank"))).alias("s"), F.max("score").alias("semantic"))
     both = k.join(s, "filePath", "full")

@@ -8,9 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
-#: Lines that a bucket of the position join spans.
-BUCKET_LINES = 16
-
 
 def folder_tree(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): a folder for every prefix of a path, a file for the path, CONTAINS from each to its children."""
@@ -64,16 +61,17 @@ def document_links(files: DataFrame) -> DataFrame:
 def scope_at(positions: DataFrame, scopes: DataFrame) -> DataFrame:
     """(position columns, scope): the innermost scope (both ends inclusive) at each filePath, line, col; null outside all.
 
-    Scopes join on the file and on buckets of lines, so that a long file is not compared as a whole; of the scopes
-    that hold a position the one that starts last wins, then the one that ends first."""
-    buckets = F.sequence(F.floor(F.col("startLine") / BUCKET_LINES), F.floor(F.col("endLine") / BUCKET_LINES))
-    s = scopes.select("filePath", F.col("id").alias("scope"), F.struct("startLine", "startCol").alias("a"), F.struct("endLine", "endCol").alias("z"), F.explode(buckets).alias("bucket"))
-    p = positions.withColumn("bucket", F.floor(F.col("line") / BUCKET_LINES)).withColumn("at", F.struct(F.col("line").cast("int").alias("startLine"), F.col("col").cast("int").alias("startCol")))
+    Of the scopes that hold a position the one that starts last wins, then the one that ends first, then the last id. Scopes that hold a
+    whole line are reduced to the best of each line before any position is looked at; only those that begin or end on a
+    line are compared with its positions. All joins are by file and line, so a long file is spread over tasks."""
+    s = scopes.select("filePath", "startLine", "endLine", F.struct("startLine", "startCol").alias("a"), F.struct("endLine", "endCol").alias("z"), F.struct(F.struct("startLine", "startCol").alias("a"), (-F.col("endLine")).alias("l"), (-F.col("endCol")).alias("c"), F.col("id").alias("scope")).alias("best"))
+    whole = s.filter("endLine - startLine >= 2").select("filePath", F.explode(F.sequence(F.col("startLine").cast("long") + 1, F.col("endLine").cast("long") - 1)).alias("on"), "best").groupBy("filePath", "on").agg(F.max("best").alias("whole"))
+    part = s.withColumn("on", F.explode(F.array_distinct(F.array("startLine", "endLine")))).withColumn("on", F.col("on").cast("long")).select("filePath", "on", "a", "z", "best")
     keys = positions.columns
-    held = F.col("scope").isNotNull() & (F.col("a") <= F.col("at")) & (F.col("at") <= F.col("z"))
-    joined = p.join(s, ["filePath", "bucket"], "left")
-    inner = F.max_by("scope", F.when(held, F.struct(F.col("a"), (-F.col("z.endLine")).alias("l"), (-F.col("z.endCol")).alias("c"))))
-    return joined.groupBy(*keys).agg(inner.alias("scope"))
+    p = positions.withColumn("on", F.col("line").cast("long")).withColumn("at", F.struct(F.col("line").cast("int").alias("startLine"), F.col("col").cast("int").alias("startCol")))
+    held = F.when((F.col("a") <= F.col("at")) & (F.col("at") <= F.col("z")), F.col("best"))
+    found = p.join(part, ["filePath", "on"], "left").groupBy(*keys, "on").agg(F.max(held).alias("part")).join(whole, ["filePath", "on"], "left")
+    return found.select(*keys, F.greatest("part", "whole")["scope"].alias("scope"))
 
 
 def scope_ancestors(scopes: DataFrame, most: int = 64) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -47,13 +47,21 @@ def rename_preview(nodes: DataFrame, edges: DataFrame, files: DataFrame, target:
 
 def changed_symbols(nodes: DataFrame, hunks: DataFrame) -> DataFrame:
     """Symbols whose lines overlap a hunk (filePath, startLine, endLine) of their file: equal paths, or one ending with
-    the hunk's. Paths join on every suffix after a slash, so that each stays an equality."""
+    the hunk's. Paths join on every suffix after a slash, so that each stays an equality; hunks that touch are one."""
     parts = F.split(F.lower(F.translate("filePath", "\\", "/")), "/")
     symbols = nodes.filter("startLine > 0 and endLine > 0 and filePath is not null").withColumn("tail", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))))
-    h = hunks.select(F.lower(F.translate("filePath", "\\", "/")).alias("tail"), F.col("startLine").alias("h1"), F.col("endLine").alias("h2"))
+    h = _islands(hunks.select(F.lower(F.translate("filePath", "\\", "/")).alias("tail"), F.col("startLine").alias("h1"), F.col("endLine").alias("h2")))
     return symbols.join(h, "tail").filter("startLine <= h2 AND endLine >= h1").drop("tail", "h1", "h2").distinct()
 
 
+def _islands(hunks: DataFrame) -> DataFrame:
+    """(tail, h1, h2) with overlapping and adjoining spans of a path joined into one."""
+    order = Window.partitionBy("tail").orderBy("h1", "h2")
+    before = F.max("h2").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = hunks.distinct().withColumn("opens", (before.isNull() | (F.col("h1") > before + 1)).cast("int"))
+    return opens.withColumn("island", F.sum("opens").over(order)).groupBy("tail", "island").agg(F.min("h1").alias("h1"), F.max("h2").alias("h2")).drop("island")
+
+
 def changed_processes(changed: DataFrame, edges: DataFrame) -> DataFrame:
     """Flows with a changed step: how many, and the risk of all together."""
     hits = edges.filter("type = 'STEP_IN_PROCESS'").join(changed.select(F.col("id").alias("sourceId")).distinct(), "sourceId", "left_semi")

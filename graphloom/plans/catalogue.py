@@ -185,7 +185,7 @@ def context_refs(spark, sf_dir):
     return lookup.references(n, e, n.filter("label = 'Class'"))
 
 
-@query("SELECT e.sourceId AS id, e.targetId AS process, e.step, n.name AS process_name FROM edges e JOIN nodes n ON n.id = e.targetId WHERE e.type = 'STEP_IN_PROCESS' AND e.sourceId IN (SELECT id FROM nodes WHERE label = 'Function')")
+@query("SELECT e.sourceId AS id, e.targetId AS process, e.step, n.name AS process_name FROM edges e JOIN nodes n ON n.id = e.targetId JOIN nodes f ON f.id = e.sourceId WHERE e.type = 'STEP_IN_PROCESS' AND f.label = 'Function' AND n.label = 'Process'")
 def context_processes(spark, sf_dir):
     n, e = graph(spark, sf_dir)
     return lookup.participation(n, e, n.filter("label = 'Function'").select("id"))
@@ -269,11 +269,11 @@ def rename_preview(spark, sf_dir):
     return text.rename_preview(nodes, edges, files, "Function:x", "idiot", "person")
 
 
-HUNKS = "hunks AS (SELECT DISTINCT 'orders/' || CAST(o_custkey % 50 AS VARCHAR) || '.ts' AS filePath, CAST(o_orderkey % 480 + 1 AS INT) AS startLine, CAST(o_orderkey % 480 + 3 AS INT) AS endLine FROM orders WHERE o_orderkey % 211 = 0)"
+HUNKS = "hunks AS (SELECT DISTINCT 'orders/' || CAST(o_custkey % 50 AS VARCHAR) || '.ts' AS filePath, CAST(o_orderkey % 480 + 1 AS INT) AS startLine, CAST(o_orderkey % 480 + 3 AS INT) AS endLine FROM orders)"
 
 
 def _hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _table(spark, sf_dir, "orders").filter("o_orderkey % 211 = 0")
+    o = _table(spark, sf_dir, "orders")
     return o.select(F.concat(F.lit("orders/"), (F.col("o_custkey") % 50).cast("string"), F.lit(".ts")).alias("filePath"), (F.col("o_orderkey") % 480 + 1).cast("int").alias("startLine"), (F.col("o_orderkey") % 480 + 3).cast("int").alias("endLine")).distinct()
 
 
@@ -403,20 +403,19 @@ def knn_topk(spark, sf_dir):
 @query(f"WITH {KNN}, n AS (SELECT label AS nodeId, id AS chunkIndex, distance FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY nodeId ORDER BY distance, chunkIndex) AS r FROM n) SELECT nodeId, chunkIndex, round(distance, 6) AS distance FROM r WHERE r = 1", False)
 def knn_best_chunk(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings")
-    d = search.nearest(e, _query_vector(e), 1 << 30).join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("nodeId")), "id")
+    d = search.nearest(e, _query_vector(e), None).join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("nodeId")), "id")
     return search.best_chunks(d.withColumnRenamed("id", "chunkIndex")).select("nodeId", "chunkIndex", F.round("distance", 6).alias("distance"))
 
 
-@query(f"""WITH {BM25}, {KNN}, k AS (SELECT filePath, sum(round(score, 6)) AS score FROM scored GROUP BY filePath), kr AS (SELECT filePath, row_number() OVER (ORDER BY round(score, 4) DESC, filePath) AS rank FROM k),
+@query(f"""WITH {BM25}, {KNN}, k AS (SELECT filePath, sum(round(score, 6)) AS score FROM scored GROUP BY filePath), kr AS (SELECT filePath, row_number() OVER (ORDER BY round(score, 4) DESC, filePath) AS rank FROM k QUALIFY rank <= 50),
 s AS (SELECT CASE label % 6 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE 'v' || CAST(label AS VARCHAR) END AS filePath, row_number() OVER (ORDER BY distance, id) AS rank FROM d QUALIFY rank <= 20), sr AS (SELECT filePath, sum(1.0 / (60 + rank)) AS s FROM s GROUP BY filePath)
 SELECT filePath, round(coalesce(1.0 / (60 + kr.rank), 0) + coalesce(s, 0), 9) AS score, concat_ws('+', CASE WHEN kr.rank IS NOT NULL THEN 'bm25' END, CASE WHEN s IS NOT NULL THEN 'semantic' END) AS sources FROM kr FULL JOIN sr USING (filePath) ORDER BY score DESC, filePath LIMIT 10""", False)
 def rrf_hybrid(spark, sf_dir):
-    from pyspark.sql import Window
-
-    k = _scored(spark, sf_dir).groupBy("filePath").agg(F.round(F.sum("score"), 4).alias("score")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "filePath")))
+    k = search.ranked(_scored(spark, sf_dir).groupBy("filePath").agg(F.round(F.sum("score"), 4).alias("score")), 50, F.desc("score"), F.col("filePath"))
     e = _table(spark, sf_dir, "embeddings")
     path = F.when(F.col("label") % 6 == 0, "en").when(F.col("label") % 6 == 1, "de").when(F.col("label") % 6 == 2, "fr").otherwise(F.concat(F.lit("v"), F.col("label").cast("string")))
-    s = search.nearest(e, _query_vector(e), 20).join(e.select(F.col("vec_id").alias("id"), path.alias("filePath")), "id").withColumn("rank", F.row_number().over(Window.orderBy("distance", "id"))).withColumn("score", 1 - F.col("distance"))
+    s = search.nearest(e, _query_vector(e), 20).join(e.select(F.col("vec_id").alias("id"), path.alias("filePath")), "id")
+    s = search.ranked(s, 20, F.col("distance"), F.col("id")).withColumn("score", 1 - F.col("distance"))
     return search.fused(k, s).select("filePath", F.round("score", 9).alias("score"), "sources")
 
 
@@ -539,13 +538,17 @@ def scope_invariants(spark, sf_dir):
     return structure.scope_faults(base.union(more).union(odd).withColumns({"startCol": F.lit(0), "endCol": F.lit(0)}).withColumn("endCol", F.lit(1)))
 
 
-SECTIONS = """body AS (SELECT 'd' || doc_id AS f, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents), h AS (SELECT f, i AS line, 1 + (length(w[i]) + i) % 4 AS level, 'h' || i AS name, len(w) AS total FROM (SELECT f, w, unnest(range(1, least(40, len(w)) + 1)) AS i FROM body) WHERE i % 3 = 1)"""
+# Every third word of a text plays a heading; windows by level find what follows and what is above.
+SECTIONS = """body AS (SELECT 'd' || doc_id AS f, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents), h AS (SELECT f, i AS line, 1 + (length(w[i]) + i) % 4 AS level, 'Section:' || f || ':L' || i || ':h' || i AS id, len(w) AS total FROM (SELECT f, w, unnest(range(1, len(w) + 1, 3)) AS i FROM body)),
+seen AS (SELECT *, """ + ", ".join(f"min(CASE WHEN level = {k} THEN line END) OVER ahead AS n{k}, max(CASE WHEN level = {k} THEN line END) OVER behind AS p{k}" for k in range(1, 5)) + """ FROM h WINDOW ahead AS (PARTITION BY f ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), behind AS (PARTITION BY f ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+NEXT_LINE = "least(n1, CASE WHEN level >= 2 THEN n2 END, CASE WHEN level >= 3 THEN n3 END, CASE WHEN level >= 4 THEN n4 END)"
+LAST_LINE = "greatest(CASE WHEN level > 1 THEN p1 END, CASE WHEN level > 2 THEN p2 END, CASE WHEN level > 3 THEN p3 END)"
 
 
-@query(f"WITH {SECTIONS} SELECT h.f AS \"filePath\", h.line, coalesce((SELECT min(n.line) - 1 FROM h n WHERE n.f = h.f AND n.line > h.line AND n.level <= h.level), any_value(h.total)) AS \"endLine\", coalesce((SELECT arg_max('Section:' || p.f || ':L' || p.line || ':' || p.name, p.line) FROM h p WHERE p.f = h.f AND p.line < h.line AND p.level < h.level), 'File:' || h.f) AS parent FROM h GROUP BY h.f, h.line, h.level", False)
+@query(f"WITH {SECTIONS} SELECT f AS \"filePath\", line, coalesce({NEXT_LINE} - 1, total) AS \"endLine\", CASE WHEN {LAST_LINE} IS NULL THEN 'File:' || f ELSE 'Section:' || f || ':L' || {LAST_LINE} || ':h' || {LAST_LINE} END AS parent FROM seen", False)
 def section_nesting(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("filePath"), F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)).alias("w"))
-    h = d.select("filePath", F.size("w").alias("total"), F.posexplode(F.slice("w", 1, 40)).alias("at", "word")).withColumn("line", (F.col("at") + 1).cast("long")).filter("line % 3 = 1")
+    h = d.select("filePath", F.size("w").alias("total"), F.posexplode("w").alias("at", "word")).withColumn("line", (F.col("at") + 1).cast("long")).filter("line % 3 = 1")
     h = h.select("filePath", "line", (1 + (F.length("word") + F.col("line")) % 4).alias("level"), F.concat(F.lit("h"), "line").alias("name"), "total")
     return structure.nested_sections(h).select("filePath", "line", "endLine", "parent")
 
@@ -594,12 +597,11 @@ def heritage_ancestors(spark, sf_dir):
     return _above(spark, e).select("class", "ancestor", "depth")
 
 
-METHODS = "methods AS (SELECT owner, name, min(method) AS method FROM (SELECT 'Class:s' || CAST(l_suppkey AS VARCHAR) AS owner, 'm' || CAST(l_orderkey % 4 AS VARCHAR) AS name, 'Method:o' || CAST(l_orderkey AS VARCHAR) AS method FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 3 = 1) x GROUP BY owner, name)"
+METHODS = "methods AS (SELECT owner, name, min(method) AS method FROM (SELECT 'Class:s' || CAST(l_suppkey AS VARCHAR) AS owner, 'm' || CAST(l_orderkey % 1009 AS VARCHAR) AS name, 'Method:o' || CAST(l_orderkey AS VARCHAR) AS method FROM lineitem) x GROUP BY owner, name)"
 
 
 def _methods(spark: SparkSession) -> DataFrame:
-    line = spark.table("lineitem").filter("l_linenumber = 1 and l_suppkey % 3 = 1")
-    return line.select(F.concat(F.lit("Class:s"), F.col("l_suppkey").cast("string")).alias("owner"), F.concat(F.lit("m"), (F.col("l_orderkey") % 4).cast("string")).alias("name"), F.concat(F.lit("Method:o"), F.col("l_orderkey").cast("string")).alias("method")).groupBy("owner", "name").agg(F.min("method").alias("method"))
+    return spark.table("lineitem").select(F.concat(F.lit("Class:s"), F.col("l_suppkey").cast("string")).alias("owner"), F.concat(F.lit("m"), (F.col("l_orderkey") % 1009).cast("string")).alias("name"), F.concat(F.lit("Method:o"), F.col("l_orderkey").cast("string")).alias("method")).groupBy("owner", "name").agg(F.min("method").alias("method"))
 
 
 @query(f"WITH RECURSIVE {ANCESTORS}, {METHODS}, inherited AS (SELECT class, a.depth, ancestor, name, method FROM above a JOIN methods m ON m.owner = a.ancestor), foreign_ AS (SELECT * FROM inherited i WHERE NOT EXISTS (SELECT 1 FROM methods m WHERE m.owner = i.class AND m.name = i.name)) SELECT class, name, arg_min(method, {{'d': depth, 'a': ancestor, 'm': method}}) AS method, CAST(0.9 AS DOUBLE) AS confidence FROM foreign_ GROUP BY class, name HAVING count(DISTINCT method) >= 2")
@@ -654,14 +656,14 @@ def entry_point_scores(spark, sf_dir):
     return flows.entry_scores(*graph(spark, sf_dir))
 
 
-TRACES_SQL = "t AS (SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) || '->' || string_agg(event_type, '->' ORDER BY event_id) AS text FROM events WHERE event_id % 13 < 6 GROUP BY user_id, event_id // 900 UNION SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) || '->' || min(event_type) || '->z' FROM events GROUP BY user_id)"
+TRACES_SQL = "t AS (SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) || '->' || string_agg(event_type, '->' ORDER BY event_id) AS text FROM events GROUP BY user_id, event_id // 900 UNION SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) || '->' || min(event_type) || '->z' FROM events GROUP BY user_id)"
 
 
 @query(f"WITH {TRACES_SQL}, kept AS (SELECT text FROM t WHERE NOT EXISTS (SELECT 1 FROM t w WHERE length(w.text) > length(t.text) AND contains(w.text, t.text))) SELECT text AS trace FROM kept QUALIFY row_number() OVER (PARTITION BY split_part(text, '->', 1), split_part(text, '->', -1) ORDER BY len(string_split(text, '->')) DESC, text) = 1", False)
 def trace_dedupe(spark, sf_dir):
     e = _table(spark, sf_dir, "events")
     user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
-    a = e.filter("event_id % 13 < 6").groupBy("user_id", F.expr("event_id div 900")).agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x")).select(F.concat(F.array(user), F.transform("x", lambda s: s["event_type"])).alias("trace"))
+    a = e.groupBy("user_id", F.expr("event_id div 900")).agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x")).select(F.concat(F.array(user), F.transform("x", lambda s: s["event_type"])).alias("trace"))
     b = e.groupBy("user_id").agg(F.min("event_type").alias("m")).select(F.array(user, F.col("m"), F.lit("z")).alias("trace"))
     both = a.union(b).select(F.element_at("trace", 1).alias("entry"), "trace")
     return flows.without_parts(both).select(F.array_join("trace", "->").alias("trace"))
