@@ -31,6 +31,8 @@ U1 = np.uint64(1)
 #: Of near_copies: words of a shingle, the least Jaccard similarity that links, 64-bit words of a fingerprint, the members from
 #: which a group is searched in tiles, and the leaders that all members of such a group are compared with first.
 COPY_SHINGLE, COPY_SIMILARITY, WIDE, COPY_GROUP, LEADERS = 5, 0.8, 4, 4096, 4
+#: Bands whose groups propose links first.
+FIRST_BANDS = 3
 #: The share of pairs at the bound that groups may miss, and the fingerprints that a group has on average (2 to this).
 MISSED, GROUP_BITS = 0.01, 8
 
@@ -345,8 +347,10 @@ def _dealt(distinct: DataFrame, places: np.ndarray) -> DataFrame:
 
 def _searched(tiles: DataFrame, radius: int, everything: bool, members: bool = False) -> DataFrame:
     """Tiles (key, rep, part, near, f0 ...) -> proposals (a, b): pairs within the radius of one tile, different parts and at least
-    one near end; a spanning forest of them over the parts, or all with `everything`. With `members` also, as rows
-    without b, who has such a pair. A tile is searched with a Gray index, a block of queries at a time."""
+    one near end; a spanning forest of them over the parts, or all with `everything`. With `members` also, as rows without b, who has such
+    a pair. Tiles without the columns part and near are of members by themselves. A tile is searched
+    with a Gray index, a block of queries at a time."""
+    parts = "part" in tiles.columns
     types = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), *[(w, pa.int64()) for w in WORDS]])
 
     def tile(key, reps, part, near, fps):
@@ -383,9 +387,9 @@ def _searched(tiles: DataFrame, radius: int, everything: bool, members: bool = F
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column(0).to_numpy()
-            rep, part, near = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-            fps = np.stack([batch.column(4 + i).to_numpy() for i in range(WIDE)], 1).view(np.uint64)
+            keys, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            part, near = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3)) if parts else (rep, np.ones(len(rep), bool))
+            fps = np.stack([batch.column((4 if parts else 2) + i).to_numpy() for i in range(WIDE)], 1).view(np.uint64)
             cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)]):
                 if keys[i] != key:
@@ -395,7 +399,7 @@ def _searched(tiles: DataFrame, radius: int, everything: bool, members: bool = F
         yield from close()
 
     n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiles.select("key", "rep", "part", "near", *WORDS).repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long, " + ", ".join(f"{w} long" for w in WORDS))
+    return tiles.select("key", "rep", *(["part", "near"] if parts else []), *WORDS).repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long, " + ", ".join(f"{w} long" for w in WORDS))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -429,9 +433,9 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     propose is verified by its texts, so no link is wrong. Null and wordless texts link with each other; rows of one
     doc_id share a component.
 
-    Proposals come in three turns: in each group a nearest-first spanning forest over its members (in groups above
-    most_group: every member with each of a few leaders), then one over the sets that verified links have joined so far, then
-    every pair within the radius that still lies between two sets. So a group of copies costs about one verification a member, and no pair that
+    Proposals come in three turns: in each group of a few bands a nearest-first spanning forest over its members (in groups
+    above most_group: every member with each of a few leaders), then in all groups one over the sets that verified links have joined so far,
+    then every pair within the radius that still lies between two sets. So a group of copies costs about one verification a member, and no pair that
     could join two sets is left out. Large groups are cut into tiles: members of their first leader's set are compared
     with the members outside it only."""
     spark = df.sparkSession
@@ -449,7 +453,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     made = committed(docs.mapInArrow(run, "doc_id long, same binary, " + ", ".join(f"{w} long" for w in WORDS)), "wide-fingerprints")
     distinct = committed(made.groupBy("same", *WORDS).agg(F.min("doc_id").alias("rep")), "distinct-texts")
-    radius, dealt = radius_for(similarity), _dealt(distinct, bands_for(distinct.count(), similarity))
+    places = bands_for(distinct.count(), similarity)
+    radius, dealt = radius_for(similarity), _dealt(distinct, places)
     # One doc_id with several texts: its texts belong together.
     repeated = made.groupBy("doc_id").agg(F.min("same").alias("p"), F.max("same").alias("q")).filter("p != q").select("doc_id")
     edges = made.join(repeated, "doc_id", "left_semi").join(distinct.select("same", "rep"), "same").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -457,10 +462,10 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     large = committed(dealt.groupBy("band").agg(F.count("*").alias("size")).filter(F.col("size") > most_group), "large-groups")
     hot = large.count()
     mark = F.broadcast(large.select("band")) if hot <= 10_000 else large.select("band")
-    alone = [F.col("band").alias("key"), "rep", F.col("rep").alias("part"), F.lit(True).alias("near"), *WORDS]
     cold = dealt if not hot else dealt.join(mark, "band", "left_anti")
-    first = committed(_searched(cold.select(*alone), radius, False, members=True), "copy-groups")
-    pairs = first.filter("b is not null").select("a", "b")
+    first = committed(_searched(cold.select(F.col("band").alias("key"), "rep", *WORDS), radius, False, members=True), "copy-groups")
+    # The groups of a few bands join most copies; the others then propose only what those have left apart.
+    pairs = first.filter(F.col("b").isNotNull() & (F.col("key") < FIRST_BANDS << places.shape[1])).select("a", "b")
     members = first.filter("b is null").select("key", F.col("a").alias("rep"), *WORDS)
     rows = None
     if hot:

@@ -237,7 +237,7 @@ def test_repeats_odd_rows(spark):
 def test_repeats_and_vectors_equal_their_sql(spark):
     con = duck(SF)
     for name, sql in queries.oracle_sql().items():
-        assert of_spark(queries.queries()[name](spark, SF)) == of_sql(con, sql), name
+        assert of_spark((queries.queries() | queries.further_queries())[name](spark, SF)) == of_sql(con, sql), name
 
 
 @pytest.mark.parametrize("options", [{}, {"block_rows": 50, "leaf": 8}, {"block_rows": 7, "leaf": 3, "grid_dims": 2}])
