@@ -19,7 +19,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, committed, discard, mix64, release_shuffles
+from .common import bounded_batches, committed, mix64, release_shuffles
 
 #: Counts that a context lends to the words alone, and what every word of the vocabulary has besides its count.
 LENT, ADDED = 8.0, 0.5
@@ -28,8 +28,12 @@ CHUNK_TOKENS, BUCKET_CHARS, MOST_BUCKETS = 1 << 21, 8 << 20, 1 << 16
 #: The hash of what stands before and after a text: of no word, for no word is empty.
 EDGE = xxhash.xxh3_64_intdigest(b"")
 BACKGROUND, TARGET, ASKED = 0, 1, 2
-ROWS = "kind int, chunk long, bucket int, tokens long, keys binary, counts binary, ids array<long>, lengths array<int>"
-TYPES = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("tokens", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))])
+PLANS = "kind int, chunk long, hashes binary, tokens binary, ids array<long>, lengths array<int>"
+PLAN_TYPES = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("tokens", pa.binary()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))])
+REQUESTS = "bucket int, chunk long, kind int, keys binary, counts binary"
+REQUEST_TYPES = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+ANSWERS = "chunk long, bucket int, words long, b binary, t binary"
+ANSWER_TYPES = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("words", pa.int64()), ("b", pa.binary()), ("t", pa.binary())])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -87,24 +91,15 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _chunks(df: DataFrame, id_col: str | None, text_col: str, kind: int, buckets: int, plans: bool) -> DataFrame:
-    """Rows of ROWS: for each chunk and bucket its keys and their counts there; with plans also one row of bucket -1 with
-    what scoring needs (word hashes as keys, tokens as counts, ids and numbers of tokens of the texts)."""
+def _row(types: pa.Schema, *values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types.types)], schema=types)
 
-    def run(batches):
-        part, n, index, hashes, tokens, ids, lengths = TaskContext.get().partitionId(), 0, {}, [EDGE], [], [], []
-        held = 0
-
-        def close():
-            own = Chunk(np.array(hashes, np.uint64), np.concatenate(tokens).astype(np.int64))
-            name, size, counts = (part << 32) + n, len(own.tokens), own.counts()
-            cuts = np.searchsorted(bucket_of(own.keys, buckets), np.arange(buckets + 1))
-            rows = [(kind, name, b, size if first else 0, packed_keys(own.keys[i:j]), packed(counts[i:j]), None, None) for b, (i, j, first) in enumerate(zip(cuts, cuts[1:], np.arange(buckets) == 0)) if j > i or first]
-            if plans:
-                rows.append((kind, name, -1, 0, packed(own.hashes), packed(own.tokens.astype(np.uint32)), ids, lengths))
-            for at in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256]), TYPES.types)], schema=TYPES)
 
+def _chunks(df: DataFrame, id_col: str | None, text_col: str, kind: int) -> DataFrame:
+    """Rows of PLANS: each chunk's distinct words' hashes, its tokens as places among them, and its texts' ids and numbers of tokens."""
+
+    def run(batches):
+        part, n, held, index, hashes, tokens, ids, lengths = TaskContext.get().partitionId(), 0, 0, {}, [EDGE], [], [], []
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = []
@@ -115,18 +110,37 @@ def _chunks(df: DataFrame, id_col: str | None, text_col: str, kind: int, buckets
                         hashes.append(xxhash.xxh3_64_intdigest(w))
                     found.append(i)
                 found.append(0)
-                tokens.append(np.array(found, np.int32))
+                tokens.append(np.array(found, np.uint32))
                 ids.append(key)
                 lengths.append(len(found))
                 held += len(found)
                 if held >= CHUNK_TOKENS:
-                    yield from close()
-                    n, index, hashes, tokens, ids, lengths, held = n + 1, {}, [EDGE], [], [], [], 0
+                    yield _row(PLAN_TYPES, kind, (part << 32) + n, packed(np.array(hashes, np.uint64)), packed(np.concatenate(tokens)), ids, lengths)
+                    n, held, index, hashes, tokens, ids, lengths = n + 1, 0, {}, [EDGE], [], [], []
         if held:
-            yield from close()
+            yield _row(PLAN_TYPES, kind, (part << 32) + n, packed(np.array(hashes, np.uint64)), packed(np.concatenate(tokens)), ids, lengths)
 
     own = F.lit(None).cast("long") if id_col is None else F.col(id_col).cast("long")
-    return df.select(own.alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ROWS)
+    return df.select(own.alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PLANS)
+
+
+def _planned(hashes: bytes, tokens: bytes) -> Chunk:
+    return Chunk(unpacked(hashes, np.uint64), unpacked(tokens, np.uint32).astype(np.int64))
+
+
+def _requests(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Rows of REQUESTS: for each chunk and bucket its sorted keys and their counts there."""
+
+    def run(batches):
+        for batch in batches:
+            for kind, chunk, hashes, tokens in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                own = _planned(hashes, tokens)
+                counts, cuts = own.counts(), np.searchsorted(bucket_of(own.keys, buckets), np.arange(buckets + 1))
+                rows = [(b, chunk, kind, packed_keys(own.keys[i:j]), packed(counts[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+                for at in range(0, len(rows), 256):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256]), REQUEST_TYPES.types)], schema=REQUEST_TYPES)
+
+    return chunks.select("kind", "chunk", "hashes", "tokens").mapInArrow(run, REQUESTS)
 
 
 def _by_bucket(rows: DataFrame, handle, schema: str) -> DataFrame:
@@ -148,52 +162,95 @@ def _by_bucket(rows: DataFrame, handle, schema: str) -> DataFrame:
     return rows.repartition(n, rows.columns[0]).sortWithinPartitions(*rows.columns[:2]).mapInArrow(run, schema)
 
 
-def _merged(requests: DataFrame) -> DataFrame:
+def _summed(rows: list[tuple]):
+    """(distinct keys, where each row's keys are among them, background's counts, target's) of a bucket's requests."""
+    parts = [(unpacked_keys(keys), unpacked(counts, np.uint32)) for _, _, keys, counts in rows]
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    sizes = [len(k) for k, _ in parts]
+    counts, target = np.concatenate([c for _, c in parts]), np.repeat([kind == TARGET for _, kind, _, _ in rows], sizes)
+    sums = [np.bincount(at[own], counts[own], len(keys)).astype(np.uint64) for own in (~target, target)]
+    return keys, np.split(at, np.cumsum(sizes)[:-1]), *sums
+
+
+def _table(requests: DataFrame) -> DataFrame:
     """(bucket, words, keys, b, t): the counts of every word and pair of a bucket, summed over chunks."""
     types = pa.schema([("bucket", pa.int32()), ("words", pa.int64()), ("keys", pa.binary()), ("b", pa.binary()), ("t", pa.binary())])
 
     def handle(bucket, rows):
-        parts = [(kind, unpacked_keys(keys), unpacked(counts, np.uint32)) for kind, keys, counts in rows]
-        keys, at = np.unique(np.concatenate([k for _, k, _ in parts]), return_inverse=True)
-        counts = np.concatenate([c for _, _, c in parts])
-        target = np.repeat([kind == TARGET for kind, _, _ in parts], [len(k) for _, k, _ in parts])
-        sums = [np.bincount(at[own], counts[own], len(keys)).astype(np.uint64) for own in (~target, target)]
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((bucket, int((keys & np.uint64(1)).sum()), packed_keys(keys), packed(sums[0]), packed(sums[1])), types.types)], schema=types)
+        keys, _, b, t = _summed(rows)
+        yield _row(types, bucket, int((keys & np.uint64(1)).sum()), packed_keys(keys), packed(b), packed(t))
+
+    return _by_bucket(requests, handle, "bucket int, words long, keys binary, b binary, t binary")
+
+
+def _own_answers(requests: DataFrame) -> DataFrame:
+    """Rows of ANSWERS for the background's chunks from the requests that the counts are made of, and for each bucket a row of
+    chunk -1 with its number of words."""
+
+    def handle(bucket, rows):
+        keys, places, b, t = _summed(rows)
+        yield _row(ANSWER_TYPES, -1, bucket, int((keys & np.uint64(1)).sum()), None, None)
+        for (chunk, kind, _, _), at in zip(rows, places):
+            if kind == BACKGROUND:
+                yield _row(ANSWER_TYPES, chunk, bucket, 0, packed(b[at]), packed(t[at]))
+
+    return _by_bucket(requests, handle, ANSWERS)
+
+
+def _other_answers(requests: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows of ANSWERS for the chunks of another table; what the counts don't have is 0."""
+
+    def handle(bucket, rows):
+        keys, b, t = (np.zeros(0, np.uint64) for _ in range(3))
+        for chunk, kind, asked, more_b, more_t in rows:
+            if chunk == -1:  # the bucket's own row comes first
+                keys, b, t = unpacked_keys(asked), unpacked(more_b, np.uint64), unpacked(more_t, np.uint64)
+                continue
+            own = unpacked_keys(asked)
+            at = np.searchsorted(keys, own)
+            held = np.append(keys, own[-1])[at] == own if len(keys) else np.zeros(len(own), bool)
+            held &= at < len(keys)
+            yield _row(ANSWER_TYPES, chunk, bucket, 0, *[packed(np.where(held, np.append(x, np.uint64(0))[at], np.uint64(0))) for x in (b, t)])
 
-    return _by_bucket(requests.select("bucket", "kind", "keys", "counts"), handle, "bucket int, words long, keys binary, b binary, t binary")
+    none = F.lit(None).cast("binary")
+    asked = requests.select("bucket", "chunk", "kind", "keys", none.alias("b"), none.alias("t"))
+    return _by_bucket(table.select("bucket", F.lit(-1).cast("long").alias("chunk"), F.lit(ASKED).alias("kind"), "keys", "b", "t").union(asked), handle, ANSWERS)
 
 
 @dataclass
 class Models:
-    """The table of counts with both totals and the size of the vocabulary; the background's chunks, if they are to be scored."""
+    """The chunks of both tables, with their numbers of tokens and what the background was read from. The counts become a table when
+    another table than the background is scored."""
 
-    table: DataFrame
+    chunks: DataFrame
+    target: DataFrame
     buckets: int
     background_tokens: int
     target_tokens: int
-    words: int
-    source: tuple | None = None
-    chunks: DataFrame | None = None
+    source: tuple
+    held: tuple[DataFrame, int] | None = None
+
+    def requests(self) -> DataFrame:
+        return _requests(self.chunks.union(self.target), self.buckets)
+
+    def counts(self) -> tuple[DataFrame, int]:
+        """(table of counts, words of the vocabulary)."""
+        if self.held is None:
+            table = committed(_table(self.requests()), "lm-counts")
+            self.held = table, table.agg(F.sum("words")).first()[0] or 0
+        return self.held
 
 
 def fit(background: DataFrame, target: DataFrame, text_col: str = "text", target_col: str = "text", id_col: str = "doc_id") -> Models:
-    """Count all words and pairs of all rows of both tables. Null texts count as empty ones; a table without rows gives a
-    uniform model. The background's chunks are kept, so that scoring the same table does not read it again."""
+    """Both models, from all words and pairs of all rows of both tables. Null texts count as empty ones; a table without
+    rows gives a uniform model. Scoring the background itself does not read it again."""
     spark = background.sparkSession
     bounded_batches(spark)
     size = sum(df.agg(F.sum(F.length(F.col(c).cast("string")))).first()[0] or 0 for df, c in ((background, text_col), (target, target_col)))
-    buckets = min(max(math.ceil(size / BUCKET_CHARS), 1), MOST_BUCKETS)
     known = id_col if id_col in background.columns else None
-    own = committed(_chunks(background, known, text_col, BACKGROUND, buckets, True), "lm-chunks")
-    other = committed(_chunks(target, None, target_col, TARGET, buckets, False), "lm-target")
-    requests = own.filter("bucket >= 0").union(other)
-    table = committed(_merged(requests), "lm-counts")
-    total = requests.groupBy("kind").agg(F.sum("tokens").alias("n")).collect()
-    totals = {r.kind: r.n for r in total}
-    words = table.agg(F.sum("words")).first()[0] or 0
-    discard(other)
-    release_shuffles(spark)
-    return Models(table, buckets, totals.get(BACKGROUND, 0), totals.get(TARGET, 0), words, (background, known, text_col), own)
+    own, other = committed(_chunks(background, known, text_col, BACKGROUND), "lm-chunks"), committed(_chunks(target, None, target_col, TARGET), "lm-target")
+    tokens = [df.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0 for df in (own, other)]
+    return Models(own, other, min(max(math.ceil(size / BUCKET_CHARS), 1), MOST_BUCKETS), *tokens, (background, known, text_col))
 
 
 def score(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,39 +259,26 @@ def score(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: str =
     repeated rows repeat."""
     spark = df.sparkSession
     bounded_batches(spark)
-    mine = models.source is not None and models.source[0] is df and models.source[1:] == (id_col, text_col)
-    chunks = models.chunks if mine else committed(_chunks(df, id_col, text_col, ASKED, models.buckets, True), "lm-chunks")
-    kinds = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("b", pa.binary()), ("t", pa.binary())])
-
-    def answer(bucket, rows):
-        keys, b, t = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        for chunk, asked, more_b, more_t in rows:
-            if chunk == -1:  # the bucket's own row comes first
-                keys, b, t = unpacked_keys(asked), unpacked(more_b, np.uint64), unpacked(more_t, np.uint64)
-                continue
-            own = unpacked_keys(asked)
-            at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-            held = keys[at] == own if len(keys) else np.zeros(len(own), bool)
-            found = [np.where(held, x[at], 0).astype(np.uint64) if len(keys) else np.zeros(len(own), np.uint64) for x in (b, t)]
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((chunk, bucket, packed(found[0]), packed(found[1])), kinds.types)], schema=kinds)
-
-    none = F.lit(None).cast("binary")
-    asked = chunks.filter("bucket >= 0").select("bucket", "chunk", "keys", none.alias("b"), none.alias("t"))
-    answers = committed(_by_bucket(models.table.select("bucket", F.lit(-1).cast("long"), "keys", "b", "t").union(asked), answer, "chunk long, bucket int, b binary, t binary"), "lm-answers")
+    if models.source[0] is df and models.source[1:] == (id_col, text_col):
+        chunks, answers = models.chunks, committed(_own_answers(models.requests()), "lm-answers")
+        words = answers.agg(F.sum("words")).first()[0] or 0
+    else:
+        chunks, (table, words) = committed(_chunks(df, id_col, text_col, ASKED), "lm-chunks"), models.counts()
+        answers = committed(_other_answers(_requests(chunks, models.buckets), table), "lm-answers")
     release_shuffles(spark)
-    totals, words = (models.target_tokens, models.background_tokens), models.words
+    totals = models.target_tokens, models.background_tokens
     types = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
 
     def finish(_, rows):
-        _, hashes, tokens, ids, lengths = rows[0]  # bucket -1
-        own = Chunk(unpacked(hashes, np.uint64), unpacked(tokens, np.uint32).astype(np.int64))
+        _, hashes, tokens, ids, lengths = rows[0]  # the plan has bucket -1
+        own = _planned(hashes, tokens)
         counts = [np.concatenate([unpacked(r[k], np.uint64) for r in rows[1:]]).astype(np.float64) for k in (2, 1)]
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
         n = np.array(lengths, np.int64)
+        starts = np.cumsum(n) - n
         target, background = (np.add.reduceat(own.token_losses(c, total, words), starts) / n for c, total in zip(counts, totals))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(target), pa.array(background), pa.array(target - background)], schema=types)
 
     lists = [F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("lengths")]
-    plans = chunks.filter("bucket = -1").select("chunk", "bucket", "keys", "counts", "ids", "lengths")
-    together = plans.union(answers.select("chunk", "bucket", "b", "t", *lists))
+    plans = chunks.select("chunk", F.lit(-1).alias("bucket"), "hashes", "tokens", "ids", "lengths")
+    together = plans.union(answers.filter("chunk >= 0").select("chunk", "bucket", "b", "t", *lists))
     return _by_bucket(together, finish, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
