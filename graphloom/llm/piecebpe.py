@@ -21,6 +21,8 @@ from .common import TwoGenerations, bounded_batches
 
 #: Words that a Python worker remembers; characters that are merged at once (a segment is never divided).
 MEMO, AT_ONCE = 120_000, 1 << 20
+#: Characters of a word that is cut into segments if it has more; bits of the pairs' hash table.
+CUT_FROM, SLOT_BITS = 64, 20
 #: Characters of texts whose new words are merged together.
 TOGETHER = 1 << 21
 SPACE = "▁"
@@ -99,15 +101,31 @@ class PieceModel:
             for k in range(1, len(p)):
                 if p[:k] in self.symbols and p[k:] in self.symbols:
                     merges[self.symbols[p[:k]] << 20 | self.symbols[p[k:]]] = (order[scores[i]], i)
-        self.pair_keys = np.array(sorted(merges), np.int64)
-        self.pair_rank = np.array([merges[k][0] for k in self.pair_keys.tolist()], np.int64)
-        self.pair_to = np.array([merges[k][1] for k in self.pair_keys.tolist()], np.int64)
+        self._hash_pairs(merges)
         self.beside = np.array(sorted({ord(a) << 21 | ord(b) for p in self.ids for a, b in zip(p, p[1:])} or {-1}), np.int64)
         # Words may be cut before a space mark where no piece has one after another character, and around what no piece has.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         loose = "\n" if not any("\n" in p for p in self.ids) else ""
         self.split = re.compile(f"{SPACE}+[^{SPACE}{loose}]*|[^{SPACE}{loose}]+" + (f"|{loose}+" if loose else "")) if self.cuts else re.compile(".+", re.S)
 
+    def _hash_pairs(self, merges: dict[int, tuple[int, int]]) -> None:
+        """Pairs by a multiplicative hash in one table; those whose slot is taken go to a sorted list, and the slot says so."""
+        keys = np.array(sorted(merges), np.int64)
+        rank, to = (np.array([merges[k][i] for k in keys.tolist()], np.int64) for i in range(2))
+        slot = self._slot(keys)
+        _, first = np.unique(slot, return_index=True)
+        self.slot_key, self.slot_rank, self.slot_to = (np.full(1 << SLOT_BITS, v, t) for v, t in ((-1, np.int64), (0, np.int64), (0, np.int32)))
+        self.slot_key[slot[first]], self.slot_rank[slot[first]], self.slot_to[slot[first]] = keys[first], rank[first], to[first]
+        late = np.ones(len(keys), bool)
+        late[first] = False
+        self.shared = np.zeros(1 << SLOT_BITS, bool)
+        self.shared[slot[late]] = True
+        self.late_keys, self.late_rank, self.late_to = np.append(keys[late], 1 << 62), np.append(rank[late], 0), np.append(to[late], 0)
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
     def words(self, text: str) -> list[str]:
         if not text:
             return []
@@ -116,30 +134,36 @@ class PieceModel:
     def _looked_up(self, left: np.ndarray, right: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(order of merging: rank, then place; what the pair becomes) of neighbouring symbols."""
         key = left << 20 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        known = (self.pair_keys[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(known, self.pair_rank[at] << 32 | first, NEVER), self.pair_to[at]
+        slot = self._slot(key)
+        known, rank, to = self.slot_key[slot] == key, self.slot_rank[slot], self.slot_to[slot].astype(np.int64)
+        other = np.flatnonzero(self.shared[slot] & ~known)
+        if len(other):
+            at = np.searchsorted(self.late_keys, key[other])
+            held = self.late_keys[at] == key[other]
+            other, at = other[held], at[held]
+            known[other], rank[other], to[other] = True, self.late_rank[at], self.late_to[at]
+        return np.where(known & (left >= 0) & (right >= 0), rank << 32 | first, NEVER), to
 
     def _out(self, symbol: int, char: str) -> list[int]:
         return [symbol] if 0 <= symbol < len(self.pieces) else [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
 
     def merge(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word. Two neighbouring characters that no piece has side by side never come together, so words are
+        """Ids of each word. Two neighbouring characters that no piece has side by side never come together, so long words are
         cut there first; the segments are merged together, a bounded number of characters at a time."""
         out: list[list[int]] = [[] for _ in words]
         flat = "".join(words)
         if not flat:
             return out
         points = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), "<u4")
-        starts = np.zeros(len(points), bool)
-        for lo in range(0, len(points) - 1, AT_ONCE):
-            code = points[lo : lo + AT_ONCE + 1].astype(np.int64)
-            code = code[:-1] << 21 | code[1:]
-            at = np.minimum(np.searchsorted(self.beside, code), len(self.beside) - 1)
-            starts[lo + 1 : lo + 1 + len(code)] = self.beside[at] != code
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        starts, lengths = np.zeros(len(points), bool), np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths)
         starts[(ends - lengths)[lengths > 0]] = True
+        for i in np.flatnonzero(lengths > CUT_FROM):
+            for lo in range(int(ends[i] - lengths[i]), int(ends[i]) - 1, AT_ONCE):
+                code = points[lo : min(lo + AT_ONCE + 1, int(ends[i]))].astype(np.int64)
+                code = code[:-1] << 21 | code[1:]
+                at = np.minimum(np.searchsorted(self.beside, code), len(self.beside) - 1)
+                starts[lo + 1 : lo + 1 + len(code)] = self.beside[at] != code
         begins = np.flatnonzero(starts)
         owner = np.searchsorted(ends, begins, "right").tolist()
         sizes = np.diff(np.append(begins, len(points)))
@@ -147,7 +171,10 @@ class PieceModel:
         for i in np.split(np.arange(len(begins)), np.flatnonzero(np.diff(group)) + 1):
             lo, hi = int(begins[i[0]]), int(begins[i[-1]] + sizes[i[-1]])
             for w, ids in zip(owner[i[0] : i[-1] + 1], self._merged(points[lo:hi], sizes[i])):
-                out[w] += ids
+                if out[w]:
+                    out[w] += ids
+                else:
+                    out[w] = ids
         return out
 
     def _merged(self, points: np.ndarray, count: np.ndarray) -> list[list[int]]:
@@ -246,7 +273,7 @@ def _held(path: str, words) -> dict:
     """Remembered (number of ids, decimal ids, raw bytes) by word, after merging those that are new, all at once."""
     memo = _memos.setdefault(path, TwoGenerations(MEMO))
     memo.rotate()
-    new = list(dict.fromkeys(memo.missing(words)))
+    new = memo.missing(dict.fromkeys(words))
     if new:
         m = model(path)
         ids = m.merge(new)
