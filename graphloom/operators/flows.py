@@ -38,23 +38,27 @@ def entry_scores(nodes: DataFrame, edges: DataFrame, limit: int = ENTRIES) -> Da
 
 
 def traces(edges: DataFrame, entries: DataFrame, branches: int = BRANCHES, depth: int = DEPTH, least: int = LEAST, most: int = TRACES) -> DataFrame:
-    """(entry, trace): simple paths from entry points over the first callees, shortest first, that end at a leaf, at a
-    dead end or at the depth. Paths are extended level by level; an entry's extensions stay bounded by the branches."""
-    callees = call_graph(edges).distinct().withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("b"))).filter(F.col("r") <= branches).groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("next"))
+    """(entry, trace): the first `most` simple paths of each entry point, in the order in which they end when paths are
+    followed breadth first over the first `branches` calls of a symbol (sorted; a call that repeats takes a place and is followed
+    again). A path ends at a leaf, at a dead end or at the depth, and counts from `least` symbols on. An entry point is followed until it has its
+    paths; before that none of its paths is left out, of which there are at most branches to the power of the depth."""
+    callees = call_graph(edges).withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("b"))).filter(F.col("r") <= branches).groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "b"))), lambda x: x["b"]).alias("next"))
     callees = committed(callees, "callees")
-    level = committed(entries.select(F.col("id").alias("entry"), F.array("id").alias("trace")), "traces")
+    level = committed(entries.select(F.col("id").alias("entry"), F.array("id").alias("trace"), F.array().cast("array<int>").alias("way")), "traces")
     ended = None
     for _ in range(depth):
         j = level.join(callees.withColumnRenamed("a", "tip"), F.element_at("trace", -1) == F.col("tip"), "left")
-        j = j.withColumn("next", F.filter(F.coalesce("next", F.array().cast("array<string>")), lambda x: ~F.array_contains("trace", x)))
+        fresh = F.filter(F.transform(F.coalesce("next", F.array().cast("array<string>")), lambda x, i: F.struct(x.alias("b"), i.cast("int").alias("i"))), lambda x: ~F.array_contains("trace", x["b"]))
+        j = j.withColumn("next", fresh)
         stop = (F.size("next") == 0) | (F.size("trace") >= depth)
-        over = committed(j.filter(stop & (F.size("trace") >= least)).select("entry", "trace"), "traces-ended")
+        over = committed(j.filter(stop & (F.size("trace") >= least)).select("entry", "trace", "way"), "traces-ended")
         ended = over if ended is None else ended.union(over)
-        order = Window.partitionBy("entry").orderBy("trace")
-        level = committed(j.filter(~stop).select("entry", F.explode(F.transform("next", lambda x: F.concat("trace", F.array(x)))).alias("trace")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most * branches).drop("r"), "traces")
+        full = ended.groupBy("entry").agg(F.count("*").alias("n")).filter(F.col("n") >= most).select("entry")
+        on = j.filter(~stop).join(full, "entry", "left_anti").withColumn("x", F.explode("next"))
+        level = committed(on.select("entry", F.concat("trace", F.array("x.b")).alias("trace"), F.concat("way", F.array("x.i")).alias("way")), "traces")
         if level.isEmpty():
             break
-    ranked = ended.withColumn("r", F.row_number().over(Window.partitionBy("entry").orderBy(F.size("trace"), "trace"))).filter(F.col("r") <= most)
+    ranked = ended.withColumn("r", F.row_number().over(Window.partitionBy("entry").orderBy(F.size("trace"), "way"))).filter(F.col("r") <= most)
     return ranked.select("entry", "trace")
 
 

@@ -7,13 +7,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.expr import clean_path
 
 JS, WEB = (".ts", ".js"), (".tsx", ".ts", ".jsx", ".js")
-# Fixed values: (framework, multiplier, reason, one of these inside, none of these inside, one of these at the end), the first that fits.
+# Fixed values: (framework, multiplier, reason, one of these inside, none of these inside, one of these at the end, beginning of the file's name if one is asked), the first that fits.
 PATH_RULES = (
     ("nextjs-pages", 3.0, "nextjs-page", ("/pages/",), ("/_", "/api/"), WEB),
     ("nextjs-app", 3.0, "nextjs-app-page", ("/app/",), (), ("page.tsx", "page.ts", "page.jsx", "page.js")),
     ("nextjs-api", 3.0, "nextjs-api-route", ("/pages/api/",), (), ()),
     ("nextjs-app", 2.0, "nextjs-layout", ("/app/",), ("_layout",), ("layout.tsx", "layout.ts")),
-    ("expo-router", 2.5, "expo-screen", ("/app/",), ("/api/",), WEB),
+    ("expo-router", 2.0, "expo-layout", ("/app/",), (), WEB, "_layout"),
+    ("expo-router", 1.5, "expo-special-route", ("/app/",), ("/+api",), WEB, "+"),
+    ("expo-router", 3.0, "expo-api-route", ("/app/",), (), ("+api.ts", "+api.tsx")),
+    ("expo-router", 2.5, "expo-screen", ("/app/",), (), WEB),
     ("electron", 3.0, "electron-entry", ("/src-electron/", "/electron/"), (), JS),
     ("nuxt", 3.0, "nuxt-config", (), (), ("/nuxt.config.ts", "/nuxt.config.js", "/nuxt.config.mjs")),
     ("nuxt", 3.0, "nuxt-page", ("/pages/",), (), (".vue",)),
@@ -124,8 +127,9 @@ def path_hint(path: Column) -> Column:
     """struct(framework, multiplier, reason) of a path, or null."""
     p = F.concat(F.lit("/"), F.ltrim(clean_path(path), F.lit("/")))
     out = None
-    for framework, multiplier, reason, inside, without, ends in PATH_RULES:
-        fits = _any([p.contains(x) for x in inside], True) & ~_any([p.contains(x) for x in without], False) & _any([p.endswith(x) for x in ends], True)
+    for framework, multiplier, reason, inside, without, ends, *begin in PATH_RULES:
+        named = F.substring_index(p, "/", -1).startswith(begin[0]) if begin else F.lit(True)
+        fits = named & _any([p.contains(x) for x in inside], True) & ~_any([p.contains(x) for x in without], False) & _any([p.endswith(x) for x in ends], True)
         out = F.when(fits, _hint(framework, multiplier, reason)) if out is None else out.when(fits, _hint(framework, multiplier, reason))
     return out
 

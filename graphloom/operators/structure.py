@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import posixpath
 
 import pandas as pd
@@ -74,14 +75,14 @@ def scope_at(positions: DataFrame, scopes: DataFrame) -> DataFrame:
     return found.select(*keys, F.greatest("part", "whole")["scope"].alias("scope"))
 
 
-def scope_ancestors(scopes: DataFrame, most: int = 64) -> DataFrame:
+def scope_ancestors(scopes: DataFrame) -> DataFrame:
     """(scope, ancestor, depth), the scope itself at depth 0; a cycle ends where it meets itself."""
     from ..workspace import committed
 
     parents = scopes.select(F.col("id").alias("ancestor"), "parent").filter("parent is not null")
     level = committed(scopes.select(F.col("id").alias("scope"), F.col("id").alias("ancestor"), F.lit(0).alias("depth")), "ancestors")
     out = level
-    for depth in range(1, most + 1):
+    for depth in itertools.count(1):
         up = level.join(parents, "ancestor").select("scope", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"))
         level = committed(up.join(out.select("scope", "ancestor"), ["scope", "ancestor"], "left_anti"), "ancestors")
         if level.isEmpty():

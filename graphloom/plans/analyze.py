@@ -18,8 +18,8 @@ def _edge(df: DataFrame, source: str, target: str, kind: str, confidence=1.0, re
 
 
 def definitions(facts: DataFrame, files: DataFrame) -> DataFrame:
-    """Nodes of definitions; of several with one id the last counts; content is cut from the file's lines."""
-    d = facts.filter("fact = 'definition'").groupBy("id").agg(F.max_by(F.struct("label", "name", "filePath", "startLine", "endLine", "required", "count", "type"), "seq").alias("d")).select("id", "d.*")
+    """Nodes of definitions; of several with one id the first counts; content is cut from the file's lines."""
+    d = facts.filter("fact = 'definition'").groupBy("id").agg(F.min_by(F.struct("label", "name", "filePath", "startLine", "endLine", "required", "count", "type"), "seq").alias("d")).select("id", "d.*")
     lines = files.select("filePath", F.split("content", "\n").alias("lines"))
     body = F.array_join(F.slice("lines", F.col("startLine"), F.greatest(F.col("endLine") - F.col("startLine") + 1, F.lit(0))), "\n")
     return d.join(lines, "filePath", "left").select("id", "label", "name", "filePath", F.col("startLine").cast("long").alias("startLine"), F.col("endLine").cast("long").alias("endLine"), F.col("count").alias("parameterCount"), "required", F.col("type").alias("returnType"), body.alias("content"))

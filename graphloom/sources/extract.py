@@ -205,7 +205,7 @@ def _generic(path: str, text: str, lang: str, shift: int = 0) -> list[dict]:
             continue
         inner = max((s for s in spans if s[0] <= m.start() <= s[1]), key=lambda s: s[0], default=None)
         depth, at = 1, m.end()
-        while at < len(code) and depth and at - m.end() < 4000:
+        while at < len(code) and depth:
             depth += {"(": 1, ")": -1}.get(code[at], 0)
             at += 1
         form = "constructor" if m["new"] else "member" if m["recv"] else "free"

@@ -91,24 +91,21 @@ def test_mro(spark):
 def test_communities(spark):
     cliques = [(f"{g}.{a}", f"{g}.{b}") for g in ("api", "db") for a, b in (("x", "y"), ("y", "z"), ("x", "z"))] + [("api.x", "db.x")]
     links = spark.createDataFrame(cliques, "a string, b string")
-    for sequential in (50_000, 0):
-        found = {}
-        for r in clusters.detect(links, sequential).collect():
-            found.setdefault(r.community, set()).add(r.id)
-        assert sorted(map(sorted, found.values())) == [["api.x", "api.y", "api.z"], ["db.x", "db.y", "db.z"]]
+    found = {}
+    for r in clusters.detect(links).collect():
+        found.setdefault(r.community, set()).add(r.id)
+    assert sorted(map(sorted, found.values())) == [["api.x", "api.y", "api.z"], ["db.x", "db.y", "db.z"]] and sorted(found) == ["comm_0", "comm_1"]
     assert clusters.detect(links.filter("false")).count() == 0
 
 
 def test_communities_of_large_graphs_keep_their_resolution(spark):
-    """A symbol has 8 links into a small group and 12 into a large one: 2.0, of both paths, leaves it in the small one; 1.0 doesn't."""
+    """A symbol has 8 links into a small group and 12 into a large one: 2.0 leaves it in the small one; 1.0 doesn't."""
     clique = lambda g, n: [(f"{g}{i:02d}", f"{g}{j:02d}") for i in range(n) for j in range(i + 1, n)]
     made = clique("a", 10) + clique("b", 60) + [(f"a{i:02d}", "v") for i in range(8)] + [(f"b{i:02d}", "v") for i in range(12)]
     made += [(f"t{i:04d}{x}", f"t{i:04d}{y}") for i in range(3400) for x, y in ("pq", "qr", "pr")]
     links = spark.createDataFrame(made, "a string, b string")
-    for sequential in (50_000, 0):
-        members = clusters.detect(links, sequential)
-        found = {r.id: r.community for r in members.collect()}
-        assert found["v"] == found["a09"] != found["b59"]
+    found = {r.id: r.community for r in clusters.detect(links).collect()}
+    assert found["v"] == found["a09"] != found["b59"]
 
 
 def test_flows(spark):
@@ -125,6 +122,34 @@ def test_flows(spark):
     assert sorted(r.step for r in links.filter("type = 'STEP_IN_PROCESS'").collect()) == [1, 2, 3]
 
 
+def test_traces_follow_repeated_calls_and_keep_all_paths(spark):
+    """Plain breadth-first search; four branches of 40 symbols, so that more paths wait than a bound of the queue would hold."""
+    rng = random.Random(5)
+    calls = sorted((f"n{a:02d}", f"n{rng.randrange(40):02d}") for a in range(36) for _ in range(5))
+    e = edges(spark, *[(a, "CALLS", b, 1.0) for a, b in calls])
+    want = {}
+    for entry in ("n00", "n07", "n21"):
+        queue, found = [[entry]], []
+        while queue and len(found) < 12:
+            path = queue.pop(0)
+            after = [b for a, b in calls if a == path[-1]][:4]
+            more = [path + [b] for b in after if b not in path] if len(path) < 10 else []
+            queue += more
+            if not more and len(path) >= 3:
+                found.append(path)
+        want[entry] = sorted(found)
+    entries = spark.createDataFrame([(x,) for x in want], "id string")
+    got = {x: [] for x in want}
+    for r in flows.traces(e, entries).collect():
+        got[r.entry].append(r.trace)
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_chains_of_any_length_are_followed(spark):
+    links = spark.createDataFrame([(f"c{i:03d}", f"c{i + 1:03d}", "EXTENDS") for i in range(70)], "child string, parent string, type string")
+    assert resolution.ancestors(links).filter("class = 'c000'").count() == 70
+
+
 def test_diff_hunks():
     diff = "--- a/x.go\n+++ b/x.go\n@@ -10,0 +11,3 @@\n@@ -5,2 +5,4 @@\n@@ -5,0 +6 @@\n@@ -10,3 +10,0 @@\n--- a/Gone.go\n+++ /dev/null\n@@ -10,3 +0,0 @@\n"
     assert text.parse_diff(diff) == [("x.go", 11, 13, False), ("x.go", 5, 8, False), ("x.go", 6, 6, False), ("gone.go", 10, 12, True)]
@@ -284,6 +309,8 @@ def test_shapes_keys_and_middleware(spark):
 
 def test_framework_hints(spark):
     paths = ["pages/about.tsx", "src/app/page.tsx", "srv/views.py", "cmd/main.go", "lib/x.rb", "src/UserController.java"]
+    screens = ["src/app/_layout.tsx", "src/app/+not-found.tsx", "src/app/users+api.ts", "src/app/home.tsx"]
+    assert [g.reason for g in column(spark, frameworks.path_hint, screens)] == ["expo-layout", "expo-special-route", "expo-api-route", "expo-screen"]
     got = column(spark, frameworks.path_hint, paths)
     assert [g and (g.framework, g.multiplier) for g in got] == [("nextjs-pages", 3.0), ("nextjs-app", 3.0), ("django", 3.0), ("go", 3.0), None, ("spring", 3.0)]
     df = spark.createDataFrame([("python", "@app.route('/x')"), ("go", "func h(c *gin.Context)"), ("go", "x")], "l string, t string")
