@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import impact as impact_, lookup, routes, search, store, text
 from .plans import cypher as cypher_
-from .plans.analyze import analyze, inheritance
+from .plans.analyze import analyze, communities_and_flows, inheritance
 from .sources.files import IgnoreRules, walk
 
 
@@ -23,7 +23,8 @@ class CodeGraph:
     @classmethod
     def of_folder(cls, spark: SparkSession, root: str, ignore: list[str] = (), with_inheritance: bool = True) -> "CodeGraph":
         g = cls(*analyze(walk(spark, root, IgnoreRules(ignore))))
-        return g.with_inheritance() if with_inheritance else g
+        g = g.with_inheritance() if with_inheritance else g
+        return g.with_communities_and_flows()
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "CodeGraph":
@@ -36,6 +37,9 @@ class CodeGraph:
         more = inheritance(self.nodes, self.edges).withColumn("id", F.concat_ws(":", F.lit("rel"), "type", F.concat_ws("->", "sourceId", "targetId")))
         return CodeGraph(self.nodes, self.edges.unionByName(more, allowMissingColumns=True))
 
+    def with_communities_and_flows(self) -> "CodeGraph":
+        return CodeGraph(*communities_and_flows(self.nodes, self.edges))
+
     def resolve(self, name: str = "", uid: str = "", file_path: str = "", kind: str = "") -> tuple[str, list]:
         return lookup.best_candidate(lookup.candidates(self.nodes, name, uid, file_path, kind))
 
@@ -78,6 +82,22 @@ class CodeGraph:
     def route_map(self, words: str = "") -> DataFrame:
         return routes.route_map(self.nodes, self.edges, words)
 
+    def _consumers(self) -> tuple[DataFrame, DataFrame]:
+        empty = F.array().cast("array<string>")
+        held = lambda c: F.coalesce(F.col(c), empty).alias(c)
+        r = self.nodes.filter("label = 'Route'").select(F.col("id").alias("route"), held("responseKeys"), held("errorKeys"))
+        c = self.edges.filter("type = 'FETCHES'").select(F.col("targetId").alias("route"), F.col("sourceId").alias("consumer"), routes.reason_keys(F.col("reason")).alias("keys"), routes.reason_fetches(F.col("reason")).alias("fetches"))
+        return r, c
+
+    def shape_check(self) -> DataFrame:
+        return routes.shape_check(*self._consumers())
+
+    def api_impact(self) -> DataFrame:
+        """Risk of each route with the flows that enter there and its middleware."""
+        flows_ = self.edges.filter("type = 'ENTRY_POINT_OF'").groupBy(F.col("sourceId").alias("route")).agg(F.array_sort(F.collect_set("targetId")).alias("flows"))
+        about = self.nodes.filter("label = 'Route'").select(F.col("id").alias("route"), "middleware")
+        return routes.api_impact(*self._consumers()).join(flows_, "route", "left").join(about, "route", "left")
+
     def tool_map(self, words: str = "") -> DataFrame:
         found = self.nodes.filter("label = 'Tool'")
         return found.filter(F.col("name").contains(words)) if words else found

@@ -26,6 +26,11 @@ def navigation(files: DataFrame) -> DataFrame:
     return found.select("filePath", "kind", normal_url(F.col("raw")).alias("url")).filter("url is not null").distinct()
 
 
+def fetch_sites(files: DataFrame) -> DataFrame:
+    """(filePath, url, n): fetches of the own application and how often each address is fetched in a file."""
+    return _found(files, FETCH, "fetch").select("filePath", normal_url(F.col("raw")).alias("url")).filter("url is not null").groupBy("filePath", "url").agg(F.count("*").alias("n"))
+
+
 def framework_routes(files: DataFrame) -> DataFrame:
     """(url, filePath): routes declared on an app or router; the first file of each address."""
     return _found(files, FRAMEWORK_ROUTE, "route").select(normal_url(F.col("raw")).alias("url"), "filePath").filter("url is not null").groupBy("url").agg(F.min("filePath").alias("filePath"))

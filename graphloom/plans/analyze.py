@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import resolution as R, routes, structure
+from ..functions.expr import base_type_name
+from ..operators import clusters, flows, frameworks, resolution as R, routes, structure
 from ..operators.store import merged_edges
 from ..sources.extract import facts as extract_facts
 from ..workspace import committed
@@ -35,12 +36,14 @@ def resolved_calls(facts: DataFrame, defs: DataFrame, imports: DataFrame) -> Dat
     own = facts.filter("fact = 'definition'").select("scope", "name", F.col("id").alias("def"))
     brought = imports.filter("def is not null").select("scope", "name", "def")
     chained = R.scope_chain(calls.filter("form <> 'member'").select("ref", "scope", "name"), above, own.union(brought)).filter("status = 'found'").select("ref", "def", F.lit("name").alias("tier"))
-    by_name = calls.join(target, "name").filter(fits)
-    direct = by_name.filter("form <> 'member'")
-    same = direct.filter("filePath = file").select("ref", "def", F.lit("file").alias("tier"))
+    # Calls of one name, number of arguments and form mean the same everywhere: they are matched once, and only a name with one target goes back.
+    kinds = calls.select("name", "arity", "form").distinct()
+    alone = kinds.join(target, "name").filter(fits).groupBy("name", "arity", "form").agg(F.min("def").alias("def"), F.max("def").alias("last")).filter("def = last")
+    everywhere = calls.join(alone, (calls["name"] == alone["name"]) & calls["arity"].eqNullSafe(alone["arity"]) & (calls["form"] == alone["form"])).select("ref", "def", F.lit("global").alias("tier"))
+    same = calls.filter("form <> 'member'").join(target, (calls["name"] == target["name"]) & (F.col("filePath") == F.col("file"))).filter(fits).select("ref", "def", F.lit("file").alias("tier"))
     folder = lambda c: F.regexp_extract(c, "^(.*/)?[^/]*$", 1)
-    package = direct.filter(F.col("filePath").endswith(".go") & (folder("filePath") == folder("file"))).select("ref", "def", F.lit("package").alias("tier"))
-    everywhere = by_name.select("ref", "def", F.lit("global").alias("tier"))
+    near = target.filter(F.col("file").endswith(".go")).withColumn("folder", folder("file"))
+    package = calls.filter("form <> 'member'").filter(F.col("filePath").endswith(".go")).withColumn("folder", folder("filePath")).join(near, ["name", "folder"]).filter(fits).select("ref", "def", F.lit("package").alias("tier"))
     members = facts.filter("fact = 'member'").select(F.col("parent").alias("owner"), "name", F.col("id").alias("def"))
     inside = calls.filter("form = 'member' and receiver in ('self', 'this', 'cls', '$this', '')")
     enclosing = facts.filter("fact = 'owned' and label not in ('Function', 'Method', 'Constructor')").select(F.col("scope").alias("ancestor"), F.col("id").alias("owner"))
@@ -66,6 +69,42 @@ def resolved_imports(facts: DataFrame, files: DataFrame, defs: DataFrame) -> Dat
     return committed(at.join(one, "import", "left").filter("filePath <> target"), "resolved-imports")
 
 
+# Names of types that no definition stands for.
+BUILTIN_TYPES = ("string", "number", "boolean", "any", "unknown", "void", "never", "object", "int", "float", "bool", "str", "None", "null", "undefined")
+
+
+def resolved_accesses(facts: DataFrame, heritage: DataFrame) -> DataFrame:
+    """(source, def, form, line): accesses through self or this to a property of the enclosing owner, or else of the nearest of its
+    ancestors that has just one of the name."""
+    above = committed(structure.scope_ancestors(facts.filter("fact = 'scope'").select("id", "parent")), "scope-ancestors")
+    used = committed(facts.filter("fact = 'access' and receiver in ('self', 'this', 'cls', '$this')").select(F.concat_ws("#", "filePath", "seq").alias("ref"), "filePath", "scope", "name", "form", F.col("startLine").alias("line")), "accesses")
+    owned = facts.filter("fact = 'owned'").select("scope", F.col("id").alias("def"), "label", F.col("seq").alias("pos"))
+    owners = owned.filter("label not in ('Function', 'Method', 'Constructor')").select(F.col("scope").alias("ancestor"), F.col("def").alias("class"))
+    mine = used.join(above, "scope").join(owners, "ancestor").groupBy("ref").agg(F.min_by("class", "depth").alias("class"))
+    line = R.ancestors(heritage.select(F.col("child"), F.col("def").alias("parent"), "type")).select("class", "ancestor", "depth")
+    reach = mine.select("ref", F.col("class").alias("ancestor"), F.lit(0).alias("depth")).union(mine.join(line, "class").select("ref", "ancestor", "depth"))
+    properties = facts.filter("fact = 'member' and label in ('Property', 'Variable', 'Const')").select(F.col("parent").alias("ancestor"), "name", F.col("id").alias("def"))
+    hits = reach.join(used.select("ref", "name"), "ref").join(properties, ["ancestor", "name"]).groupBy("ref", "depth").agg(F.min("def").alias("def"), F.countDistinct("def").alias("n"))
+    best = hits.groupBy("ref").agg(F.min_by(F.struct("def", "n"), "depth").alias("b")).filter("b.n = 1").select("ref", "b.def")
+    source = R.enclosing(used.select("ref", "scope"), above, owned).withColumnRenamed("def", "source")
+    return best.join(used, "ref").join(source, "ref").select("source", "def", "form", "line")
+
+
+def resolved_annotations(facts: DataFrame, defs: DataFrame, imports: DataFrame) -> DataFrame:
+    """(source, def, line): types named by annotations, through the chain of scopes, else a type whose name is unique."""
+    above = committed(structure.scope_ancestors(facts.filter("fact = 'scope'").select("id", "parent")), "scope-ancestors")
+    named = facts.filter("fact = 'annotation'").select(F.concat_ws("#", "filePath", "seq").alias("ref"), "filePath", "scope", base_type_name(F.col("type")).alias("name"), F.col("startLine").alias("line"))
+    named = committed(named.filter((F.col("name") != "") & ~F.col("name").isin(*BUILTIN_TYPES)), "annotations")
+    types = defs.filter("label in ('Class', 'Interface', 'Struct', 'Trait', 'Record', 'Enum', 'TypeAlias')").select("name", F.col("id").alias("def"))
+    own = facts.filter("fact = 'definition' and label in ('Class', 'Interface', 'Struct', 'Trait', 'Record', 'Enum', 'TypeAlias')").select("scope", "name", F.col("id").alias("def"))
+    chain = R.scope_chain(named.select("ref", "scope", "name"), above, own.union(imports.filter("def is not null").select("scope", "name", "def")))
+    alone = R.unique_or_none(types, "name", "def")
+    found = chain.filter("status = 'found'").select("ref", "def").union(chain.filter("status = 'none'").select("ref").join(named, "ref").join(alone, "name").select("ref", "def"))
+    owned = facts.filter("fact = 'owned'").select("scope", F.col("id").alias("def"), "label", F.col("seq").alias("pos"))
+    source = R.enclosing(named.select("ref", "scope"), above, owned).withColumnRenamed("def", "source")
+    return found.join(named, "ref").join(source, "ref", "left").select(F.coalesce("source", F.concat(F.lit("File:"), "filePath")).alias("source"), "def", "line").filter("source <> def")
+
+
 def analyze(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of files (filePath, language, content)."""
     files = committed(files.select("filePath", "language", "content"), "files")
@@ -82,8 +121,14 @@ def analyze(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = facts.filter("fact = 'member'")
     routes_ = routes.filesystem_routes(files).select("url", "filePath").union(routes.framework_routes(files)).groupBy("url").agg(F.min("filePath").alias("filePath"))
     tools, models = routes.tools(files), routes.orm_queries(files)
-    fetched = routes.matched_routes(routes.navigation(files).filter("kind = 'fetch'").select("url").distinct(), routes_)
-    fetches = routes.navigation(files).filter("kind = 'fetch'").join(fetched, "url")
+    sites = committed(routes.fetch_sites(files), "fetch-sites")
+    fetched = routes.matched_routes(sites.select("url").distinct(), routes_)
+    keys = files.select("filePath", routes.accessed_keys(F.coalesce("content", F.lit(""))).alias("keys"))
+    fetches = sites.join(fetched, "url").groupBy("filePath", "route").agg(F.sum("n").alias("n")).join(keys, "filePath").withColumn("reason", routes.fetch_reason(F.col("keys"), F.col("n")))
+    accesses, annotations = resolved_accesses(facts, heritage), resolved_annotations(facts, defs, imports)
+    shapes = routes.response_shapes(files)
+    about = files.select("filePath", routes.middleware(F.coalesce("content", F.lit(""))).alias("middleware")).join(shapes, "filePath", "left").join(routes_, "filePath").select(F.concat(F.lit("Route:"), "url").alias("id"), "responseKeys", "errorKeys", "middleware")
+    hints = files.select("filePath", frameworks.path_hint(F.col("filePath"))["multiplier"].alias("byPath"), "language")
     name = lambda prefix, c: F.concat(F.lit(prefix), c)
     edges = [
         contains.withColumn("line", F.lit(None).cast("int")).select(*EDGE),
@@ -95,7 +140,10 @@ def analyze(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         _edge(calls, "source", "def", "CALLS", F.col("confidence"), F.col("tier"), "line"),
         _edge(heritage, "child", "def", F.col("type")),
         _edge(routes_.select(name("File:", F.col("filePath")).alias("a"), name("Route:", F.col("url")).alias("b")), "a", "b", "HANDLES_ROUTE"),
-        _edge(fetches.select(name("File:", F.col("filePath")).alias("a"), name("Route:", F.col("route")).alias("b")).distinct(), "a", "b", "FETCHES", 0.9, "fetch-url-match"),
+        _edge(fetches.select(name("File:", F.col("filePath")).alias("a"), name("Route:", F.col("route")).alias("b"), "reason"), "a", "b", "FETCHES", 0.9, F.col("reason")),
+        _edge(accesses, "source", "def", "ACCESSES", 1.0, F.col("form"), "line"),
+        _edge(annotations, "source", "def", "USES", 1.0, "type-annotation", "line"),
+        _edge(imports.filter("def is not null").select(name("File:", F.col("filePath")).alias("a"), F.col("def").alias("b")).distinct(), "a", "b", "USES", 1.0, "import"),
         _edge(tools.select(name("File:", F.col("filePath")).alias("a"), name("Tool:", F.col("tool")).alias("b")), "a", "b", "HANDLES_TOOL"),
         _edge(models.select(name("File:", F.col("filePath")).alias("a"), name("CodeElement:", F.col("model")).alias("b"), F.concat_ws(".", "orm", "method").alias("m")), "a", "b", "QUERIES", 0.9, F.col("m")),
     ]
@@ -103,7 +151,8 @@ def analyze(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     for e in edges[1:]:
         out = out.union(e)
     out = out.withColumn("id", F.concat_ws(":", F.lit("rel"), "type", F.concat_ws("->", "sourceId", "targetId"), F.coalesce("line", F.lit(0)).cast("string"), F.lit("0")))
-    kept = merged_edges(out.withColumns({"seq": F.col("id"), "callName": F.when(F.col("type") == "CALLS", F.substring_index("targetId", ".", -1)).otherwise("")})).drop("callName").withColumn("step", F.lit(None).cast("int"))
+    kept = merged_edges(out.withColumns({"seq": F.col("id"), "callName": F.when(F.col("type") == "CALLS", F.substring_index("targetId", ".", -1)).otherwise(""), "access": F.when(F.col("type") == "ACCESSES", F.col("reason")).otherwise("")})).drop("callName")
+    kept = kept.withColumn("step", F.when(F.col("access") == "read", 1).when(F.col("access") == "write", 2)).drop("access")
     blank = lambda c, t: F.lit(None).cast(t).alias(c)
     plain = lambda df, label: df.select("id", F.lit(label).alias("label"), "name", "filePath", blank("startLine", "long"), blank("endLine", "long"), blank("parameterCount", "int"), blank("returnType", "string"), blank("content", "string"))
     nodes = (
@@ -114,7 +163,28 @@ def analyze(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         .union(plain(tools.select(name("Tool:", F.col("tool")).alias("id"), F.col("tool").alias("name"), "filePath"), "Tool"))
         .union(plain(models.groupBy("model").agg(F.min("filePath").alias("filePath")).select(name("CodeElement:", F.col("model")).alias("id"), F.col("model").alias("name"), "filePath"), "CodeElement"))
     )
-    return committed(nodes.dropDuplicates(["id"]), "nodes"), committed(kept, "edges")
+    nodes = nodes.dropDuplicates(["id"]).join(about, "id", "left").join(hints, "filePath", "left")
+    by_text = frameworks.text_hint(F.col("language"), F.col("content"))["multiplier"]
+    callable_ = F.col("label").isin("Function", "Method", "Class", "Constructor")
+    nodes = nodes.withColumn("astFrameworkMultiplier", F.when(callable_, F.greatest("byPath", by_text))).drop("byPath", "language")
+    return committed(nodes, "nodes"), committed(kept, "edges")
+
+
+def communities_and_flows(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph with its communities (MEMBER_OF) and execution flows (ENTRY_POINT_OF, STEP_IN_PROCESS, routes and tools linked)."""
+    links = committed(clusters.projection(nodes, edges), "cluster-links")
+    members = committed(clusters.detect(links), "members")
+    made, belongs = clusters.emitted(nodes, links, members)
+    kept = flows.without_parts(flows.traces(edges, flows.entry_scores(nodes, edges).select("id")))
+    symbols = nodes.filter(F.col("label").isin("Function", "Method", "Class", "Interface")).count()
+    budget = max(20, min(int(symbols / 10 + 0.5), 700))
+    processes, steps = flows.processes(nodes, kept, members, budget)
+    linked = flows.resource_links(nodes, processes)
+    new_nodes = made.withColumn("name", F.coalesce("heuristicLabel", "id")).unionByName(processes, allowMissingColumns=True)
+    new_edges = belongs.unionByName(steps, allowMissingColumns=True).unionByName(linked, allowMissingColumns=True)
+    step = F.when(F.col("step").isNotNull(), F.concat(F.lit(":"), F.col("step").cast("string"))).otherwise("")
+    new_edges = new_edges.withColumn("id", F.concat(F.lit("rel:"), "type", F.lit(":"), "sourceId", F.lit("->"), "targetId", step))
+    return committed(nodes.unionByName(new_nodes, allowMissingColumns=True), "nodes"), committed(edges.unionByName(new_edges, allowMissingColumns=True), "edges")
 
 
 def inheritance(nodes: DataFrame, edges: DataFrame) -> DataFrame:

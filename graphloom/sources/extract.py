@@ -40,6 +40,7 @@ class _Python(ast.NodeVisitor):
     def __init__(self, path: str, text: str):
         self.out, self.stack = _Out(path), []
         tree = ast.parse(text)
+        self.called = {n.func for n in ast.walk(tree) if isinstance(n, ast.Call)}
         self.module = f"scope:{path}"
         self.out.scope(self.module, None, "Module", 1, text.count("\n") + 1)
         self.stack.append((self.module, "", ""))
@@ -112,6 +113,16 @@ class _Python(ast.NodeVisitor):
             self.out.add("annotation", name=node.target.id, scope=scope, type=ast.unparse(node.annotation), startLine=node.lineno)
         self.generic_visit(node)
 
+    def visit_arg(self, node):
+        if node.annotation is not None:
+            self.out.add("annotation", name=node.arg, scope=self.stack[-1][0], type=ast.unparse(node.annotation), startLine=node.lineno)
+        self.generic_visit(node)
+
+    def visit_Attribute(self, node):
+        if isinstance(node.value, (ast.Name, ast.Attribute)) and node not in self.called:
+            self.out.add("access", name=node.attr, scope=self.stack[-1][0], receiver=ast.unparse(node.value), form="read" if isinstance(node.ctx, ast.Load) else "write", startLine=node.lineno)
+        self.generic_visit(node)
+
 
 _STRINGS = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
 _HASH = re.compile(r"""\#[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""", re.S)
@@ -122,6 +133,8 @@ _FUNCTION = re.compile(r"\b(?:function\s*\*?|func|fn|fun|def|sub)\s+(?:\((?P<rec
 _TYPED = re.compile(r"(?:^|[;{}\n])[ \t]*(?:(?:public|private|protected|internal|static|final|abstract|override|virtual|async|inline|constexpr|extern|const|unsigned|readonly|synchronized|native|default|sealed|partial|get|set)\s+)*(?P<type>[A-Za-z_][\w:<>,\[\].*&? ]*?[\s*&])?(?P<name>~?[A-Za-z_][\w:]*)\s*\((?P<args>[^(){};]*)\)\s*(?:const|override|noexcept|throws\s+[\w.,\s]+|:\s*[\w<>\[\]|.\s]+|async)?\s*\{")
 _ARROW = re.compile(r"\b(?:const|let|var)\s+(?P<name>[A-Za-z_]\w*)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\((?P<args>[^)]*)\)|[A-Za-z_]\w*)\s*(?::[^=\n]+)?=>")
 _CALL = re.compile(r"(?P<new>\bnew\s+)?(?:(?P<recv>[A-Za-z_$][\w$]*(?:(?:\.|->|::|\?\.)[A-Za-z_$][\w$]*)*)(?:\.|->|::|\?\.))?(?P<name>[A-Za-z_$][\w$]*)\s*\(")
+_ACCESS = re.compile(r"(?<![\w$.])(?P<recv>this|self|\$this)(?:\.|->)(?P<name>[A-Za-z_$][\w$]*)(?!\s*\()(?![\w$])")
+_FIELD = re.compile(r"^[ \t]*(?:(?:public|private|protected|internal|static|final|readonly|declare|override)\s+)*(?P<name>[A-Za-z_$][\w$]*)[?!]?\s*:\s*(?P<type>[\w<>\[\]|., ]+?)\s*(?:=[^;\n]*)?;[ \t]*$", re.M)
 _KEYWORDS = set("if for while switch catch return function func fn fun def class else do try throw new await yield sizeof typeof match when using lock foreach elseif unless until case super this constructor".split())
 _IMPORTS = [
     ("named", re.compile(r"""^\s*import\s+(?:type\s+)?(?P<names>[^'"\n;]*?)\s*from\s*['"](?P<target>[^'"]+)['"]""", re.M)),
@@ -175,6 +188,7 @@ def _generic(path: str, text: str, lang: str, shift: int = 0) -> list[dict]:
         _block(blocks, m, "Function", g["name"].split(".")[-1].split("::")[-1], close, code, g.get("args"), g.get("recv") or (g["name"].rpartition("::")[0] or None))
     blocks.sort(key=lambda b: (b[0], -b[1]))
     scopes: list[tuple[int, int, str, str, str]] = []
+    scopes_all: list[tuple[int, int, str, str, str]] = []
     spans: list[tuple[int, int, str]] = []
     for b in blocks:
         start, end, label, name, extra = b[:5]
@@ -198,18 +212,36 @@ def _generic(path: str, text: str, lang: str, shift: int = 0) -> list[dict]:
         if owner:
             out.add("member", id=key, name=name, label=label, parent=owner)
         scopes.append((start, end, label, own, key))
+        scopes_all.append(scopes[-1])
         spans.append((start, end, own))
+    # Blocks nest: a sweep over their ends gives the innermost block of every stretch once, calls and accesses look theirs up.
+    cuts, inner_of, open_blocks = [0], [module], []
+    for at, opens, end, own in sorted([(s, 1, e, o) for s, e, o in spans] + [(e + 1, 0, e, o) for s, e, o in spans], key=lambda x: (x[0], x[1], -x[2])):
+        open_blocks = open_blocks + [own] if opens else [o for o in open_blocks if o != own]
+        cuts.append(at)
+        inner_of.append(open_blocks[-1] if open_blocks else module)
+    innermost = lambda at: inner_of[bisect_right(cuts, at) - 1]
+    for m in _ACCESS.finditer(code):
+        write = re.match(r"\s*(?:[-+*/%&|^]|<<|>>)?=(?![=>])", code[m.end() : m.end() + 8])
+        out.add("access", name=m["name"], scope=innermost(m.start()), receiver=m["recv"], form="write" if write else "read", startLine=line(m.start()))
+    for m in _FIELD.finditer(code):
+        owner = next((x for x in reversed(scopes_all) if x[0] < m.start() <= x[1] and x[2] not in ("Function", "Method", "Constructor")), None)
+        if owner is not None and innermost(m.start("name")) == owner[3] and m["name"] not in _KEYWORDS:
+            key = out.definition("Property", f"{owner[4].rsplit(':', 1)[-1]}.{m['name']}", m["name"], owner[3], line(m.start("name")), line(m.start("name")), type=(m["type"] or "").strip() or None)
+            out.add("member", id=key, name=m["name"], label="Property", parent=owner[4])
+            if m["type"]:
+                out.add("annotation", name=m["name"], scope=owner[3], type=m["type"].strip(), startLine=line(m.start("name")))
     for m in _CALL.finditer(code):
         name = m["name"]
         if name in _KEYWORDS or m.start("name") in seen:
             continue
-        inner = max((s for s in spans if s[0] <= m.start() <= s[1]), key=lambda s: s[0], default=None)
+        scope = innermost(m.start())
         depth, at = 1, m.end()
         while at < len(code) and depth:
             depth += {"(": 1, ")": -1}.get(code[at], 0)
             at += 1
         form = "constructor" if m["new"] else "member" if m["recv"] else "free"
-        out.add("call", name=name, scope=inner[2] if inner else module, form=form, receiver=m["recv"] or "", arity=_arity(text[m.end() : at - 1].strip() or None) if text[m.end() : at - 1].strip() else 0, startLine=line(m.start()))
+        out.add("call", name=name, scope=scope, form=form, receiver=m["recv"] or "", arity=_arity(text[m.end() : at - 1].strip() or None) if text[m.end() : at - 1].strip() else 0, startLine=line(m.start()))
     for form, pattern in _IMPORTS:
         for m in pattern.finditer(text):
             target, g = m["target"], m.groupdict()

@@ -255,13 +255,40 @@ def test_analyze(spark):
         ("File:web/index.ts", "FETCHES", "Route:/api/items/:id"), ("File:docs/README.md", "IMPORTS", "File:app/service.py"), ("Folder:app", "CONTAINS", "File:app/service.py"),
     }
     assert want <= have, want - have
-    g = CodeGraph(n, e).with_inheritance()
+    g = CodeGraph(n, e).with_inheritance().with_communities_and_flows()
+    flows_ = {(r.sourceId, r.type) for r in g.edges.filter("type in ('MEMBER_OF', 'ENTRY_POINT_OF', 'STEP_IN_PROCESS')").collect()}
+    assert ("Function:app/service.py:helper", "MEMBER_OF") in flows_ and {t for _, t in flows_} >= {"MEMBER_OF", "STEP_IN_PROCESS", "ENTRY_POINT_OF"}
+    assert g.nodes.filter("label = 'Process'").count() >= g.query("check").count() > 0
+    assert g.impact("helper")["modules"].count() > 0
     assert g.impact("helper")["by_depth"].count() >= 1 and g.context("helper")["status"] == "found" and g.grep("println").count() == 1
     assert [r["fact"] for r in extract("bad.py", "python", SOURCES["bad.py"])] == ["error"]
     again = analyze(df.repartition(5))
     assert {(r.sourceId, r.type, r.targetId) for r in again[1].collect()} == have
 
 
+def test_accesses_annotations_shapes_and_keys(spark):
+    sources = {
+        "m.py": "class Base:\n    size: int = 0\n\nclass Item(Base):\n    owner: Base = None\n    def grow(self, other: Base):\n        self.size = self.size + 1\n        return self.owner\n",
+        "box.ts": "export class Box {\n  width: number;\n  item: Item2;\n  fill() {\n    this.width = 3;\n    return this.item;\n  }\n}\nexport class Item2 {\n}\n",
+        "pages/api/users.ts": "export default withAuth(handler)\nfunction handler(req, res) { if (!req.ok) { return res.status(404).json({ error: 1 }) }\n res.json({ name: 1, mail: 2 }) }\n",
+        "web/list.ts": "export async function list() { const r = await fetch('/api/users'); const data = await r.json(); await fetch('/api/users'); return data.name + data.phone }\n",
+    }
+    df = spark.createDataFrame(list(sources.items()), "filePath string, content string").withColumn("language", files_.language(F.col("filePath")))
+    n, e = analyze(df)
+    have = {(r.sourceId, r.type, r.targetId, r.step) for r in e.collect()}
+    grow = "Method:m.py:Item.grow"
+    assert {(grow, "ACCESSES", "Property:m.py:Base.size", 1), (grow, "ACCESSES", "Property:m.py:Base.size", 2), (grow, "ACCESSES", "Property:m.py:Item.owner", 1)} <= have
+    assert {("Method:box.ts:Box.fill", "ACCESSES", "Property:box.ts:Box.width", 2), ("Method:box.ts:Box.fill", "ACCESSES", "Property:box.ts:Box.item", 1)} <= have
+    assert (grow, "USES", "Class:m.py:Base", None) in have and ("Class:box.ts:Box", "USES", "Class:box.ts:Item2", None) in have
+    route = n.filter("label = 'Route'").first()
+    assert (route.responseKeys, route.errorKeys, route.middleware) == (["mail", "name"], ["error"], ["withAuth"])
+    reason = e.filter("type = 'FETCHES'").first().reason
+    assert reason == "fetch-url-match|keys:name,phone|fetches:2"
+    g = CodeGraph(n, e)
+    assert [(r.mismatched, r.confidence) for r in g.shape_check().collect()] == [(["phone"], "low")]
+    assert [(r.consumers, r.mismatches, r.risk) for r in g.api_impact().collect()] == [(1, 1, "MEDIUM")]
+
+
 def test_walk(spark, tmp_path):
     for p, t in {**SOURCES, "node_modules/x.js": "x", "skip/me.py": "x = 1", "big.py": "#" * 600_000, "pic.png": "x"}.items():
         at = tmp_path / p
