@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 from pyspark.sql import SparkSession
 
 from ..workspace import committed, discard, release_shuffles, work_root
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "TwoGenerations", "bounded_batches", "committed", "discard", "mix64", "release_shuffles", "work_root"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "TwoGenerations", "bounded_batches", "committed", "discard", "give_back", "mix64", "release_shuffles", "take_over", "work_root"]
 
 #: Rows and bytes of one Arrow batch handed to Python: long texts stay bounded in a worker.
 BATCH_ROWS, BATCH_BYTES = 1024, "16m"
@@ -19,6 +22,28 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+_holder: list = [None, None]
+
+
+def take_over(name: str, forget=None) -> None:
+    """Called where an operator's work in a Python worker begins: what another operator remembers there is let go (by the
+    function it left) and the memory goes back to the system. Workers serve many stages; only one remembers at a time."""
+    if _holder[0] != name:
+        if _holder[1] is not None:
+            _holder[1]()
+        give_back()
+    _holder[:] = [name, forget]
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 class TwoGenerations:
     """A bounded memo: when the young half is full it becomes the old half, whose entries survive only if used again."""
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, take_over
 
 #: Fixed parameters of the profiles. Texts are read in slices, so that a very long one needs no more memory.
 DIM, ORDER, SEED, SLICE = 1024, 3, 20_011, 1 << 18
@@ -104,9 +104,15 @@ class GramVectors:
 _vectors: GramVectors | None = None
 
 
+def _forget() -> None:
+    global _vectors, _letters
+    _vectors = _letters = None
+
+
 def bundle(texts: list[str], group: int = 64):
     """(matrix of text vectors, letters of each text) for a list of texts, a group of texts at a time."""
     global _vectors
+    take_over("languages", _forget)
     _vectors = _vectors or GramVectors()
     out, letters = np.zeros((len(texts), DIM), np.float32), np.zeros(len(texts), np.int64)
     for first in range(0, len(texts), group):

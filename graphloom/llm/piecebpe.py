@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import TwoGenerations, bounded_batches
+from .common import TwoGenerations, bounded_batches, take_over
 
 #: Words that a Python worker remembers; characters that are merged at once (a segment is never divided).
 MEMO, AT_ONCE = 120_000, 1 << 20
@@ -271,6 +271,7 @@ _memos: dict[str, TwoGenerations] = {}
 
 def _held(path: str, words) -> dict:
     """Remembered (number of ids, decimal ids, raw bytes) by word, after merging those that are new, all at once."""
+    take_over("pieces", _memos.clear)
     memo = _memos.setdefault(path, TwoGenerations(MEMO))
     memo.rotate()
     new = memo.missing(dict.fromkeys(words))

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, committed, discard, mix64, release_shuffles
+from .common import bounded_batches, committed, discard, mix64, release_shuffles, take_over
 from .components import components
 
 #: Words of a shingle and seed of its hash, differing bits that still link, fingerprints of an index node, nodes of an upper node.
@@ -30,9 +30,11 @@ THIRDS, MOST_GROUP = ((0, 21), (21, 42), (42, 64)), 1 << 17
 U1 = np.uint64(1)
 #: Of near_copies: words of a shingle, the least Jaccard similarity that links, 64-bit words of a fingerprint, the members from
 #: which a group is searched in tiles, and the leaders that all members of such a group are compared with first.
-COPY_SHINGLE, COPY_SIMILARITY, WIDE, COPY_GROUP, LEADERS = 5, 0.8, 4, 4096, 4
-#: Bands whose groups propose links first.
-FIRST_BANDS = 3
+COPY_SHINGLE, COPY_SIMILARITY, WIDE, COPY_GROUP, LEADERS = 5, 0.8, 4, 4096, 2
+#: Bands whose groups propose links first; parts of the hash space that shingles are counted in.
+FIRST_BANDS, PARTS = 3, 256
+#: Ids that are broadcast to find their texts; more are joined by shuffle.
+MOST_ENDS = 2_000_000
 #: The share of pairs at the bound that groups may miss, and the fingerprints that a group has on average (2 to this).
 MISSED, GROUP_BITS = 0.01, 8
 
@@ -402,13 +404,40 @@ def _searched(tiles: DataFrame, radius: int, everything: bool, members: bool = F
     return tiles.select("key", "rep", *(["part", "near"] if parts else []), *WORDS).repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long, " + ", ".join(f"{w} long" for w in WORDS))
 
 
+def part_counts(found: set[bytes]) -> bytes:
+    """How many shingles fall into each of PARTS parts of the hash space. Two sets share at most the lesser count of each part."""
+    hashes = np.fromiter((xxhash.xxh64_intdigest(x, XX_SEED) for x in found), np.uint64, len(found))
+    return np.bincount((hashes >> np.uint64(32)).astype(np.int64) % PARTS, minlength=PARTS).astype("<u4").tobytes()
+
+
+def may_reach(x: bytes, y: bytes, similarity: float) -> bool:
+    """Whether sets with these counts can have the similarity; where they do, this is always true."""
+    a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+    both = int(np.minimum(a, b).sum())
+    return both >= similarity * (int(a.sum()) + int(b.sum()) - both)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose texts have the similarity."""
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = committed(docs.join(ends, "doc_id", "left_semi"), "copy-texts")
+    """The pairs whose texts have the similarity. Counts of parts, which are short, rule most others out; the texts
+    of what is left decide."""
+    ends = committed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "copy-ends")
+    ends = F.broadcast(ends) if ends.count() <= MOST_ENDS else ends  # ids only, counted
+
+    def describe(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part_counts(shingles(t.as_py(), shingle)) for t in batch.column(1)], pa.binary())], ["doc_id", "text", "parts"])
+
+    texts = committed(docs.join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(describe, "doc_id long, text string, parts binary"), "copy-texts")
+    named = lambda c, end: texts.select(F.col("doc_id").alias(end), F.col(c).alias(f"{c}_{end}"))
+
+    def sift(batches):
+        for batch in batches:
+            keep = [may_reach(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verify(batches):
-        held: dict[int, set[bytes]] = {}  # one end of many pairs is taken apart once
+        held: dict[tuple, set[bytes]] = {}  # one end of many pairs is taken apart once
         for batch in batches:
             keep = []
             for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
@@ -421,8 +450,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    named = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    made = committed(pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "copy-links")
+    left = pairs.join(named("parts", "b"), "b").join(named("parts", "a"), "a").select("a", "b", "parts_a", "parts_b").mapInArrow(sift, "a long, b long").distinct()
+    left = committed(left, "copy-sifted")
+    made = committed(left.join(named("text", "b"), "b").join(named("text", "a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "copy-links")
     discard(texts)
     return made
 
@@ -444,6 +474,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     types = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), *[(w, pa.int64()) for w in WORDS]])
 
     def run(batches):
+        take_over("copies")
         for batch in batches:
             if batch.num_rows:
                 texts = batch.column(1).to_pylist()

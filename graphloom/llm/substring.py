@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bounded_batches, committed, mix64, release_shuffles
+from .common import bounded_batches, committed, mix64, release_shuffles, take_over
 
 #: Words of a window that counts as a repeated passage.
 WINDOW = 50
@@ -80,6 +80,7 @@ def _described(df: DataFrame, window: int) -> DataFrame:
     length = cover_for(window)[2]
 
     def run(batches):
+        take_over("passages")
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -10,6 +10,8 @@ import re
 import unicodedata
 from array import array
 
+from .common import take_over
+
 #: Chunks that a Python worker remembers, in two generations of this size.
 MEMO = 500_000
 #: Single marks that end a chunk and are a token of their own after a letter.
@@ -91,6 +93,7 @@ _encoders: dict[str, ChunkEncoder] = {}
 
 def encoder(path: str) -> ChunkEncoder:
     """One encoder for each vocabulary file and Python worker."""
+    take_over("tokens", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
     return _encoders[path]

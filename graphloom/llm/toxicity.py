@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import TwoGenerations, bounded_batches, mix64
+from .common import TwoGenerations, bounded_batches, give_back, mix64, take_over
 from .langid import in_training
 
 #: Buckets and width of the embedding table, lengths of n-grams in bytes.
@@ -217,6 +217,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     types = pa.schema([("odds", pa.binary()), ("constant", pa.float64())])
 
     def run(batches):
+        take_over("toxicity-training")
         sample, last = Sample(), None
         for batch in batches:
             for key, text, label in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
@@ -225,6 +226,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                     sample.add(text.as_py(), min(max(label, 0), 1))
                 last = now
         model = fit(sample)
+        del sample
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([model.bucket_odds.tobytes()], pa.binary()), pa.array([model.constant])], schema=types)
 
     row = found.select("doc_id", "text", "label").repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(run, "odds binary, constant double").first()
@@ -238,6 +241,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     key, types = _identity(model), pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches):
+        take_over("toxicity", _memo.clear)
         for batch in batches:
             if batch.num_rows:
                 s = np.fromiter(_scores(model, key, batch.column(1).to_pylist()), np.float64, batch.num_rows)
@@ -252,6 +256,7 @@ def keep_clean(docs: DataFrame, model: Model, reject_at: float = 0.5) -> DataFra
     key, at = _identity(model), docs.columns.index("text")
 
     def run(batches):
+        take_over("toxicity", _memo.clear)
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array([s < reject_at for s in _scores(model, key, batch.column(at).to_pylist())]))

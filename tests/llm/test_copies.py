@@ -148,6 +148,17 @@ def test_near_copies_in_large_groups(spark, most_group):
     assert [found[i] for i in range(len(texts))] == root
 
 
+def test_part_counts_never_rule_out_a_link():
+    texts = edited_texts(30) + chained_texts()[:40]
+    found = [simhash.shingles(t) for t in texts]
+    counts = [simhash.part_counts(x) for x in found]
+    near = jaccard_pairs(texts)
+    passed = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if simhash.may_reach(counts[i], counts[j], 0.8)}
+    assert near <= passed and simhash.may_reach(simhash.part_counts(set()), simhash.part_counts(set()), 0.8)
+    unlike = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(found[i] & found[j]) < 0.6 * len(found[i] | found[j])]
+    assert sum(p in passed for p in unlike) < 0.05 * len(unlike)
+
+
 def test_spanning_forest_is_least():
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 40, (2, 300))
