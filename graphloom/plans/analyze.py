@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expr import base_type_name
-from ..operators import clusters, flows, frameworks, resolution as R, routes, structure
+from ..operators import clusters, flows, frameworks, imports as I, resolution as R, routes, structure
 from ..operators.store import merged_edges
 from ..sources.extract import facts as extract_facts
 from ..workspace import committed
@@ -57,16 +57,20 @@ def resolved_calls(facts: DataFrame, defs: DataFrame, imports: DataFrame) -> Dat
 
 
 def resolved_imports(facts: DataFrame, files: DataFrame, defs: DataFrame) -> DataFrame:
-    """(filePath, scope, name, form, target, def): imports with the file they name, and the definition where there is just one."""
+    """(filePath, scope, name, form, target, def): imports with the files they name by the rules of their language, and the
+    definition where there is just one: of the imported name, else of the local one. Wildcards bring what the files define."""
     raw = facts.filter("fact = 'import'").select(F.concat_ws("#", "filePath", "seq").alias("import"), "filePath", "scope", "name", "form", "parent", "target")
-    relative = F.col("target").startswith(".")
-    joined = raw.withColumn("target", F.when(relative, structure._resolved(F.col("filePath"), F.regexp_replace("target", r"\.(js|ts|jsx|tsx)$", ""))).otherwise(F.col("target")))
-    joined = committed(joined, "imports")
-    hit = R.import_targets(joined.select("import", "target"), files.select("filePath"))
-    at = joined.drop("target").join(hit.select("import", F.col("filePath").alias("target")), "import")
-    d = defs.select(F.col("filePath").alias("target"), F.col("name").alias("parent"), F.col("id").alias("def"))
-    one = at.join(d, ["target", "parent"]).groupBy("import").agg(F.min("def").alias("def"), F.countDistinct("def").alias("n")).filter("n = 1").select("import", "def")
-    return committed(at.join(one, "import", "left").filter("filePath <> target"), "resolved-imports")
+    raw = committed(raw.join(files.select("filePath", "language"), "filePath"), "imports")
+    asked = raw.select("import", "language", F.col("filePath").alias("source"), "target", (F.col("form") == "wildcard").alias("wildcard"))
+    hit = committed(I.targets(asked, files.select("filePath", "language")), "import-files")
+    at = raw.drop("target", "language").join(hit.select("import", F.col("filePath").alias("target")), "import").filter("filePath <> target")
+    d = defs.select(F.col("filePath").alias("target"), F.col("name").alias("wanted"), F.col("id").alias("def"))
+    wanted = at.select("import", "target", F.posexplode(F.array("parent", "name")).alias("rank", "wanted")).filter("wanted is not null and wanted <> '*'")
+    ranked = wanted.join(d, ["target", "wanted"]).groupBy("import", "rank").agg(F.min("def").alias("def"), F.countDistinct("def").alias("n"))
+    one = ranked.groupBy("import").agg(F.min_by(F.struct("def", "n"), "rank").alias("b")).filter("b.n = 1").select("import", "b.def")
+    bound = at.join(one, "import", "left").select("filePath", "scope", "name", "form", "target", "def")
+    stars = I.wildcards(at.filter("form = 'wildcard'"), defs).select("filePath", "scope", "name", F.lit("wildcard").alias("form"), "target", "def")
+    return committed(bound.union(stars), "resolved-imports")
 
 
 # Names of types that no definition stands for.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.codegraph import CodeGraph
 from graphloom.functions.expr import contract_key, normal_url
-from graphloom.operators import clusters, contracts, embedding, flows, frameworks, impact, resolution, routes, search, sourcescan, store, structure, text
+from graphloom.operators import clusters, contracts, embedding, flows, frameworks, impact, imports, resolution, routes, search, sourcescan, store, structure, text
 from graphloom.plans import cypher
 from graphloom.plans.analyze import analyze
 from graphloom.sources import cobol, files as files_
@@ -266,6 +266,37 @@ def test_analyze(spark):
     assert {(r.sourceId, r.type, r.targetId) for r in again[1].collect()} == have
 
 
+def test_import_rules_by_language(spark):
+    paths = ["lib/src/api.dart", "lib/a.dart", "app/main.dart", "core/com/acme/User.java", "core/com/acme/Team.java", "App/Models/Order.cs", "App/Models/Item.cs", "src/Shop/Cart.php", "Sources/Net/Http.swift", "lib/tool.rb", "pkg/util/__init__.py", "pkg/mod.py", "pkg/sub/leaf.py", "src/geo/shape.rs", "src/geo/mod.rs", "inc/vec.h", "svc/internal/db/open.go", "svc/internal/db/open_test.go", "svc/internal/db/close.go", "web/view/index.tsx", "web/util.ts"]
+    known = spark.createDataFrame([(p,) for p in paths], "filePath string").withColumn("language", files_.language(F.col("filePath")))
+    cases = [
+        ("dart", "app/main.dart", "package:x/src/api.dart", False, ["lib/src/api.dart"]), ("dart", "app/main.dart", "dart:io", False, []), ("dart", "app/main.dart", "../lib/a.dart", False, ["lib/a.dart"]),
+        ("java", "x/M.java", "com/acme/User", False, ["core/com/acme/User.java"]), ("java", "x/M.java", "com/acme", True, ["core/com/acme/Team.java", "core/com/acme/User.java"]), ("java", "x/M.java", "com/acme/User/name", False, ["core/com/acme/User.java"]),
+        ("csharp", "x.cs", "App/Models", False, ["App/Models/Item.cs", "App/Models/Order.cs"]), ("php", "x.php", "Acme/Shop/Cart", False, ["src/Shop/Cart.php"]), ("swift", "x.swift", "Net", False, ["Sources/Net/Http.swift"]),
+        ("ruby", "x.rb", "tool", False, ["lib/tool.rb"]), ("python", "pkg/sub/leaf.py", "../mod", False, ["pkg/mod.py"]), ("python", "pkg/sub/leaf.py", "util", False, ["pkg/util/__init__.py"]), ("python", "z.py", "pkg/sub/leaf", False, ["pkg/sub/leaf.py"]),
+        ("rust", "src/main.rs", "crate/geo/shape", False, ["src/geo/shape.rs"]), ("rust", "src/main.rs", "crate/geo/Area", False, ["src/geo/mod.rs"]), ("rust", "src/geo/shape.rs", "super/geo", False, ["src/geo/mod.rs"]),
+        ("cpp", "x.cpp", "vec.h", False, ["inc/vec.h"]), ("go", "m.go", "acme.io/svc/internal/db", False, ["svc/internal/db/close.go", "svc/internal/db/open.go"]), ("go", "m.go", "fmt", False, []),
+        ("typescript", "web/a.ts", "./view", False, ["web/view/index.tsx"]), ("typescript", "web/view/index.tsx", "../util.js", False, ["web/util.ts"]), ("typescript", "q.ts", "'\x01'", False, []),
+    ]
+    df = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "import int, language string, source string, target string, wildcard boolean")
+    got = {}
+    for r in imports.targets(df, known).collect():
+        got.setdefault(r["import"], []).append(r.filePath)
+    assert {i: sorted(got.get(i, [])) for i in range(len(cases))} == {i: c[4] for i, c in enumerate(cases)}
+
+
+def test_wildcards_call_types_and_names(spark):
+    defs = spark.createDataFrame([("d1", "Function", "a", "t.py", "Item"), ("d2", "Class", "B", "t.py", None), ("d3", "Method", "m", "t.py", None)], "id string, label string, name string, filePath string, returnType string")
+    star = spark.createDataFrame([("s.py", "scope", "t.py")], "filePath string, scope string, target string")
+    assert sorted(r["name"] for r in imports.wildcards(star, defs).collect()) == ["B", "a"] and imports.wildcards(star, defs, 1).count() == 1
+    v = spark.createDataFrame([("x", "s.py", 1, 1), ("y", "s.py", 2, 3), ("z", "s.py", 4, 4)], "def string, filePath string, startLine int, endLine int")
+    calls = spark.createDataFrame([("c1", "s.py", 1, "free"), ("c2", "s.py", 2, "free"), ("c3", "s.py", 3, "free"), ("c4", "s.py", 4, "constructor")], "ref string, filePath string, line int, form string")
+    resolved = spark.createDataFrame([("c1", "d1"), ("c2", "d1"), ("c4", "d2")], "ref string, def string")
+    assert {(r["def"], r.type) for r in imports.call_types(v, calls, resolved, defs).collect()} == {("x", "Item"), ("z", "B")}
+    names = imports.lookup_names(spark.createDataFrame([("i", " run ", "A.run"), ("j", "k", None)], "id string, name string, qualifiedName string"))
+    assert {(r.id, r["name"]) for r in names.collect()} == {("i", "run"), ("i", "A.run"), ("j", "k")}
+
+
 def test_accesses_annotations_shapes_and_keys(spark):
     sources = {
         "m.py": "class Base:\n    size: int = 0\n\nclass Item(Base):\n    owner: Base = None\n    def grow(self, other: Base):\n        self.size = self.size + 1\n        return self.owner\n",
