@@ -198,4 +198,5 @@ def inheritance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     methods = edges.filter("type = 'HAS_METHOD'").select(F.col("sourceId").alias("owner"), F.col("targetId").alias("method")).join(nodes.select(F.col("id").alias("method"), "name", F.col("parameterCount").alias("count")), "method").withColumn("types", F.array().cast("array<string>"))
     o = R.overrides(above, methods).select(F.col("class").alias("sourceId"), F.col("method").alias("targetId"), F.lit("METHOD_OVERRIDES").alias("type"), "confidence")
     i = R.implementations(above, methods, nodes.select("id", "label")).select(F.col("method").alias("sourceId"), F.col("target").alias("targetId"), F.lit("METHOD_IMPLEMENTS").alias("type"), "confidence")
-    return o.union(i)
+    more = R.inherited_implementations(above, methods, nodes.select("id", "label")).select(F.col("method").alias("sourceId"), F.col("target").alias("targetId"), F.lit("METHOD_IMPLEMENTS").alias("type"), "confidence")
+    return o.union(i).union(more.join(i, ["sourceId", "targetId"], "left_anti").select(*o.columns))

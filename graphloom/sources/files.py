@@ -15,26 +15,49 @@ LARGE_BYTES = 512 * 1024
 
 # Languages by extension, and names of Ruby files without one.
 LANGUAGES = {
-    "javascript": ".js .jsx .mjs .cjs", "typescript": ".ts .tsx .mts .cts", "python": ".py", "java": ".java", "c": ".c",
-    "cpp": ".cpp .cc .cxx .h .hpp .hxx .hh", "csharp": ".cs", "go": ".go", "ruby": ".rb .rake .gemspec", "rust": ".rs",
-    "php": ".php .phtml .php3 .php4 .php5 .php8", "kotlin": ".kt .kts", "swift": ".swift", "dart": ".dart", "vue": ".vue",
-    "svelte": ".svelte", "astro": ".astro", "cobol": ".cbl .cob .cpy .cobol .copybook .jcl .job .proc", "markdown": ".md .mdx",
-    "pdf": ".pdf", "word": ".doc .docx .odt .rtf", "spreadsheet": ".xls .xlsx .xlsm .xlsb .xlt .xltx .xltm .xlam .ods .csv .tsv",
-}
+    "javascript": (".js", ".jsx", ".mjs", ".cjs"),
+    "typescript": (".ts", ".tsx", ".mts", ".cts"),
+    "python": (".py",),
+    "java": (".java",),
+    "c": (".c",),
+    "cpp": (".cpp", ".cc", ".cxx", ".h", ".hpp", ".hxx", ".hh"),
+    "csharp": (".cs",),
+    "go": (".go",),
+    "ruby": (".rb", ".rake", ".gemspec"),
+    "rust": (".rs",),
+    "php": (".php", ".phtml", ".php3", ".php4", ".php5", ".php8"),
+    "kotlin": (".kt", ".kts"),
+    "swift": (".swift",),
+    "dart": (".dart",),
+    "vue": (".vue",),
+    "svelte": (".svelte",),
+    "astro": (".astro",),
+    "cobol": (".cbl", ".cob", ".cpy", ".cobol", ".copybook", ".jcl", ".job", ".proc"),
+    "markdown": (".md", ".mdx"),
+    "pdf": (".pdf",),
+    "word": (".doc", ".docx", ".odt", ".rtf"),
+    "spreadsheet": (".xls", ".xlsx", ".xlsm", ".xlsb", ".xlt", ".xltx", ".xltm", ".xlam", ".ods", ".csv", ".tsv"),
+}
 RUBY_NAMES = ("Rakefile", "Gemfile", "Guardfile", "Vagrantfile", "Brewfile")
 # Folders and endings that are never read.
 IGNORED_DIRS = (
-    ".git .svn .hg .bzr .idea .vscode .vs .eclipse .settings node_modules bower_components jspm_packages vendor venv .venv env .env "
-    "__pycache__ .pytest_cache .mypy_cache site-packages .tox eggs .eggs lib64 parts sdist wheels dist build out output bin obj target "
-    ".next .nuxt .output .vercel .netlify .serverless _build public/build .parcel-cache .turbo .svelte-kit coverage .nyc_output htmlcov "
-    ".coverage __mocks__ .jest logs log tmp temp cache .cache .tmp .temp .generated generated auto-generated .terraform .husky .github "
-    ".circleci .gitlab fixtures snapshots __snapshots__"
-).split()
+    ".git", ".svn", ".hg", ".bzr", ".idea", ".vscode", ".vs", ".eclipse", ".settings", "node_modules",
+    "bower_components", "jspm_packages", "vendor", "venv", ".venv", "env", ".env", "__pycache__", ".pytest_cache",
+    ".mypy_cache", "site-packages", ".tox", "eggs", ".eggs", "lib64", "parts", "sdist", "wheels", "dist", "build",
+    "out", "output", "bin", "obj", "target", ".next", ".nuxt", ".output", ".vercel", ".netlify", ".serverless",
+    "_build", "public/build", ".parcel-cache", ".turbo", ".svelte-kit", "coverage", ".nyc_output", "htmlcov",
+    ".coverage", "__mocks__", ".jest", "logs", "log", "tmp", "temp", "cache", ".cache", ".tmp", ".temp",
+    ".generated", "generated", "auto-generated", ".terraform", ".husky", ".github", ".circleci", ".gitlab",
+    "fixtures", "snapshots", "__snapshots__",
+)
 IGNORED_ENDINGS = (
-    ".png .jpg .jpeg .gif .svg .ico .webp .bmp .tiff .tif .psd .ai .sketch .fig .xd .zip .tar .gz .rar .7z .bz2 .xz .tgz .exe .dll .so "
-    ".dylib .a .lib .o .obj .class .jar .war .ear .pyc .pyo .pyd .beam .wasm .node .ppt .pptx .odp .mp4 .mp3 .wav .mov .avi .mkv .flv "
-    ".wmv .ogg .webm .flac .aac .m4a .woff .woff2 .ttf .eot .otf .db .sqlite .sqlite3 .mdb .accdb .min.js"
-).split()
+    ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".webp", ".bmp", ".tiff", ".tif", ".psd", ".ai", ".sketch",
+    ".fig", ".xd", ".zip", ".tar", ".gz", ".rar", ".7z", ".bz2", ".xz", ".tgz", ".exe", ".dll", ".so", ".dylib",
+    ".a", ".lib", ".o", ".obj", ".class", ".jar", ".war", ".ear", ".pyc", ".pyo", ".pyd", ".beam", ".wasm", ".node",
+    ".ppt", ".pptx", ".odp", ".mp4", ".mp3", ".wav", ".mov", ".avi", ".mkv", ".flv", ".wmv", ".ogg", ".webm",
+    ".flac", ".aac", ".m4a", ".woff", ".woff2", ".ttf", ".eot", ".otf", ".db", ".sqlite", ".sqlite3", ".mdb",
+    ".accdb", ".min.js",
+)
 
 
 def extension(path: Column) -> Column:
@@ -43,7 +66,7 @@ def extension(path: Column) -> Column:
 
 def language(path: Column) -> Column:
     """The language of a path, or null."""
-    pairs = [(e, name) for name, all_ in LANGUAGES.items() for e in all_.split()]
+    pairs = [(e, name) for name, all_ in LANGUAGES.items() for e in all_]
     table = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
     return F.coalesce(table[extension(path)], F.when(F.substring_index(path, "/", -1).isin(*RUBY_NAMES), "ruby"))
 
@@ -81,7 +104,7 @@ class IgnoreRules:
     def ignored(self, path: str) -> bool:
         path = _normal(path)
         parts = path.split("/")
-        if any(x in IGNORED_DIRS for x in parts[:-1]) or any(f"/{d}/" in f"/{path}/" for d in IGNORED_DIRS if "/" in d) or path.lower().endswith(tuple(IGNORED_ENDINGS)):
+        if any(x in IGNORED_DIRS for x in parts[:-1]) or any(f"/{d}/" in f"/{path}/" for d in IGNORED_DIRS if "/" in d) or path.lower().endswith(IGNORED_ENDINGS):
             return True
         out = False
         for pattern, back in self.rules:

@@ -3,7 +3,7 @@
 import pytest
 from compare import duck, of_spark, of_sql
 
-from graphloom.plans import catalogue
+from graphloom.plans import catalogue, units  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -88,6 +88,16 @@ def test_mro(spark):
     assert sorted((r["class"], r.ancestor) for r in loop.collect()) == [("A", "B"), ("B", "A")]
 
 
+def test_inherited_implementations(spark):
+    parents = [("K", "A", "EXTENDS"), ("A", "B", "EXTENDS"), ("K", "I", "IMPLEMENTS"), ("L", "I", "IMPLEMENTS"), ("L", "J", "IMPLEMENTS"), ("M", "I", "IMPLEMENTS")]
+    above = resolution.ancestors(spark.createDataFrame(parents, "child string, parent string, type string"))
+    owned = [("I", "run", "I.run", 0), ("A", "run", "A.run", 0), ("B", "run", "B.run", 0), ("J", "run", "J.run", 0), ("M", "run", "M.run", 0), ("I", "go", "I.go", 1), ("B", "go", "B.go", 2)]
+    m = spark.createDataFrame([(*x, []) for x in owned], "owner string, name string, method string, count int, types array<string>")
+    kinds = spark.createDataFrame([(c, "Interface" if c in "IJ" else "Class") for c in "KLMABIJ"], "id string, label string")
+    found = {(r.method, r.target, r.confidence) for r in resolution.inherited_implementations(above, m, kinds).collect()}
+    assert found == {("A.run", "I.run", 1.0), ("J.run", "I.run", 1.0), ("I.run", "J.run", 1.0)}
+
+
 def test_communities(spark):
     cliques = [(f"{g}.{a}", f"{g}.{b}") for g in ("api", "db") for a, b in (("x", "y"), ("y", "z"), ("x", "z"))] + [("api.x", "db.x")]
     links = spark.createDataFrame(cliques, "a string, b string")
