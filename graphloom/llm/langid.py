@@ -216,16 +216,22 @@ def identify(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, lead double, letters long")
 
 
-def keep_identified(docs: DataFrame, profiles: Profiles, least: float = 0.18, letters: int = 200) -> DataFrame:
+def least_cosine(letters: int, least: float = 0.18, half: int = 100) -> float:
+    """The cosine that a text of so many letters must have with some language: it rises with the evidence from nearly
+    nothing, over half of `least` at `half` letters, towards `least`. One rule for texts of all lengths."""
+    return least * letters / (letters + half)
+
+
+def keep_identified(docs: DataFrame, profiles: Profiles, least: float = 0.18, half: int = 100) -> DataFrame:
     """The rows of docs, all columns unchanged, whose text has letters and resembles some language: a cosine of at
-    least `least`, which is asked only of texts with so many letters that their profile is steady."""
+    least least_cosine. Null texts, texts without letters and, where no language was learned, all texts go."""
     bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                keep = [lang != UNKNOWN and (score >= least or n < letters) for lang, score, _, n in profiles.compare([t or "" for t in batch.column(at).to_pylist()])]
+                keep = [lang != UNKNOWN and score >= least_cosine(n, least, half) for lang, score, _, n in profiles.compare([t or "" for t in batch.column(at).to_pylist()])]
                 yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

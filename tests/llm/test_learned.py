@@ -47,7 +47,44 @@ def test_language_odd_rows(spark):
     assert all(r.lang_pred != "und" for r in found if r.doc_id == 4)
     nothing = langid.learn(df.filter("false"))
     assert {r.lang_pred for r in langid.identify(df, nothing).collect()} == {"und"}
-    assert langid.keep_identified(df, langid.learn(df)).count() == 4
+    kept = langid.keep_identified(df, langid.learn(df))
+    assert sorted((r.doc_id or 0, r.text[:4]) for r in kept.collect()) == [(4, "the "), (4, "the ")]  # what was learned is like no other row
+    assert langid.identify(df.filter("false"), nothing).count() == 0 and langid.keep_identified(df, nothing).count() == 0
+
+
+def test_language_query_equals_plain_vectors(spark):
+    """lang_pred and score by dictionaries of n-grams over the same letters' vectors; ties go to the first language."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 250")
+    texts = {r.doc_id: (r.text, r.lang) for r in docs.collect()}
+    v = langid.GramVectors()
+
+    def vector(text):
+        letters = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        codes = [0, *[0 if c == " " else ord(c) for c in " ".join(letters)], 0]
+        out, seen = np.zeros(langid.DIM), {}
+        for i in range(len(codes) - 2):
+            key = tuple(codes[i : i + 3])
+            seen[key] = seen.get(key, 0) + 1
+        for (a, b, c), n in seen.items() if letters else ():
+            out += float(n) * np.roll(v.of_letter(a), 2) * np.roll(v.of_letter(b), 1) * v.of_letter(c)
+        return out / max(np.linalg.norm(out), 1e-30)
+
+    import zlib
+
+    vectors = {k: vector(t) for k, (t, _) in texts.items()}
+    sums = {}
+    for k, (t, lang) in texts.items():
+        if lang and t is not None and zlib.crc32(str(k).encode()) % 5:
+            sums[lang] = sums.get(lang, 0) + vectors[k]
+    langs = sorted(sums)
+    found = {r.doc_id: r for r in langid.identify(docs.select("doc_id", "text"), langid.learn(docs)).collect()}
+    for k in texts:
+        cos = [float(vectors[k] @ sums[x] / np.linalg.norm(sums[x])) for x in langs]
+        has = any(c.isalpha() for c in texts[k][0] or "")
+        assert found[k].lang_pred == (langs[int(np.argmax(cos))] if has else "und") or max(cos) - sorted(cos)[-2] < 1e-4
+        assert abs(found[k].score - (max(max(cos), 0) if has else 0)) < 1e-4
+    tie = langid.Profiles(["aa", "bb"], np.stack([sums[langs[0]] / np.linalg.norm(sums[langs[0]])] * 2).astype(np.float32))
+    assert {r[0] for r in tie.compare(["the and of", "x"])} == {"aa"}
 
 
 def test_language_learns_rare_languages(spark):
@@ -78,6 +115,23 @@ def test_toxicity_odd_rows(spark):
     assert kept.columns == df.columns and kept.filter("doc_id = 8").count() == 0 and kept.count() == len(ODD)
 
 
+def test_toxicity_scores_equal_a_plain_sum(spark):
+    """Scores are the logistic of the mean over words of the mean over subwords, computed one by one; ties and repeats score alike."""
+    model = toxicity.train(["idiot the of", "the of and"] * 20, [1, 0] * 20)
+    texts = ["", None, "idiot", "the idiot of idiots", "and and and", "The IDIOT!"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(2, "idiot")], "doc_id long, text string")
+    found = [(r.doc_id, r.score, r.predicted) for r in toxicity.score(df, model).collect()]
+    for i, t in enumerate(texts):
+        words, odds = (t or "").lower().split(), []
+        for w in words:
+            whose, bucket = toxicity.subwords([w])
+            odds.append(float(np.mean([model.bucket_odds[b] for b in bucket])))
+        want = 1 / (1 + np.exp(-(sum(odds) / max(len(words), 1) + model.constant)))
+        for _, score, predicted in [f for f in found if f[0] == i]:
+            assert abs(score - want) < 1e-6 and predicted == (score >= 0.5)
+    assert len(found) == 7 and toxicity.score(df.filter("false"), model).count() == 0
+
+
 def plain_losses(background, target, texts):
     """Bigram models by dictionaries: every word and every pair counts."""
 
