@@ -60,14 +60,18 @@ def _dynamic(segment: Column) -> Column:
 
 def matched_routes(urls: DataFrame, routes: DataFrame) -> DataFrame:
     """(url, route): the equal route, else the first dynamic one that fits. Dynamic routes join on the number of
-    segments (catch-alls on their fixed beginning), not on all pairs."""
+    segments and their first fixed segment at its place (those without one on the number alone, catch-alls on their fixed beginning)."""
     exact = urls.join(routes.select(F.col("url").alias("route")), F.col("url") == F.col("route")).select("url", "route")
     rest = urls.join(exact, "url", "left_anti").withColumn("parts", F.split(F.expr("substring(url, 2)"), "/"))
     dynamic = routes.select(F.col("url").alias("route"), F.split(F.expr("substring(url, 2)"), "/").alias("pattern"))
     star = F.element_at("pattern", -1).startswith("*")
     plain = dynamic.filter(~star & F.exists("pattern", _dynamic)).withColumn("n", F.size("pattern"))
     fits = F.forall(F.zip_with("parts", "pattern", lambda a, b: (a == b) | _dynamic(b) | (_dynamic(a) & _dynamic(b))), lambda x: x)
-    one = rest.withColumn("n", F.size("parts")).join(plain, "n").filter(fits).select("url", "route")
+    at = F.array_position(F.transform("pattern", lambda x: ~_dynamic(x)), True).cast("int")
+    plain = plain.withColumn("at", at).withColumn("fixed", F.when(F.col("at") > 0, F.try_element_at("pattern", F.col("at"))))
+    sized = rest.withColumn("n", F.size("parts"))
+    placed = sized.select("url", "parts", "n", F.posexplode("parts").alias("i", "fixed")).withColumn("at", F.col("i") + 1).drop("i")
+    one = placed.join(plain.filter("at > 0"), ["n", "at", "fixed"]).filter(fits).select("url", "route").union(sized.join(plain.filter("at = 0").drop("at", "fixed"), "n").filter(fits).select("url", "route"))
     heads = dynamic.filter(star).select("route", F.array_join(F.slice("pattern", F.lit(1), F.size("pattern") - 1), "/").alias("head"))
     begun = rest.withColumn("head", F.explode(F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.array_join(F.slice("parts", F.lit(1), i), "/"))))
     many = begun.join(heads, "head").select("url", "route")

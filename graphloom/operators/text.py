@@ -85,13 +85,15 @@ def char_chunks(docs: DataFrame, size: int = 1200, overlap: int = 120, id_col: s
     if not 0 <= overlap < size:
         raise ValueError("the overlap is smaller than the size")
     step, n = size - overlap, F.length(text_col)
-    count = F.when(n == 0, 0).otherwise(F.greatest(F.ceil((n - overlap) / step), F.lit(1))).cast("int")
-    spread = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), count.alias("c")).filter("c > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    start = F.col("chunk") * step
-    text = F.substring(F.col("t"), start + 1, F.lit(size))
+    count = F.greatest(F.ceil((n - overlap) / step), F.lit(1)).cast("int")
     newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    first = 1 + newlines(F.substring(F.col("t"), F.lit(1), start))
-    return spread.select("id", "chunk", start.alias("start"), text.alias("text"), first.cast("long").alias("startLine"), (first + newlines(text)).cast("long").alias("endLine"))
+    # The text is cut into steps once; a chunk is a step and the beginning of what follows, and lines are counted on by steps.
+    cut = docs.filter(n > 0).select(F.col(id_col).alias("id"), count.alias("c"), F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("steps"))
+    cut = cut.withColumn("before", F.aggregate(F.transform("steps", newlines), F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x))))
+    after = lambda i: F.substring(F.array_join(F.slice("steps", i + 2, F.lit(-(-overlap // step))), ""), 1, overlap)
+    made = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda i: F.struct(i.alias("chunk"), F.concat(F.element_at("steps", i + 1), after(i) if overlap else F.lit("")).alias("text"), (F.element_at("before", i + 1) + 1).alias("first")))
+    spread = cut.select("id", F.explode(made).alias("m")).select("id", "m.*")
+    return spread.select("id", "chunk", (F.col("chunk") * step).alias("start"), "text", F.col("first").cast("long").alias("startLine"), (F.col("first") + newlines(F.col("text"))).cast("long").alias("endLine"))
 
 
 def embedding_status(now: DataFrame, stored: DataFrame) -> DataFrame:
