@@ -163,17 +163,18 @@ def _tested(df: DataFrame, e: dict, label_column: str | None) -> DataFrame:
     return df
 
 
-def _hops(edges: DataFrame, lo: int, hi: int, name: str) -> DataFrame:
-    """Pairs of ends of walks of lo .. hi relations, each pair and length once."""
-    step = edges.select(F.col("sourceId").alias("a"), F.col("targetId").alias("b")).distinct()
-    level, out = step, None
+def _hops(edges: DataFrame, lo: int, hi: int, name: str, starts: DataFrame, forward: bool) -> DataFrame:
+    """Pairs of ends of walks of lo .. hi relations from the starts (id), along or against the relations, each pair and length once."""
+    ends = ("sourceId", "targetId") if forward else ("targetId", "sourceId")
+    step = edges.select(F.col(ends[0]).alias("a"), F.col(ends[1]).alias("b")).distinct()
+    level, out = step.join(starts.select(F.col("id").alias("a")), "a", "left_semi"), None
     for n in range(1, hi + 1):
         if n > 1:
             level = level.join(step.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
         if n >= lo:
             here = level.withColumn("hops", F.lit(n))
             out = here if out is None else out.union(here)
-    return out.select(F.col("a").alias(f"{name}__sourceId"), F.col("b").alias(f"{name}__targetId"), F.col("hops").alias(f"{name}__hops"))
+    return out.select(F.col("a").alias(f"{name}__{ends[0]}"), F.col("b").alias(f"{name}__{ends[1]}"), F.col("hops").alias(f"{name}__hops"))
 
 
 def run(query: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -211,14 +212,18 @@ def run(query: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if rel["hops"]:
             if rel["hops"][1] > 10 or rel["hops"][0] < 1:
                 raise ValueError("a variable path has 1 to 10 relations")
-            e = _hops(e, *rel["hops"], name)
         else:
             e = _tested(e.select(*[F.col(c).alias(f"{name}__{c}") for c in edges.columns]), rel, None)
         source, target = F.col(f"{name}__sourceId"), F.col(f"{name}__targetId")
         ways = {"out": [(source, target)], "in": [(target, source)], "both": [(source, target), (target, source)]}[direction]
         joined = None
         for a, b in ways:
-            j = df.join(e, F.col(f"{last}__id") == a)
+            if rel["hops"]:
+                starts = df.select(F.col(f"{last}__id").alias("id")).distinct()
+                walked = _hops(e, *rel["hops"], name, starts, a is source).select(f"{name}__sourceId", f"{name}__targetId", f"{name}__hops")
+            else:
+                walked = e
+            j = df.join(walked, F.col(f"{last}__id") == a)
             j = j.filter(F.col(f"{node['name']}__id") == b) if node["name"] in frames else j.join(as_node(node), b == F.col(f"{node['name']}__id"))
             joined = j if joined is None else joined.union(j)
         df = joined
