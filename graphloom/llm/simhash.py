@@ -347,23 +347,28 @@ def _dealt(distinct: DataFrame, places: np.ndarray) -> DataFrame:
     return distinct.select("rep", *WORDS).mapInArrow(deal, "band long, rep long, " + ", ".join(f"{w} long" for w in WORDS))
 
 
-def _searched(tiles: DataFrame, radius: int, everything: bool, members: bool = False) -> DataFrame:
+def _searched(tiles: DataFrame, radius: int, everything: bool, members: bool = False, similarity: float = 0.0) -> DataFrame:
     """Tiles (key, rep, part, near, f0 ...) -> proposals (a, b): pairs within the radius of one tile, different parts and at least
     one near end; a spanning forest of them over the parts, or all with `everything`. With `members` also, as rows without b, who has such
     a pair. Tiles without the columns part and near are of members by themselves. A tile is searched
-    with a Gray index, a block of queries at a time."""
-    parts = "part" in tiles.columns
+    with a Gray index, a block of queries at a time. Where rows have counts (column counts), pairs that these rule out are not
+    proposed: of a large group of unlike copies only what may link leaves its tile."""
+    parts, counted = "part" in tiles.columns, "counts" in tiles.columns
     types = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), *[(w, pa.int64()) for w in WORDS]])
 
-    def tile(key, reps, part, near, fps):
+    def tile(key, reps, part, near, fps, counts=None):
         by = np.argsort(reps, kind="stable")  # places follow ids, so ties fall alike in all tiles
         reps, part, near, fps = reps[by], part[by], near[by], fps[by]
+        counts = None if counts is None else counts[by]
         index, found = GrayIndex(fps), []
         for at in range(0, len(reps), 512):
             q, node, bits = index.near(index.fps[at : at + 512], radius, at)
             i, j = index.order[q + at], index.order[node]
             good = (node > q + at) & (part[i] != part[j]) & (near[i] | near[j])
             i, j, bits = np.minimum(i, j)[good], np.maximum(i, j)[good], bits[good]
+            if counts is not None and len(i):
+                able = np.concatenate([_may_reach(counts[i[a : a + 8192]], counts[j[a : a + 8192]], similarity) for a in range(0, len(i), 8192)])
+                i, j, bits = i[able], j[able], bits[able]
             if everything:
                 found.append((i, j, bits))
             else:  # what is not in the forest of some of the pairs isn't in that of all
@@ -392,16 +397,17 @@ def _searched(tiles: DataFrame, radius: int, everything: bool, members: bool = F
             keys, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             part, near = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3)) if parts else (rep, np.ones(len(rep), bool))
             fps = np.stack([batch.column((4 if parts else 2) + i).to_numpy() for i in range(WIDE)], 1).view(np.uint64)
+            counts = [np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), "<u4").reshape(-1, PARTS)] if counted else []
             cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)]):
                 if keys[i] != key:
                     yield from close()
                     key, held = keys[i], []
-                held.append((rep[i:j], part[i:j], near[i:j], fps[i:j]))
+                held.append((rep[i:j], part[i:j], near[i:j], fps[i:j], *[c[i:j] for c in counts]))
         yield from close()
 
     n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiles.select("key", "rep", *(["part", "near"] if parts else []), *WORDS).repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long, " + ", ".join(f"{w} long" for w in WORDS))
+    return tiles.select("key", "rep", *(["part", "near"] if parts else []), *WORDS, *(["counts"] if counted else [])).repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long, " + ", ".join(f"{w} long" for w in WORDS))
 
 
 def part_counts(found: set[bytes]) -> bytes:
@@ -410,25 +416,33 @@ def part_counts(found: set[bytes]) -> bytes:
     return np.bincount((hashes >> np.uint64(32)).astype(np.int64) % PARTS, minlength=PARTS).astype("<u4").tobytes()
 
 
+def _may_reach(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    both = np.minimum(a, b).sum(-1, dtype=np.int64)
+    return both >= similarity * (a.sum(-1, dtype=np.int64) + b.sum(-1, dtype=np.int64) - both)
+
+
 def may_reach(x: bytes, y: bytes, similarity: float) -> bool:
     """Whether sets with these counts can have the similarity; where they do, this is always true."""
-    a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-    both = int(np.minimum(a, b).sum())
-    return both >= similarity * (int(a.sum()) + int(b.sum()) - both)
+    return bool(_may_reach(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), similarity))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose texts have the similarity. Counts of parts, which are short, rule most others out; the texts
-    of what is left decide."""
-    ends = committed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "copy-ends")
+def _described(docs: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, text, counts) of the documents whose id is among the ends."""
     ends = F.broadcast(ends) if ends.count() <= MOST_ENDS else ends  # ids only, counted
 
     def describe(batches):
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part_counts(shingles(t.as_py(), shingle)) for t in batch.column(1)], pa.binary())], ["doc_id", "text", "parts"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part_counts(shingles(t.as_py(), shingle)) for t in batch.column(1)], pa.binary())], ["doc_id", "text", "counts"])
+
+    return docs.join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(describe, "doc_id long, text string, counts binary")
+
 
-    texts = committed(docs.join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(describe, "doc_id long, text string, parts binary"), "copy-texts")
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose texts have the similarity. Counts of parts, which are short, rule most others out; the texts
+    of what is left decide."""
+    ends = committed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "copy-ends")
+    texts = committed(_described(docs, ends, shingle), "copy-texts")
     named = lambda c, end: texts.select(F.col("doc_id").alias(end), F.col(c).alias(f"{c}_{end}"))
 
     def sift(batches):
@@ -450,7 +464,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(named("parts", "b"), "b").join(named("parts", "a"), "a").select("a", "b", "parts_a", "parts_b").mapInArrow(sift, "a long, b long").distinct()
+    left = pairs.join(named("counts", "b"), "b").join(named("counts", "a"), "a").select("a", "b", "counts_a", "counts_b").mapInArrow(sift, "a long, b long").distinct()
     left = committed(left, "copy-sifted")
     made = committed(left.join(named("text", "b"), "b").join(named("text", "a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "copy-links")
     discard(texts)
@@ -507,25 +521,40 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         # Four rows for each large group, of which there are at most rows x bands / most_group.
         led = rows.join(F.broadcast(leaders) if hot <= 10_000 else leaders, "band").filter((F.col("rep") != F.col("lead")) & (apart <= radius))
         pairs = pairs.union(led.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")))
-    tested = None
+    tested, joined, fresh = None, None, True
+
+    def sets() -> DataFrame:
+        """The sets that all links so far make, anew only if there are new links; later ones join these stars."""
+        nonlocal edges, joined, fresh
+        if fresh:
+            joined = committed(components(edges), "copy-sets")
+            edges, fresh = joined.select(F.col("id").alias("a"), F.col("component").alias("b")), False
+        return joined
+
     for turn in range(3):
         if turn:
-            joined = committed(components(edges), "copy-sets")
+            joined = sets()
             part = F.coalesce("component", "rep")
             tiles = members.join(joined, F.col("rep") == F.col("id"), "left").select("key", "rep", part.alias("part"), F.lit(True).alias("near"), *WORDS)
             split = tiles.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("key")
             tiles = tiles.join(split, "key", "left_semi")
             if hot:
                 tiles = tiles.union(_large_tiles(rows.join(joined, F.col("rep") == F.col("id"), "left").select("band", "rep", part.alias("part"), *WORDS), most_group))
-            pairs = _searched(tiles, radius, turn == 2).filter("b is not null").select("a", "b")
+            if turn == 2:  # every pair is wanted that may link: what rules the others out goes with the rows
+                tiles = committed(tiles, "copy-tiles")
+                known = _described(docs, committed(tiles.select(F.col("rep").alias("doc_id")).distinct(), "copy-ends"), shingle)
+                tiles = tiles.join(committed(known.select(F.col("doc_id").alias("rep"), "counts"), "copy-counts"), "rep")
+            pairs = _searched(tiles, radius, turn == 2, similarity=similarity).filter("b is not null").select("a", "b")
         pairs = pairs.filter("a != b").distinct()
         pairs = committed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "copy-candidates")
         if turn and not pairs.head(1):
             continue
         tested = pairs if tested is None else tested.union(pairs)
-        edges = edges.union(_verified(pairs, docs, shingle, similarity))
+        linked = _verified(pairs, docs, shingle, similarity)
+        if not linked.isEmpty():
+            edges, fresh = edges.union(linked), True
         release_shuffles(spark)
-    of_rep = components(edges).withColumnRenamed("id", "rep")
+    of_rep = sets().withColumnRenamed("id", "rep")
     of_same = distinct.select("same", "rep").join(of_rep, "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     release_shuffles(spark)
     return made.select("doc_id", "same").join(of_same, "same").select("doc_id", "component_id")
