@@ -19,12 +19,12 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, committed, mix64, release_shuffles
+from .common import bounded_batches, committed, give_back, mix64, release_shuffles, take_over
 
 #: Counts that a context lends to the words alone, and what every word of the vocabulary has besides its count.
 LENT, ADDED = 8.0, 0.5
 #: Tokens of a chunk (the last text may go beyond), and characters of both tables for each bucket, of which there are at most MOST_BUCKETS.
-CHUNK_TOKENS, BUCKET_CHARS, MOST_BUCKETS = 1 << 21, 8 << 20, 1 << 16
+CHUNK_TOKENS, BUCKET_CHARS, MOST_BUCKETS = 1 << 20, 8 << 20, 1 << 16
 #: The hash of what stands before and after a text: of no word, for no word is empty.
 EDGE = xxhash.xxh3_64_intdigest(b"")
 BACKGROUND, TARGET, ASKED = 0, 1, 2
@@ -99,6 +99,7 @@ def _chunks(df: DataFrame, id_col: str | None, text_col: str, kind: int) -> Data
     """Rows of PLANS: each chunk's distinct words' hashes, its tokens as places among them, and its texts' ids and numbers of tokens."""
 
     def run(batches):
+        take_over("lm-chunks")
         part, n, held, index, hashes, tokens, ids, lengths = TaskContext.get().partitionId(), 0, 0, {}, [EDGE], [], [], []
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -132,13 +133,17 @@ def _requests(chunks: DataFrame, buckets: int) -> DataFrame:
     """Rows of REQUESTS: for each chunk and bucket its sorted keys and their counts there."""
 
     def run(batches):
+        take_over("lm-requests")
         for batch in batches:
             for kind, chunk, hashes, tokens in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 own = _planned(hashes, tokens)
                 counts, cuts = own.counts(), np.searchsorted(bucket_of(own.keys, buckets), np.arange(buckets + 1))
                 rows = [(b, chunk, kind, packed_keys(own.keys[i:j]), packed(counts[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+                del own, counts
                 for at in range(0, len(rows), 256):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256]), REQUEST_TYPES.types)], schema=REQUEST_TYPES)
+                del rows
+                give_back()
 
     return chunks.select("kind", "chunk", "hashes", "tokens").mapInArrow(run, REQUESTS)
 
@@ -148,12 +153,14 @@ def _by_bucket(rows: DataFrame, handle, schema: str) -> DataFrame:
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
+        take_over("lm-buckets")
         bucket, held = None, []
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
                 if row[0] != bucket:
                     if held:
                         yield from handle(bucket, held)
+                        give_back()
                     bucket, held = row[0], []
                 held.append(row[1:])
         if held:
