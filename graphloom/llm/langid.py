@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, take_over
+from .common import bounded_batches, give_back, take_over
 
 #: Fixed parameters of the profiles. Texts are read in slices, so that a very long one needs no more memory.
 DIM, ORDER, SEED, SLICE = 1024, 3, 20_011, 1 << 18
@@ -233,5 +233,6 @@ def keep_identified(docs: DataFrame, profiles: Profiles, least: float = 0.18, ha
             if batch.num_rows:
                 keep = [lang != UNKNOWN and score >= least_cosine(n, least, half) for lang, score, _, n in profiles.compare([t or "" for t in batch.column(at).to_pylist()])]
                 yield batch.filter(pa.array(keep))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

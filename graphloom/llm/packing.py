@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import bounded_batches, committed
-from .tokens import encoder
+from .tokens import MEMO, encoder
 
 #: Tokens and segments of a sequence; examples that are packed together (more leave less padding, at quadratic cost).
 TOKENS, SEGMENTS, GROUP_ROWS = 4096, 1024, 8192
@@ -95,14 +95,14 @@ def pack(df: DataFrame, limits: dict[str, int], order: list[str], group_rows: in
     return dealt.groupBy("__group").applyInArrow(run, schema)
 
 
-def pieces(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", most: int = TOKENS) -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", most: int = TOKENS, memo: int = MEMO) -> DataFrame:
     """Each text's ids and the end id, cut after every `most` ids: doc_id, start, length, ids_crc32, doc_tokens."""
     bounded_batches(df.sparkSession)
     types = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, memo).encode
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -117,10 +117,10 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 2, tokens: int = TOKENS, segments: int = SEGMENTS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 2, tokens: int = TOKENS, segments: int = SEGMENTS, group_rows: int = GROUP_ROWS, memo: int = MEMO) -> DataFrame:
     """One row for each piece of each document with its sequence and offset. Every token of a document bears loss, so
-    tokens and loss have one limit. Null and empty texts are the end id alone; repeated rows are packed each."""
-    sized = pieces(df, tokenizer, end_id, most=tokens).withColumns({"segments": F.lit(1), "loss_tokens": F.col("length")})
+    tokens and loss have one limit. `memo`: chunks that a worker remembers, for speed alone. Null and empty texts are the end id alone; repeated rows are packed each."""
+    sized = pieces(df, tokenizer, end_id, most=tokens, memo=memo).withColumns({"segments": F.lit(1), "loss_tokens": F.col("length")})
     packed = pack(sized, {"length": tokens, "segments": segments, "loss_tokens": tokens}, ["doc_id", "start", "ids_crc32"], group_rows)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 

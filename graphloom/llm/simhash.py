@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, committed, discard, mix64, release_shuffles, take_over
+from .common import bounded_batches, committed, discard, give_back, mix64, release_shuffles, take_over
 from .components import components
 
 #: Words of a shingle and seed of its hash, differing bits that still link, fingerprints of an index node, nodes of an upper node.
@@ -405,6 +405,7 @@ def _searched(tiles: DataFrame, radius: int, everything: bool, members: bool = F
                     key, held = keys[i], []
                 held.append((rep[i:j], part[i:j], near[i:j], fps[i:j], *[c[i:j] for c in counts]))
         yield from close()
+        give_back()
 
     n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return tiles.select("key", "rep", *(["part", "near"] if parts else []), *WORDS, *(["counts"] if counted else [])).repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long, " + ", ".join(f"{w} long" for w in WORDS))

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bounded_batches, committed, mix64, release_shuffles, take_over
+from .common import bounded_batches, committed, give_back, mix64, release_shuffles, take_over
 
 #: Words of a window that counts as a repeated passage.
 WINDOW = 50
@@ -90,6 +90,7 @@ def _described(df: DataFrame, window: int) -> DataFrame:
                 rows.append((key, len(words), *_digest(words), anchors))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.types)], schema=types)
+        give_back()
 
     return df.mapInArrow(run, "doc_id long, n_words long, d1 long, d2 long, sha string, anchors array<long>")
 
@@ -121,6 +122,7 @@ def _candidates(df: DataFrame, window: int) -> DataFrame:
                 rows.append((key, *_digest(words)[:2], starts.astype(np.int32), k1, k2, pack.compress(b" ".join(words))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.types)], schema=types)
+        give_back()
 
     return df.mapInArrow(run, "doc_id long, d1 long, d2 long, starts array<int>, k1 array<long>, k2 array<int>, words binary")
 
@@ -144,6 +146,7 @@ def _cut(df: DataFrame, window: int) -> DataFrame:
                 rows.append((key.as_py(), d1.as_py(), d2.as_py(), int(covered.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.types)], schema=types)
+        give_back()
 
     return df.mapInArrow(run, "doc_id long, d1 long, d2 long, n_removed long, sha string, kept string")
 

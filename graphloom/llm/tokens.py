@@ -91,9 +91,9 @@ class ChunkEncoder:
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each vocabulary file and Python worker."""
+def encoder(path: str, memo: int = MEMO) -> ChunkEncoder:
+    """One encoder for each vocabulary file and Python worker, which remembers up to two generations of `memo` chunks."""
     take_over("tokens", _encoders.clear)
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+    if path not in _encoders or _encoders[path].half != memo:
+        _encoders[path] = ChunkEncoder(path, memo)
     return _encoders[path]

@@ -260,5 +260,6 @@ def keep_clean(docs: DataFrame, model: Model, reject_at: float = 0.5) -> DataFra
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array([s < reject_at for s in _scores(model, key, batch.column(at).to_pylist())]))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
