@@ -15,6 +15,10 @@ from graphloom.llm.queries import END_ID, WORD_BPE, tokenizer_path
 ORACLE_SQL = None
 
 
+#: Chunks that a packing worker remembers: fewer than alone, since the stages before leave their workers and heaps behind.
+STAGE_MEMO = 120_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the subword model, learned from the labelled ones among them, scores under one half."""
     return toxicity.keep_clean(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -37,7 +41,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and offset."""
-    return packing.pack_documents(docs, tokenizer_path(WORD_BPE), END_ID)
+    return packing.pack_documents(docs, tokenizer_path(WORD_BPE), END_ID, memo=STAGE_MEMO)
 
 
 STAGES = [("toxicity", drop_toxic), ("language", keep_languages), ("simhash", drop_near_copies), ("substring", cut_repeats), ("packing", pack_sequences)]
