@@ -204,17 +204,26 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, broadcast_rows: int =
     """docs with repeated passages cut from `text` (kept words joined by one space) and n_chars set anew for those
     rows; texts without a repeat stay as they are, byte for byte. No row goes: a whole copy keeps an empty text."""
     _, copies, cut = _found(_source(docs, "doc_id", "text"), window, broadcast_rows)
-    new = cut.select(F.col("doc_id").alias("__id"), F.col("d1").alias("__c1"), F.col("d2").alias("__c2"), F.col("kept").alias("__kept"))
+    names, at = docs.columns, docs.columns.index("text")
+    d1, d2, key, c1, c2, kept = (_unused(names, c) for c in ("__d1", "__d2", "__id", "__c1", "__c2", "__kept"))
+    new = cut.select(F.col("doc_id").alias(key), F.col("d1").alias(c1), F.col("d2").alias(c2), F.col("kept").alias(kept))
     new = new.union(copies.select("doc_id", "d1", "d2", F.lit("")))
-    at, names = docs.columns.index("text"), docs.columns
-    schema = StructType([*docs.schema.fields, StructField("__d1", LongType()), StructField("__d2", LongType())])
+    schema = StructType([*docs.schema.fields, StructField(d1, LongType()), StructField(d2, LongType())])
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 keys = [_digest(words_of(t))[:2] for t in batch.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], [*batch.schema.names, "__d1", "__d2"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], [*batch.schema.names, d1, d2])
 
-    joined = docs.mapInArrow(run, schema).join(new, F.expr("doc_id = __id AND __d1 = __c1 AND __d2 = __c2"), "left")
-    values = {"text": F.coalesce("__kept", "text")} | ({"n_chars": F.when(F.col("__kept").isNotNull(), F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in names else {})
-    return joined.select(*[values.get(c, F.col(c)).alias(c) for c in names])
+    joined = docs.mapInArrow(run, schema).join(new, (F.col("doc_id") == F.col(key)) & (F.col(d1) == F.col(c1)) & (F.col(d2) == F.col(c2)), "left")
+    values = {"text": F.coalesce(kept, "text")} | ({"n_chars": F.when(F.col(kept).isNotNull(), F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in names else {})
+    return joined.select(*[values.get(c, F.col(f"`{c}`")).alias(c) for c in names])
+
+
+def _unused(names: list[str], name: str) -> str:
+    """A name that no column has, whatever its case."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name += "_"
+    return name

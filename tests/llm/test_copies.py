@@ -275,3 +275,11 @@ def test_vectors_odd_rows(spark):
     assert {f for f in found if f[0] in (1, 2, 3, 4, 5, 6, 10)} == {(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6, 10)}
     assert {f[2] for f in found if f[0] in (7, 8, 9)} == {7} and (11, 1, 11, True) in found and (12, 1, 11, False) in found
     assert egojoin.near_duplicates(df.filter("false")).count() == 0 and egojoin.near_duplicates(df.filter("vec_id = 1")).count() == 1
+
+
+def test_passages_are_cut_whatever_the_columns_are_called(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, "a " + passage, 5, "x", "y"), (2, passage + " z", 5, "x", "y"), (3, None, 5, None, "y"), (4, passage + " z", 5, "x", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __d1 int, __kept string, __ID string")
+    got = substring.without_repeats(df)
+    assert got.columns == df.columns and {(r.doc_id, r.text, r["__d1"]) for r in got.collect()} == {(1, "a " + passage, 5), (2, "z", 5), (3, None, 5), (4, "", 5)}
