@@ -27,8 +27,8 @@ RATE, SHRINK = 2.0, 3.0
 NO_EVIDENCE = -0.5
 #: Words remembered by a Python worker, half of them recent.
 MEMO = 200_000
-#: Words of the training sample whose n-grams are listed at once.
-PART = 50_000
+#: Words of the training sample whose n-grams are listed at once (under 2^16: places are kept in 16 bits).
+PART = 25_000
 EDGES = "\t\n !\"#$%&'()*+,-./:;<=>?[\\]^_`{|}~«»“”„’‘–—…¿¡"
 
 
@@ -106,7 +106,7 @@ class _Means:
         for lo in range(0, self.words, PART):
             whose, bucket = subwords(vocabulary[lo : lo + PART])
             n = len(vocabulary[lo : lo + PART])
-            self.parts.append((lo, n, whose.astype(np.int32), bucket.astype(np.int32), 1.0 / np.maximum(np.bincount(whose, minlength=n), 1)))
+            self.parts.append((lo, n, whose.astype(np.uint16), bucket.astype(np.int32), 1.0 / np.maximum(np.bincount(whose, minlength=n), 1)))
 
     def of_texts(self, values: np.ndarray) -> np.ndarray:
         word = np.zeros(self.words)
@@ -134,10 +134,11 @@ def fit(sample: Sample, steps: int = STEPS) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), 4.0 if len(y) and y[0] else -4.0)
     means, rng = _Means(sample), np.random.default_rng(SEED)
+    sample.index.clear()  # the words are not needed any more
     direction = rng.normal(0, 1, WIDTH)
-    direction /= np.linalg.norm(direction)
+    direction = (direction / np.linalg.norm(direction)).astype(np.float32)
     table, constant = np.zeros((BUCKETS, WIDTH), np.float32), 0.0
-    moved, turned, shifted = np.zeros_like(table), np.zeros(WIDTH), 0.0
+    moved, turned, shifted = np.zeros_like(table), np.zeros(WIDTH, np.float32), 0.0
     balance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     root = np.sqrt(means.back(np.ones(len(y)), power=2)) + 1e-9
     for step in range(steps):
@@ -146,14 +147,15 @@ def fit(sample: Sample, steps: int = STEPS) -> Model:
         error = (1 / (1 + np.exp(-np.clip(odds, -40, 40))) - y) * balance
         raw = means.back(error)
         steep = raw / root
-        moved = 0.8 * moved + ((steep / max(float(np.abs(steep).max()), 1e-12))[:, None] * direction).astype(np.float32)
-        turn = table.T @ raw
-        turned = 0.8 * turned + turn / max(float(np.abs(turn).max()), 1e-12)
+        moved *= np.float32(0.8)
+        moved += (steep / max(float(np.abs(steep).max()), 1e-12)).astype(np.float32)[:, None] * direction
+        turn = table.T @ raw.astype(np.float32)
+        turned = (0.8 * turned + turn / max(float(np.abs(turn).max()), 1e-12)).astype(np.float32)
         shifted = 0.8 * shifted + float(error.sum()) / max(float(np.abs(error).sum()), 1e-12)
-        table -= RATE * rate * moved
-        direction = direction - 0.01 * rate * turned
+        table -= np.float32(RATE * rate) * moved
+        direction = (direction - 0.01 * rate * turned).astype(np.float32)
         constant -= 0.2 * rate * shifted
-        table *= np.maximum(1 - SHRINK * rate / np.maximum(np.linalg.norm(table, axis=1), 1e-12), 0)[:, None].astype(np.float32)
+        table *= np.maximum(1 - SHRINK * rate / np.maximum(np.sqrt(np.einsum("ij,ij->i", table, table)), 1e-12), 0).astype(np.float32)[:, None]
     values = table @ direction
     scale, constant = _rescaled(means.of_texts(values), constant, y)
     return Model((values * scale).astype(np.float32), constant)
