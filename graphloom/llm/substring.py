@@ -15,16 +15,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bounded_batches, committed, give_back, mix64, release_shuffles, take_over
+from .common import bounded_batches, committed, discard, give_back, mix64, release_shuffles, take_over
 
 #: Words of a window that counts as a repeated passage.
 WINDOW = 50
 #: Perfect difference sets, whose differences give every remainder of the period.
 COVERS = {1: (0,), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 ANCHOR_BASE, WINDOW_BASES = 0xD6E8FEB86659FD93, (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+#: Bits for each id of a bitmap, and the power of two that no bitmap's size exceeds (8 MB).
+ID_BITS, MOST_BITS = 16, 26
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -156,9 +158,10 @@ def _found(df: DataFrame, window: int, broadcast_rows: int) -> tuple[DataFrame,
     spark = df.sparkSession
     bounded_batches(spark)
     described = committed(_described(df, window), "passage-anchors")
-    whole = described.select("doc_id", "n_words", "d1", "d2").filter("doc_id is not null")
-    first = whole.filter(F.col("n_words") >= window).groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("d1", "d2", "first")
-    copies = committed(whole.join(first, ["d1", "d2"]).filter("doc_id > first").select("doc_id", "d1", "d2").distinct(), "whole-copies")
+    whole = committed(described.select("doc_id", "n_words", "d1", "d2", "sha"), "whole-passages")  # outlives the anchors
+    known = whole.select("doc_id", "n_words", "d1", "d2").filter("doc_id is not null")
+    first = known.filter(F.col("n_words") >= window).groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("d1", "d2", "first")
+    copies = committed(known.join(first, ["d1", "d2"]).filter("doc_id > first").select("doc_id", "d1", "d2").distinct(), "whole-copies")
     few = copies.count() <= broadcast_rows
     mark = F.broadcast(copies) if few else copies
     # A whole copy has no passage that its first doesn't have: only firsts go on.
@@ -169,17 +172,52 @@ def _found(df: DataFrame, window: int, broadcast_rows: int) -> tuple[DataFrame,
     release_shuffles(spark)
     at = anchors.join(shared, "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
     at = committed(at, "shared-anchors")
-    release_shuffles(spark)
-    near = committed(_candidates(df.join(at, "doc_id"), window), "passage-windows")
-    release_shuffles(spark)
+    _drop(spark, described, shared)
+    near = committed(_candidates(_among(df, at).join(at, "doc_id"), window), "passage-windows")
+    _drop(spark, at)
     windows = near.select("doc_id", "d1", "d2", F.explode(F.arrays_zip("starts", "k1", "k2")).alias("w")).select("doc_id", "d1", "d2", "w.*")
     least = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("k1", "k2", "first")
     least = committed(least, "repeated-windows")
     release_shuffles(spark)
-    repeated = windows.join(least, ["k1", "k2"]).filter("doc_id > first").groupBy("doc_id", "d1", "d2").agg(F.collect_set("starts").alias("starts"))
-    cut = committed(_cut(near.select("doc_id", "d1", "d2", "words").dropDuplicates(["doc_id", "d1", "d2"]).join(repeated, ["doc_id", "d1", "d2"]).select("doc_id", "d1", "d2", "words", "starts"), window), "passages-cut")
+    on = ["doc_id", "d1", "d2"]
+    repeated = windows.join(least, ["k1", "k2"]).filter("doc_id > first").groupBy(*on).agg(F.collect_set("starts").alias("starts"))
+    repeated = committed(repeated, "cut-windows")
+    _drop(spark, least)
+    words = _among(near.select(*on, "words"), repeated).dropDuplicates(on)
+    cut = committed(_cut(words.join(repeated, on).select(*on, "words", "starts"), window), "passages-cut")
+    _drop(spark, near, repeated)
+    return whole, copies.withColumn("copy", F.lit(True)), cut
+
+
+def _drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Free the disk of committed tables that were read for the last time, and of the shuffles behind them."""
+    for table in tables:
+        discard(table)
     release_shuffles(spark)
-    return described.select("doc_id", "n_words", "d1", "d2", "sha"), copies.withColumn("copy", F.lit(True)), cut
+
+
+def _may_be(column: Column, ids: DataFrame, name: str) -> tuple[DataFrame, Column]:
+    """One row with a bitmap `name` of the hashes of ids' doc_id, and whether `column` hits it: every id among them does, and
+    few others. It keeps texts that a join can't match out of its shuffle; the join decides."""
+    size = 1 << min(MOST_BITS, max(6, (ID_BITS * ids.count()).bit_length()))
+
+    def place(c: Column) -> tuple[Column, Column]:
+        at = F.xxhash64(c.cast("long")).bitwiseAND(F.lit(size - 1))
+        return F.shiftright(at, 6).cast("int"), at.bitwiseAND(F.lit(63)).cast("int")
+
+    word, bit = place(F.col("doc_id"))
+    found = ids.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")).toArrow()
+    bits = np.zeros(size >> 6, np.int64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
+    row = ids.sparkSession.createDataFrame(pa.table({name: pa.array([bits], pa.list_(pa.int64()))}))
+    word, bit = place(column)
+    return F.broadcast(row), F.getbit(F.get(F.col(name), word), bit) == 1
+
+
+def _among(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df whose doc_id may be one of ids: all that are, and few others."""
+    row, held = _may_be(F.col("doc_id"), ids, _unused(df.columns, "__bits"))
+    return df.crossJoin(row).filter(held).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -216,9 +254,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, broadcast_rows: int =
                 keys = [_digest(words_of(t))[:2] for t in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], [*batch.schema.names, d1, d2])
 
-    joined = docs.mapInArrow(run, schema).join(new, (F.col("doc_id") == F.col(key)) & (F.col(d1) == F.col(c1)) & (F.col(d2) == F.col(c2)), "left")
+    # Only texts that may change are shuffled; the others are passed on as they are.
+    row, held = _may_be(F.col("doc_id"), new.select(F.col(key).alias("doc_id")), _unused(names, "__bits"))
+    own = [F.col(f"`{c}`") for c in names]
+    joined = docs.crossJoin(row).filter(held).select(*own).mapInArrow(run, schema).join(new, (F.col("doc_id") == F.col(key)) & (F.col(d1) == F.col(c1)) & (F.col(d2) == F.col(c2)), "left")
     values = {"text": F.coalesce(kept, "text")} | ({"n_chars": F.when(F.col(kept).isNotNull(), F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in names else {})
-    return joined.select(*[values.get(c, F.col(f"`{c}`")).alias(c) for c in names])
+    changed = joined.select(*[values.get(c, F.col(f"`{c}`")).alias(c) for c in names])
+    return docs.crossJoin(row).filter(~held).select(*own).union(changed)
 
 
 def _unused(names: list[str], name: str) -> str:

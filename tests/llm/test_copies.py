@@ -2,13 +2,14 @@
 
 import hashlib
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from compare import duck, of_spark, of_sql
 
-from graphloom.llm import egojoin, queries, simhash, substring
+from graphloom.llm import common, egojoin, queries, simhash, substring
 from graphloom.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -283,3 +284,35 @@ def test_passages_are_cut_whatever_the_columns_are_called(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, __d1 int, __kept string, __ID string")
     got = substring.without_repeats(df)
     assert got.columns == df.columns and {(r.doc_id, r.text, r["__d1"]) for r in got.collect()} == {(1, "a " + passage, 5), (2, "z", 5), (3, None, 5), (4, "", 5)}
+
+
+def shuffled_mb(spark, after):
+    """MB that stages after that one have written to shuffles, and the last stage."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    own = [stages.apply(i) for i in range(stages.size())]
+    return sum(s.shuffleWriteBytes() for s in own if s.stageId() > after) / 1e6, max((s.stageId() for s in own), default=-1)
+
+
+def test_texts_without_repeats_are_not_shuffled_and_work_tables_go(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    shared = " ".join(f"s{i}" for i in range(60))
+    texts = [" ".join(rng.bytes(40).hex() for _ in range(100)) for _ in range(500)]
+    rows = [(i, t + " " + shared if i % 100 == 7 else t) for i, t in enumerate(texts)] + [(None, shared + " n"), (507, shared)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs, (before, held) = spark.read.parquet(f"{tmp_path}/docs"), ("spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    root = Path(common.work_root(spark).removeprefix("file://"))
+    was = set(root.glob("*"))
+    spark.conf.set(before, "-1")  # small tables are joined as large ones are
+    try:
+        _, last = shuffled_mb(spark, -1)
+        got = {r.doc_id: r.text for r in substring.without_repeats(docs).collect()}
+        moved, _ = shuffled_mb(spark, last)
+    finally:
+        spark.conf.set(before, held)
+    want = {i: texts[i] if i and i > 7 and i < 500 else t for i, t in rows}
+    assert got == want | {507: ""}
+    whole = sum(len(t) for t in texts) / 1e6
+    assert moved < whole / 3, (moved, whole)
+    left = {p.name.rsplit("-", 1)[0] for p in set(root.glob("*")) - was}
+    assert left <= {"whole-passages", "whole-copies", "passages-cut"}
