@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -48,6 +49,34 @@ def test_long_words_equal_the_library(monkeypatch):
             assert [x for ids in m.merge(m.words(t)) for x in ids] == lib.encode(t), t[:50]
 
 
+def test_new_words_take_no_call_each():
+    """The work of many new words lies in arrays: no Python function is called for each of them."""
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    rnd = random.Random(33)
+    text = " ".join("".join(rnd.choice("aeinrstlo") for _ in range(rnd.randint(3, 12))) for _ in range(30_000))
+    piecebpe.model(PIECE)
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        got = piecebpe.encode_text(PIECE, text, 2)
+    finally:
+        sys.setprofile(None)
+    assert got == lib.encode(text, add_eos=True) and len(calls) < 10_000
+
+
+@pytest.mark.parametrize("memo,window,kinds", [(120_000, 1 << 19, 2), (5, 64, 2), (50, 300, 3), (7, 40, 1 << 40)])
+def test_words_that_share_a_key_are_told_apart(monkeypatch, memo, window, kinds):
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    keys = piecebpe._keys
+    monkeypatch.setattr(piecebpe, "_keys", lambda *a: keys(*a) % np.uint64(kinds))
+    monkeypatch.setattr(piecebpe, "MEMO", memo)
+    monkeypatch.setattr(piecebpe, "WINDOW", window)
+    monkeypatch.setattr(piecebpe, "_memos", {})
+    texts = strings(300, 6) + [None, "the cat the dog the cow " * 20, "漢" * 500, "\n\n a\n \n", "same", "same"]
+    for _ in range(2):
+        assert piecebpe.encode_texts(PIECE, texts, 2) == [lib.encode(t or "", add_eos=True) for t in texts]
+
+
 def test_piece_tables(spark):
     rows = [(1, None, 1), (2, "", 1), (3, "hello  world\n", 1), (3, "hello  world\n", 1), (None, "x", 1), (4, "long " * 200_000, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
