@@ -5,10 +5,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import langid, packing, simhash, substring, toxicity
-from graphloom.llm.common import committed
+from graphloom.llm.common import committed, shrink_heaps
 from graphloom.llm.queries import END_ID, WORD_BPE, tokenizer_path
 
 #: No SQL expresses learned models; the tests hold the stages against plain versions.
@@ -44,7 +46,18 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs, tokenizer_path(WORD_BPE), END_ID, memo=STAGE_MEMO)
 
 
-STAGES = [("toxicity", drop_toxic), ("language", keep_languages), ("simhash", drop_near_copies), ("substring", cut_repeats), ("packing", pack_sequences)]
+def _after_others(stage):
+    """The stage, begun when executors have given back what the stages before left on their heaps."""
+
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shrink_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
+STAGES = [(name, _after_others(stage)) for name, stage in [("toxicity", drop_toxic), ("language", keep_languages), ("simhash", drop_near_copies), ("substring", cut_repeats), ("packing", pack_sequences)]]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

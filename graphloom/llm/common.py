@@ -6,11 +6,11 @@ import ctypes
 import gc
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 from ..workspace import committed, discard, release_shuffles, work_root
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "TwoGenerations", "bounded_batches", "committed", "discard", "give_back", "mix64", "release_shuffles", "take_over", "work_root"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "TwoGenerations", "bounded_batches", "committed", "discard", "give_back", "mix64", "release_shuffles", "shrink_heaps", "take_over", "work_root"]
 
 #: Rows and bytes of one Arrow batch handed to Python: long texts stay bounded in a worker.
 BATCH_ROWS, BATCH_BYTES = 1024, "16m"
@@ -44,6 +44,14 @@ def give_back() -> None:
         pass
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Let each executor's JVM collect all its garbage now and return the heap that earlier steps needed to the system. Otherwise
+    a heap may keep it, beside Python workers that need the memory. One short task an executor (the driver, where there is none);
+    without preferences Spark deals them one to each. An executor that gets none keeps its heap, no more."""
+    executors = max(spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1, 1)
+    spark.range(0, executors, 1, executors).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 class TwoGenerations:
     """A bounded memo: when the young half is full it becomes the old half, whose entries survive only if used again."""
 

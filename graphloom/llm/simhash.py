@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, committed, discard, give_back, mix64, release_shuffles, take_over
+from .common import bounded_batches, committed, discard, give_back, mix64, release_shuffles, shrink_heaps, take_over
 from .components import components
 
 #: Words of a shingle and seed of its hash, differing bits that still link, fingerprints of an index node, nodes of an upper node.
@@ -555,6 +555,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         if not linked.isEmpty():
             edges, fresh = edges.union(linked), True
         release_shuffles(spark)
+        shrink_heaps(spark)
     of_rep = sets().withColumnRenamed("id", "rep")
     of_same = distinct.select("same", "rep").join(of_rep, "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     release_shuffles(spark)

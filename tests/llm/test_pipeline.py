@@ -33,6 +33,16 @@ def test_every_stage_takes_an_empty_table(spark, folder):
         assert stage(spark, docs, folder).count() == 0, name
 
 
+def test_every_stage_begins_with_heaps_given_back(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("false")
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName())
+    for name, stage in corpus_pipeline.STAGES:
+        before = whole()
+        stage(spark, docs, folder)
+        assert whole() > before, name
+
+
 def test_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
