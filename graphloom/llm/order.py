@@ -23,6 +23,8 @@ from .tokens import encoder
 #: Ids of a sequence, sequences of a shard, rounds of the network. Records: document, piece, ids that count, then ids.
 LENGTH, SHARD_ROWS, ROUNDS = 256, 8192, 6
 HEAD, HEAD_BYTES = np.dtype([("doc_id", "<i8"), ("piece", "<u4"), ("n", "<u4")]), "<qII"
+#: Chunks of text that a Python worker remembers one by one (long ones, and words before a mark); the others lie in a table.
+MEMO = 100_000
 #: A null doc_id in a record's head.
 NO_ID = -(1 << 63)
 
@@ -127,11 +129,11 @@ def sequences(df: DataFrame, tokenizer: str, end_id: int, length: int, width: in
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode, part, n = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
+        encode, part, n = encoder(tokenizer, MEMO).encode_all, TaskContext.get().partitionId(), 0
         for batch in batches:
             records = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for i, x in enumerate(cut(encode(text.as_py()) + tail, length, width)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(text.as_py() for text in batch.column(1))):
+                for i, x in enumerate(cut(ids + tail, length, width)):
                     records.append(struct.pack(HEAD_BYTES, NO_ID if doc_id is None else doc_id, i, len(x) // width) + x)
             if records:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(records), part, np.int32)), pa.array(np.arange(n, n + len(records))), pa.array(records, pa.binary())], ["part", "number", "record"])

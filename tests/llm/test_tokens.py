@@ -1,6 +1,7 @@
 """SentencePiece rounds, token memo, packing and training order against their libraries and plain versions."""
 
 import hashlib
+import json
 import random
 import sys
 import zlib
@@ -95,6 +96,73 @@ def test_chunk_ids_equal_the_library():
         assert np.frombuffer(e.encode(s), "<u4").tolist() == lib.encode(s, add_special_tokens=False).ids, s
 
 
+@pytest.mark.parametrize("rows, chunks, ids, window, together", [(1 << 12, 1 << 10, 1 << 20, 1 << 10, 1 << 10), (1 << 12, 1 << 10, 200, 100, 50), (1 << 16, 1 << 15, 1 << 20, 1 << 14, 1 << 18)])
+def test_texts_together_have_the_ids_of_each(monkeypatch, rows, chunks, ids, window, together):
+    """Chunks of the table's bounds, zero bytes, tables that are nearly full or drop chunks, texts cut into slices."""
+    for name, value in (("TABLE_ROWS", rows), ("TABLE_CHUNKS", chunks), ("TABLE_IDS", ids), ("WINDOW", window), ("TOGETHER", together)):
+        monkeypatch.setattr(tokens, name, value)
+    lib, rnd = Tokenizer.from_file(WORD), random.Random(3)
+    words = ["".join(rnd.choice("aeinst\0é,漢") for _ in range(rnd.randint(0, 18))) for _ in range(3000)]
+    words += [x * n for x in ("a", "\0", "é") for n in range(1, 19)] + ["a" * n + "\0" * k for n in range(3) for k in range(18 - n)]
+    texts = [*strings(), "", "", " " * 3000, " a", "<|endoftext|>", "x" * 4000, "a<|startoftext|> b " * 100]
+    texts += [" ".join(rnd.choices(words, k=rnd.randint(0, 400))) for _ in range(60)] + ["漢字 ΑΣ İ \n" * 500]
+    rnd.shuffle(texts)
+    e = tokens.ChunkEncoder(WORD, memo=50)
+    for _ in range(2):
+        for s, found in zip(texts, e.encode_all(iter(texts)), strict=True):
+            assert np.frombuffer(found, "<u4").tolist() == lib.encode(s, add_special_tokens=False).ids, s
+    assert list(e.encode_all([None, "a", None])) == [b"", e.encode("a"), b""] and list(e.encode_all([])) == []
+
+
+def test_words_merged_together_are_the_library_s():
+    lib, rnd = Tokenizer.from_file(WORD), random.Random(12)
+    merges = tokens._Merges.of(lib)
+    words = [c * n for c in "aelmosé" for n in range(1, 17)] + [w.removesuffix("</w>") for w in sorted(lib.get_vocab()) if w.removesuffix("</w>").isalpha() and w.isascii()][::7]
+    words += ["".join(rnd.choice(x) for _ in range(rnd.randint(1, 16))) for x in ("abcdefghijklmnopqrstuvwxyz", "aeinst", "ab", "aéßñ", "漢字テスト") for _ in range(1500)]
+    words = [w for w in words if w == w.lower()]
+    raw = [w.encode() for w in words]
+    ids, n = merges.ids(np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [lib.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_models_with_other_merges_go_through_the_library():
+    """A merge that comes before the one that makes its part isn't done in rounds."""
+    model = json.loads(Tokenizer.from_file(WORD).to_str())
+    model["model"]["merges"] = model["model"]["merges"][::-1]
+    other = Tokenizer.from_str(json.dumps(model))
+    assert tokens._Merges.of(other) is None
+    e = tokens.ChunkEncoder(WORD)
+    e.table, e.merges = tokens._Table(), None
+    assert list(e.encode_all(["the cat's hat, naïve"])) == [e.encode("the cat's hat, naïve")]
+
+
+def test_signs_after_letters_cut_chunks_as_the_library_does():
+    lib, rnd = Tokenizer.from_file(WORD), random.Random(14)
+    signs = ["".join(rnd.choice("aest'’,.!<>=|_1²é\u0301\u0338٣") for _ in range(rnd.randint(1, 20))) for _ in range(20_000)]
+    texts = [" ".join(signs[i : i + 10]) for i in range(0, len(signs), 10)] + signs[:3000]
+    for s, found in zip(texts, tokens.ChunkEncoder(WORD).encode_all(texts), strict=True):
+        assert np.frombuffer(found, "<u4").tolist() == lib.encode(s, add_special_tokens=False).ids, s
+
+
+def test_order_looks_known_words_up_in_arrays(spark, monkeypatch):
+    """Training order takes no step of Python for each word that it has met."""
+    class Local:
+        sparkSession, select, mapInArrow = spark, lambda self, *_: self, lambda self, run, _: run
+
+    class Task:
+        get, partitionId = staticmethod(lambda: Task), staticmethod(lambda: 0)
+
+    rnd, looked = random.Random(5), []
+    words = ["".join(rnd.choice("aeinst") for _ in range(rnd.randint(1, 9))) for _ in range(500)]
+    batch = order.pa.record_batch({"doc_id": [1, 2], "text": [" ".join(rnd.choices(words, k=10_000)) for _ in range(2)]})
+    monkeypatch.setattr(order, "TaskContext", Task)
+    monkeypatch.setattr(tokens._Memo, "__getitem__", lambda self, chunk: looked.append(chunk) or dict.__getitem__(self, chunk), raising=False)
+    tokens._encoders.clear()
+    made = order.pa.Table.from_batches(order.sequences(Local(), WORD, 2, 256, 2)(iter([batch])))
+    tokens._encoders.clear()
+    assert made.num_rows > 80 and len(looked) <= 500
+
+
 def test_fill_keeps_limits_and_wastes_little():
     rng = np.random.default_rng(8)
     sizes = np.stack([rng.integers(1, 4000, 3000), np.ones(3000, int), np.zeros(3000, int)], 1).astype(float)
