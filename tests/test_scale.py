@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import resolution
+from graphloom.operators import imports, resolution
 from graphloom.sources import projection
 
 
@@ -60,3 +60,22 @@ def test_scope_chain_does_not_meet_references_with_all_bindings_of_a_name(spark)
     most, rows = most_rows(resolution.scope_chain(refs, above, bound))
     assert {(r.ref % 2, r["def"], r.status) for r in rows} == {(0, None, "ambiguous"), (1, 7, "found")} and len(rows) == 2000
     assert most <= 8000
+
+
+def test_folders_are_spread_only_for_the_steps_that_won(spark):
+    """1,500 imports of a folder of 1,500 files: the 2.25 million pairs were shuffled twice, 20 MB and more, and dealt out by folder."""
+    files = spark.range(1500).selectExpr("concat('code/org/p/C', id, '.java') as filePath", "'java' as language")
+    asked = spark.range(1500).selectExpr("id as import", "'java' as language", "'M.java' as source", "'org/p' as target", "true as wildcard")
+    moved, n = shuffled_mb(spark, lambda: imports.targets(asked, files).count())
+    assert n == 2_250_000 and moved < 1
+
+
+def test_large_folders_are_dealt_out_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(imports, "TASK_PAIRS", 100)
+    files = spark.range(60).selectExpr("concat('x/p', id % 2, '/C', id, '.java') as filePath", "'java' as language")
+    files = files.union(files.limit(3))
+    asked = spark.range(90).selectExpr("id as import", "'java' as language", "'M.java' as source", "concat('p', id % 3) as target", "true as wildcard")
+    asked = asked.union(spark.createDataFrame([(0, "java", "M.java", "x/p0", True), (0, "java", "M.java", "p1", True)], asked.schema))
+    got = sorted((r["import"], r.filePath) for r in imports.targets(asked, files).collect())
+    own = lambda p: [f"x/p{p}/C{i}.java" for i in range(60) if i % 2 == p]
+    assert got == sorted((i, f) for i in range(90) for p in ((0, 1) if i == 0 else (i % 3,)) if p < 2 for f in own(p))
