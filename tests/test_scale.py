@@ -121,3 +121,12 @@ def test_overrides_hand_on_names_and_not_all_definitions_of_all_ancestors(spark)
     above = committed(resolution.ancestors(p), "above")
     most, rows = most_rows(resolution.overrides(above, m))
     assert len(rows) == 12 * 1000 and most <= 20_000
+
+
+def test_variables_meet_lines_and_not_all_calls_of_a_line(spark):
+    """1,000 variables and 1,000 calls on one line: a million pairs before."""
+    v = spark.range(1000).selectExpr("id as def", "'f' as filePath", "7L as startLine", "if(id = 3, 8L, 7L) as endLine").union(spark.createDataFrame([(5000, "f", 9, 9)], "def long, filePath string, startLine long, endLine long"))
+    calls = spark.range(1000).selectExpr("id as ref", "'f' as filePath", "7L as line", "'free' as form").union(spark.createDataFrame([(2000, "f", 9, "constructor")], "ref long, filePath string, line long, form string"))
+    resolved, defs = spark.createDataFrame([(2000, 1)], "ref long, def long"), spark.createDataFrame([(1, "C", "int")], "id long, name string, returnType string")
+    most, rows = most_rows(imports.call_types(v, calls, resolved, defs))
+    assert [tuple(r) for r in rows] == [(5000, "C")] and most <= 5000
