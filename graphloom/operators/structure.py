@@ -65,12 +65,18 @@ def scope_at(positions: DataFrame, scopes: DataFrame) -> DataFrame:
     Of the scopes that hold a position the one that starts last wins, then the one that ends first, then the last id. Scopes that hold a
     whole line are reduced to the best of each line before any position is looked at; only those that begin or end on a
     line are compared with its positions. All joins are by file and line, so a long file is spread over tasks."""
-    s = scopes.select("filePath", "startLine", "endLine", F.struct("startLine", "startCol").alias("a"), F.struct("endLine", "endCol").alias("z"), F.struct(F.struct("startLine", "startCol").alias("a"), (-F.col("endLine")).alias("l"), (-F.col("endCol")).alias("c"), F.col("id").alias("scope")).alias("best"))
-    whole = s.filter("endLine - startLine >= 2").select("filePath", F.explode(F.sequence(F.col("startLine").cast("long") + 1, F.col("endLine").cast("long") - 1)).alias("on"), "best").groupBy("filePath", "on").agg(F.max("best").alias("whole"))
-    part = s.withColumn("on", F.explode(F.array_distinct(F.array("startLine", "endLine")))).withColumn("on", F.col("on").cast("long")).select("filePath", "on", "a", "z", "best")
+    s = scopes.filter("endLine >= startLine").select("filePath", "startLine", "startCol", "endLine", "endCol", "id")
+    best = lambda c: F.max(F.struct(F.struct("startLine", "startCol").alias("a"), (-F.col("endLine")).alias("l"), (-F.col("endCol")).alias("c"), F.col("id").alias("scope"))).alias(c)
+    # Scopes of the same lines hold the same whole ones, and those that begin or end on a line at the same column hold the same part of it.
+    spans = s.filter("endLine - startLine >= 2").groupBy("filePath", "startLine", "endLine").agg(best("best"))
+    inner = F.explode(F.sequence(F.col("startLine").cast("long") + 1, F.col("endLine").cast("long") - 1))
+    whole = spans.select("filePath", inner.alias("on"), "best").groupBy("filePath", "on").agg(F.max("best").alias("whole"))
+    ends = s.withColumn("on", F.explode(F.array_distinct(F.array("startLine", "endLine"))))
+    ends = ends.withColumns({"from": F.when(F.col("startLine") == F.col("on"), F.col("startCol")), "to": F.when(F.col("endLine") == F.col("on"), F.coalesce("endCol", F.lit(-1))), "on": F.col("on").cast("long")})
+    part = ends.groupBy("filePath", "on", "from", "to").agg(best("best"))
     keys = positions.columns
-    p = positions.withColumn("on", F.col("line").cast("long")).withColumn("at", F.struct(F.col("line").cast("int").alias("startLine"), F.col("col").cast("int").alias("startCol")))
-    held = F.when((F.col("a") <= F.col("at")) & (F.col("at") <= F.col("z")), F.col("best"))
+    p = positions.withColumn("on", F.col("line").cast("long")).withColumn("at", F.col("col").cast("int"))
+    held = F.when((F.col("from").isNull() | (F.col("from") <= F.col("at"))) & (F.col("to").isNull() | (F.col("at") <= F.col("to"))), F.col("best"))
     found = p.join(part, ["filePath", "on"], "left").groupBy(*keys, "on").agg(F.max(held).alias("part")).join(whole, ["filePath", "on"], "left")
     return found.select(*keys, F.greatest("part", "whole")["scope"].alias("scope"))
 

@@ -130,3 +130,15 @@ def test_variables_meet_lines_and_not_all_calls_of_a_line(spark):
     resolved, defs = spark.createDataFrame([(2000, 1)], "ref long, def long"), spark.createDataFrame([(1, "C", "int")], "id long, name string, returnType string")
     most, rows = most_rows(imports.call_types(v, calls, resolved, defs))
     assert [tuple(r) for r in rows] == [(5000, "C")] and most <= 5000
+
+
+def test_scopes_of_the_same_lines_are_spread_once(spark):
+    """2,000 scopes over the same 30 lines: 56,000 rows of scope and line, and each compared with each position, before."""
+    scopes = spark.range(2000).selectExpr("concat('s', lpad(id, 4, '0')) as id", "'f' as filePath", "1 as startLine", "2 as startCol", "30 as endLine", "4 as endCol")
+    odd = [("one", "f", 31, 3, 31, 5), ("back", "f", 40, 0, 33, 9), ("late", "f", 30, 6, 32, 1)]
+    at = [(1, 1), (1, 2), (9, 0), (30, 4), (30, 5), (30, 6), (31, 4), (32, 1), (32, 2), (33, 3), (40, 1)]
+    places = spark.createDataFrame([("f", a, b) for a, b in at], "filePath string, line int, col int")
+    most, rows = most_rows(structure.scope_at(places, scopes.union(spark.createDataFrame(odd, scopes.schema))))
+    got = {(r.line, r.col): r.scope for r in rows}
+    assert [got[x] for x in at] == [None, "s1999", "s1999", "s1999", None, "late", "one", "late", None, None, None]
+    assert most <= 4100
