@@ -34,15 +34,16 @@ def nested_sections(found: DataFrame) -> DataFrame:
     """(id, filePath, line, level, name, endLine, parent): a section ends before the next of its level or above; its parent is
     the nearest one before it of a lower level, else the file. Headings of one file are compared by levels, of which
     there are six, each by a running window."""
-    ahead = Window.partitionBy("filePath").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy("filePath").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)  # from the end: each row is added once
     behind = Window.partitionBy("filePath").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     name = F.concat_ws(":", F.lit("Section"), "filePath", F.concat(F.lit("L"), F.col("line").cast("string")), "name")
-    out = found.withColumn("id", name)
-    for n in range(1, 7):
-        out = out.withColumn(f"n{n}", F.min(F.when(F.col("level") == n, F.col("line"))).over(ahead)).withColumn(f"p{n}", F.max(F.when(F.col("level") == n, F.struct("line", "id"))).over(behind))
-    following = F.array_min(F.array(*[F.when(F.col("level") >= n, F.col(f"n{n}")) for n in range(1, 7)]))
-    parent = F.array_max(F.array(*[F.when(F.col("level") > n, F.col(f"p{n}")) for n in range(1, 7)]))
-    return out.select("id", "filePath", "line", "level", "name", F.coalesce(following - 1, F.col("total").cast("long")).alias("endLine"), F.coalesce(parent["id"], F.concat(F.lit("File:"), "filePath")).alias("parent"))
+    levels = range(1, 7)
+    out = found.withColumns({f"n{n}": F.min(F.when(F.col("level") == n, F.col("line"))).over(ahead) for n in levels})
+    following = F.array_min(F.array(*[F.when(F.col("level") >= n, F.col(f"n{n}")) for n in levels]))
+    out = out.select("filePath", "line", "level", "name", F.coalesce(following - 1, F.col("total").cast("long")).alias("endLine"), name.alias("id"))
+    out = out.withColumns({f"p{n}": F.max(F.when(F.col("level") == n, F.struct("line", "id"))).over(behind) for n in levels})
+    parent = F.array_max(F.array(*[F.when(F.col("level") > n, F.col(f"p{n}")) for n in levels]))
+    return out.select("id", "filePath", "line", "level", "name", "endLine", F.coalesce(parent["id"], F.concat(F.lit("File:"), "filePath")).alias("parent"))
 
 
 @F.pandas_udf(StringType())

@@ -142,3 +142,16 @@ def test_scopes_of_the_same_lines_are_spread_once(spark):
     got = {(r.line, r.col): r.scope for r in rows}
     assert [got[x] for x in at] == [None, "s1999", "s1999", "s1999", None, "late", "one", "late", None, None, None]
     assert most <= 4100
+
+
+def test_what_follows_a_heading_is_kept_while_reading_from_the_end(spark):
+    """Frames from a row to the file's end are read anew for every row: a square of the headings."""
+    rnd = random.Random(1)
+    rows = [(f, i, rnd.randrange(1, 7), f"h{i}", 400) for f in ("a", "b") for i in range(1, 400, 3)]
+    out = structure.nested_sections(spark.createDataFrame(rows, "filePath string, line long, level int, name string, total int"))
+    got = {(r.filePath, r.line): (r.endLine, r.parent) for r in out.collect()}
+    for f, line, level, _, total in rows:
+        after = [x[1] for x in rows if x[0] == f and x[1] > line and x[2] <= level]
+        above = [x for x in rows if x[0] == f and x[1] < line and x[2] < level]
+        assert got[f, line] == (min(after) - 1 if after else total, f"Section:{f}:L{above[-1][1]}:{above[-1][3]}" if above else f"File:{f}")
+    assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()
