@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..workspace import committed
+
 
 def lines(files: DataFrame) -> DataFrame:
     """(filePath, line, text), lines from 1; a last empty line is none."""
@@ -47,11 +49,14 @@ def rename_preview(nodes: DataFrame, edges: DataFrame, files: DataFrame, target:
 
 def changed_symbols(nodes: DataFrame, hunks: DataFrame) -> DataFrame:
     """Symbols whose lines overlap a hunk (filePath, startLine, endLine) of their file: equal paths, or one ending with
-    the hunk's. Paths join on every suffix after a slash, so that each stays an equality; hunks that touch are one."""
+    the hunk's. Paths, each once, join on every suffix after a slash, so that each stays an equality; symbols
+    then join on their path; hunks that touch are one."""
     parts = F.split(F.lower(F.translate("filePath", "\\", "/")), "/")
-    symbols = nodes.filter("startLine > 0 and endLine > 0 and filePath is not null").withColumn("tail", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))))
+    symbols = nodes.filter("startLine > 0 and endLine > 0 and filePath is not null")
     h = _islands(hunks.select(F.lower(F.translate("filePath", "\\", "/")).alias("tail"), F.col("startLine").alias("h1"), F.col("endLine").alias("h2")))
-    return symbols.join(h, "tail").filter("startLine <= h2 AND endLine >= h1").drop("tail", "h1", "h2").distinct()
+    tails = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/")))
+    meant = committed(symbols.select("filePath").distinct().select("filePath", tails.alias("tail")).join(h, "tail").select("filePath", "h1", "h2"), "changed-spans")
+    return symbols.join(meant, (symbols["filePath"] == meant["filePath"]) & (F.col("startLine") <= F.col("h2")) & (F.col("endLine") >= F.col("h1")), "left_semi").distinct()
 
 
 def _islands(hunks: DataFrame) -> DataFrame:

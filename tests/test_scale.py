@@ -163,3 +163,12 @@ def test_definitions_of_a_key_are_told_apart_before_references(spark):
     defs = spark.range(1001).selectExpr("id as def", "if(id < 1000, 'a', 'b') as k")
     most, rows = most_rows(resolution.unique_by_key(refs, defs, "ref", "def", ["k"]))
     assert [tuple(r) for r in rows] == [(1000, 1000)] and most <= 1002
+
+
+def test_symbols_of_unchanged_files_are_not_spread_over_ends_of_paths(spark):
+    """3,000 symbols five folders deep were 15,000 rows, dealt out by ends that most files share."""
+    n = spark.range(3000).selectExpr("concat('n', id) as id", "concat('a/b/c/d/f', id % 3, '.ts') as filePath", "id % 50 + 1 as startLine", "id % 50 + 2 as endLine")
+    hunks = spark.createDataFrame([("c/d/f1.ts", 10, 11), ("d/f1.ts", 11, 12), ("b/f2.ts", 1, 90)], "filePath string, startLine int, endLine int")
+    most, rows = most_rows(text.changed_symbols(n, hunks))
+    assert sorted(r.id for r in rows) == sorted(f"n{i}" for i in range(3000) if i % 3 == 1 and i % 50 + 1 <= 12 and i % 50 + 2 >= 10)
+    assert most <= 3000
