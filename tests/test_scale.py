@@ -172,3 +172,12 @@ def test_symbols_of_unchanged_files_are_not_spread_over_ends_of_paths(spark):
     most, rows = most_rows(text.changed_symbols(n, hunks))
     assert sorted(r.id for r in rows) == sorted(f"n{i}" for i in range(3000) if i % 3 == 1 and i % 50 + 1 <= 12 and i % 50 + 2 >= 10)
     assert most <= 3000
+
+
+def test_a_file_gives_wildcards_no_more_than_a_scope_may_have(spark):
+    """100 scopes that import a file of 1,000 names each: 100,000 rows were sorted for five of each scope."""
+    defs = spark.range(2000).selectExpr("if(id < 1000, 'g', 'f') as filePath", "concat('n', lpad(id, 4, '0')) as name", "id", "'Function' as label")
+    asked = spark.range(100).selectExpr("'x' as filePath", "concat('s', id) as scope", "'g' as target").union(spark.createDataFrame([("x", "s0", "f")], "filePath string, scope string, target string"))
+    most, rows = most_rows(imports.wildcards(asked, defs, 5))
+    assert {(r.scope, r["def"]) for r in rows} == {(f"s{i}", 1000 + j if i == 0 else j) for i in range(100) for j in range(5)}
+    assert most <= 2000
