@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.expr import edge_order
-from ..workspace import committed, discard
+from ..workspace import committed, discard, likely
 
 
 def upsert(rows: DataFrame, key: str = "id", sequence: str = "seq") -> DataFrame:
@@ -22,10 +22,14 @@ def get(nodes: DataFrame, key: str) -> DataFrame:
 
 
 def without_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges without the nodes in gone (id) and the edges that touch them."""
-    gone = gone.select("id").distinct()
-    kept = edges.join(gone, edges["sourceId"] == gone["id"], "left_anti").join(gone, F.col("targetId") == gone["id"], "left_anti")
-    return nodes.join(gone, "id", "left_anti"), kept
+    """Nodes and edges without the nodes in gone (id) and the edges that touch them. Only what may be gone is looked up."""
+    gone = committed(gone.select("id").distinct(), "gone")
+    seen = likely(edges, ["sourceId", "targetId"], gone)
+    end = lambda c: gone.withColumnRenamed("id", c)
+    maybe = seen.filter("__likely").drop("__likely").join(end("sourceId"), "sourceId", "left_anti").join(end("targetId"), "targetId", "left_anti")
+    some = likely(nodes, ["id"], gone)
+    kept = some.filter("not __likely").drop("__likely").union(some.filter("__likely").drop("__likely").join(gone, "id", "left_anti").select(nodes.columns))
+    return kept, seen.filter("not __likely").drop("__likely").union(maybe.select(edges.columns))
 
 
 def without_files(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
