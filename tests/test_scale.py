@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 import random
 from contextlib import contextmanager
 
-from graphloom.operators import impact, imports, resolution, store, structure, text
+from pyspark.sql import functions as F
+
+from graphloom.operators import clusters, impact, imports, lookup, resolution, store, structure, text
 from graphloom.sources import projection
 from graphloom.workspace import committed
 
@@ -24,10 +26,10 @@ def shuffled_mb(spark, work):
 
 
 @contextmanager
-def no_small_tables(spark):
-    """As with tables too large to be broadcast unasked."""
+def no_small_tables(spark, most="-1"):
+    """As with tables too large to be broadcast unasked: all, or those beyond so many bytes."""
     keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
     try:
         yield
     finally:
@@ -223,3 +225,11 @@ def test_removal_shuffles_only_what_may_be_gone(spark):
     assert a == sorted(r.id for r in n.collect() if r.id not in out)
     assert b == sorted(r.id for r in e.collect() if not {r.sourceId, r.targetId} & out)
     assert moved < 0.5
+
+
+def test_references_of_few_symbols_shuffle_no_other_edges(spark):
+    n, e = large_graph(spark)
+    with no_small_tables(spark, "20000"):
+        moved, rows = shuffled_mb(spark, lambda: lookup.grouped_references(lookup.references(n, e, n.filter("id in ('Function:f1', 'Function:f2')"))).collect())
+    assert {(r.id, r.direction, len(r.refs)) for r in rows} >= {("Function:f1", "incoming", 5), ("Function:f2", "incoming", 5)}
+    assert moved < 0.1
