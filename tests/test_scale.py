@@ -227,6 +227,14 @@ def test_removal_shuffles_only_what_may_be_gone(spark):
     assert moved < 0.5
 
 
+def test_projection_tells_links_apart_once(spark):
+    """5.4 MB when links were told apart by both ends and made twice, to count loose ends."""
+    n, e = large_graph(spark)
+    with no_small_tables(spark):
+        moved, count = shuffled_mb(spark, lambda: clusters.projection(n, e, large=True).count())
+    assert count > 50_000 and moved < 4.5
+
+
 def test_references_of_few_symbols_shuffle_no_other_edges(spark):
     n, e = large_graph(spark)
     with no_small_tables(spark, "20000"):
