@@ -227,6 +227,14 @@ def test_removal_shuffles_only_what_may_be_gone(spark):
     assert moved < 0.5
 
 
+def test_links_of_communities_do_not_depend_on_the_size_of_the_graph(spark):
+    """Beyond 10,000 symbols links of low confidence and symbols of one link were left out."""
+    n, e = large_graph(spark)
+    e = e.withColumn("confidence", F.when(F.col("id") == "rel:100001", 0.1).otherwise(F.col("confidence")))
+    got = {(r.a, r.b) for r in clusters.projection(n, e).collect()}
+    assert got == {tuple(sorted((r.sourceId, r.targetId))) for r in e.collect() if r.sourceId != r.targetId}
+
+
 def test_projection_tells_links_apart_once(spark):
     """5.4 MB when links were told apart by both ends and made twice, to count loose ends."""
     n, e = large_graph(spark)
